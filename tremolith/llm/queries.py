@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
-from . import exact_dedup
-from .storage import table
-
-
-def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.dedup_report(table(spark, sf_dir, "documents"))
-
+from . import decontaminate, exact_dedup, license_scan, sentence_pieces, url_filter
 
 QUERIES = {
-    "op7_exact_dedup": op7_exact_dedup,
+    "op2_sentence_pieces": sentence_pieces.op2_sentence_pieces,
+    "op4_license_scan": license_scan.op4_license_scan,
+    "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
+    "op6_url_filter": url_filter.op6_url_filter,
+    "op7_exact_dedup": exact_dedup.op7_exact_dedup,
 }
 
 ORACLE_SQL = {
+    "op5_benchmark_decontamination": decontaminate.ORACLE,
+    "op6_url_filter": url_filter.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
 }
