@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, license_scan, sentence_pieces, url_filter
+from . import decontaminate, exact_dedup, license_scan, ngram_join, sentence_pieces, url_filter
 
 QUERIES = {
+    "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
     "op2_sentence_pieces": sentence_pieces.op2_sentence_pieces,
     "op4_license_scan": license_scan.op4_license_scan,
     "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_ngram_jaccard_join": ngram_join.ORACLE,
     "op5_benchmark_decontamination": decontaminate.ORACLE,
     "op6_url_filter": url_filter.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
