@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, license_scan, ngram_join, quality, sentence_pieces, toxicity, url_filter
+from . import decontaminate, exact_dedup, license_scan, ngram_join, quality, sentence_pieces, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_quality": quality.op10_quality,
 }
