@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, license_scan, ngram_join, quality, sentence_pieces, substring_dedup, toxicity, url_filter
+from . import decontaminate, exact_dedup, html_extract, license_scan, ngram_join, quality, sentence_pieces, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
     "op2_sentence_pieces": sentence_pieces.op2_sentence_pieces,
+    "op3_html_extraction": html_extract.op3_html_extraction,
     "op4_license_scan": license_scan.op4_license_scan,
     "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
     "op6_url_filter": url_filter.op6_url_filter,
