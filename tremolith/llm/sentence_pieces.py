@@ -35,9 +35,10 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .storage import table
-from .words import mix
+from .words import mix, row_slices
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEED, ALPHA = 7, 1.0
@@ -285,15 +286,16 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
 def decode(df: DataFrame, ids_col: str = "ids", text_col: str = "text", model: str = DEFAULT_MODEL) -> DataFrame:
     """``df`` with the decoded text of each row's ids (null ids: empty)."""
     shared = df.sparkSession.sparkContext.broadcast(load_vocabulary(model))
+    at, width = df.columns.index(ids_col), len(df.columns)
+    names = [*df.columns, text_col]
 
-    @F.pandas_udf("string")
-    def text_of(ids_of_rows: Iterator) -> Iterator:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(shared.value)
-        for rows in ids_of_rows:
-            yield rows.map(lambda ids: lattice.decode(ids) if ids is not None else "")
+        for batch in (part for whole in batches for part in row_slices(whole, 256)):
+            texts = [lattice.decode(ids) if ids else "" for ids in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(width)), pa.array(texts, pa.string())], names=names)
 
-    text_of.func.__annotations__.clear()
-    return df.withColumn(text_col, text_of(F.col(ids_col)))
+    return df.mapInArrow(work, StructType([*df.schema.fields, StructField(text_col, StringType())]))
 
 
 def op2_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
