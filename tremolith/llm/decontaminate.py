@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from . import duck
 from .storage import materialise, table
-from .words import batch_shingle_sets, list_column, mix
+from .words import batch_shingle_sets, list_column, mix, row_slices
 
 #: Contained: at least NEEDED of every OF shingles.
 NEEDED, OF = 3, 4
@@ -126,7 +126,7 @@ def _search(docs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = ItemTables(*shared.value)
-        for batch in batches:
+        for batch in (part for whole in batches for part in row_slices(whole)):
             found = []
             for doc, shingles in zip(batch.column(0).to_pylist(), batch_shingle_sets(batch.column(1)), strict=True):
                 found += [(doc, int(tables.ids[i]), len(tables.sets[i]), common) for i, common in tables.contained(shingles)]

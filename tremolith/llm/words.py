@@ -12,8 +12,11 @@ Python object.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SHINGLE = 5
 _BASE = 0x9E3779B97F4A7C15
@@ -33,7 +36,7 @@ _CODE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _power_tables(n: int) -> list[np.ndarray]:
+def power_tables(n: int) -> list[np.ndarray]:
     if len(_powers[0]) <= n:
         size = max(n + 1, 1 << 16)
         for at, base in enumerate((_BASE, _BASE_INVERSE)):
@@ -69,7 +72,7 @@ def batch_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     ends_here[:-1] &= ~inside[1:] | first[1:n]
     starts = np.flatnonzero(starts_here)
     ends = np.flatnonzero(ends_here) + 1
-    power, inverse = _power_tables(n)
+    power, inverse = power_tables(n)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_CODE[codes] * power[:n], out=total[1:])
     words = mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
@@ -88,8 +91,26 @@ def shingle_hashes(words: np.ndarray, k: int = SHINGLE) -> np.ndarray:
     return mix(h)
 
 
-def batch_shingle_sets(column: pa.Array) -> list[np.ndarray]:
-    """For each row of a string column its sorted distinct shingle hashes."""
+def row_slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """A batch in parts, to bound what a worker holds at once."""
+    for a in range(0, batch.num_rows, rows):
+        yield batch.slice(a, rows)
+
+
+def batch_shingle_sets(column: pa.Array, most_bytes: int = 1 << 20) -> list[np.ndarray]:
+    """For each row of a string column its sorted distinct shingle hashes.  Rows
+    are hashed together up to ``most_bytes`` of text; a longer text goes alone."""
+    ends = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    out, a = [], 0
+    while a < len(column):
+        base = int(ends[a - 1]) if a else 0
+        b = max(a + 1, int(np.searchsorted(ends, base + most_bytes, "right")))
+        out += _shingle_sets(column.slice(a, b - a))
+        a = b
+    return out
+
+
+def _shingle_sets(column: pa.Array) -> list[np.ndarray]:
     words, at = batch_words(column)
     every = shingle_hashes(words) if len(words) >= SHINGLE else None
     out = []
