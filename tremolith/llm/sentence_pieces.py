@@ -70,16 +70,17 @@ class Lattice:
         self.weights = {p: (r + 2.0) ** -alpha for _, p, r in vocabulary["pieces"]}
         self.longest = max(map(len, self.ids))
         self.spelt = {i: p.encode() for p, i in self.ids.items()} | {self.first_byte + b: bytes([b]) for b in range(256)}
+        # Beginnings of pieces are entries too, of weight 0: where even the beginning is unknown no longer piece can follow.
         texts = list(self.ids)
+        texts += list({t[:k] for t in texts for k in range(1, len(t))} - self.ids.keys())
         keys = self._hash_all(texts)
         if len(np.unique(keys)) != len(keys):
             raise ValueError("two pieces share a hash")
-        order = np.argsort(keys)
-        self.keys = keys[order]
-        self.key_ids = np.array([self.ids[t] for t in texts], np.int64)[order]
-        self.key_weights = np.array([self.weights[t] for t in texts])[order]
-        # A slot table over the top bits; pieces whose slot is taken go to a second one over other bits, the rest are searched for.
-        self.bits = 20
+        self.keys = keys
+        self.key_ids = np.array([self.ids.get(t, 0) for t in texts], np.int32)
+        self.key_weights = np.array([self.weights.get(t, 0.0) for t in texts])
+        # A slot table over the top bits; entries whose slot is taken go to a second one over other bits, the rest are searched for.
+        self.bits = 22
         self.slots = [np.full(1 << self.bits, -1, np.int32) for _ in range(2)]
         rest = np.arange(len(keys))
         for k in range(2):
@@ -104,32 +105,41 @@ class Lattice:
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
         """The entry of each piece hash, or -1."""
-        found = self.slots[0][self._slot(keys, 0)]
-        out = np.where((found >= 0) & (self.keys[found] == keys), found, -1)
-        second = self.slots[1][self._slot(keys, 1)]
-        out = np.where((out < 0) & (second >= 0) & (self.keys[second] == keys), second, out)
-        for key, entry in self.rest.items():
-            out[keys == np.uint64(key)] = entry
+        out = self.slots[0][self._slot(keys, 0)]
+        wrong = np.flatnonzero((self.keys[out] != keys) & (out >= 0))
+        if len(wrong):
+            some = keys[wrong]
+            second = self.slots[1][self._slot(some, 1)]
+            out[wrong] = np.where(self.keys[second] == some, second, -1)
+            for key, entry in self.rest.items():
+                out[wrong[some == np.uint64(key)]] = entry
         return out
 
     def forward(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For parts of n characters (rows): the cumulated weights into each
         place from each earlier one, [part, end, start], and the edges' ids."""
         u, n = codes.shape
+        columns = [np.ascontiguousarray(c).astype(np.uint64) for c in codes.T]
         into = np.zeros((u, n + 1, n))
         edge = np.zeros((u, n + 1, n), np.int32)
         for start in range(n):
-            h = np.zeros(u, np.uint64)
+            rows, h = np.arange(u), np.zeros(u, np.uint64)
             for end in range(start + 1, min(n, start + self.longest) + 1):
-                h = h * _MULT + codes[:, end - 1] + np.uint64(1)
+                h = h * _MULT + columns[end - 1][rows] + np.uint64(1)
                 entry = self._find(mix(h))
-                hit = entry >= 0
-                into[:, end, start] = np.where(hit, self.key_weights[entry], 0.0)
-                edge[:, end, start] = np.where(hit, self.key_ids[entry], 0)
+                weight = np.where(entry >= 0, self.key_weights[entry], 0.0)
+                hit = weight > 0
+                into[rows[hit], end, start] = weight[hit]
+                edge[rows[hit], end, start] = self.key_ids[entry[hit]]
                 if end == start + 1 and not hit.all():  # spelt in bytes: minus the character
-                    c = codes[:, start].astype(np.int64)
-                    into[:, end, start] = np.where(hit, into[:, end, start], self.byte_weight ** _utf8_length(c))
-                    edge[:, end, start] = np.where(hit, edge[:, end, start], -1 - c)
+                    c = codes[:, start][rows[~hit]].astype(np.int64)
+                    into[rows[~hit], end, start] = self.byte_weight ** _utf8_length(c)
+                    edge[rows[~hit], end, start] = -1 - c
+                alive = entry >= 0
+                if not alive.all():
+                    rows, h = rows[alive], h[alive]
+                    if not len(rows):
+                        break
         alpha = np.ones((u, n + 1))
         for end in range(1, n + 1):
             into[:, end, :end] *= alpha[:, :end]
@@ -268,8 +278,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(shared.value, alpha, seed)
         for whole in batches:
-            for a in range(0, whole.num_rows, 256):
-                batch = whole.slice(a, 256)
+            for batch in row_slices(whole, 1024):
                 texts = batch.column(1).to_pylist()
                 ids = lattice.encode_batch(texts, batch.column(0).to_pylist())
                 same = [lattice.decode(i.tolist()) == (t or "") for i, t in zip(ids, texts, strict=True)]
