@@ -120,11 +120,12 @@ def target_metrics(spectra: DataFrame, targets: DataFrame, legacy_zero: bool = F
 
 
 def peak_metrics(spectra: DataFrame, peaks: DataFrame, matches: DataFrame | None = None) -> DataFrame:
-    """ser, and hsi where anything matched."""
+    """ser, and hsi where anything matched.  A bin on the edge of a peak's +-10 %
+    counts as inside, whatever its last digit."""
     top = peaks.filter("rank <= 3").groupBy(*KEYS).agg(F.collect_list("f").alias("tops"))  # three values
     five = peaks.filter("rank <= 5").groupBy(*KEYS).agg(F.sum(F.col("a") * F.col("a")).alias("five"))
     met = spectra.join(top, list(KEYS)).join(five, list(KEYS))
-    near = F.aggregate("tops", F.lit(0), lambda n, t: n + F.when(F.abs(F.col("f") - t) <= 0.1 * t, 1).otherwise(0))
+    near = F.aggregate("tops", F.lit(0), lambda n, t: n + F.when(F.abs(F.col("f") - t) <= 0.1 * t + 1e-9, 1).otherwise(0))
     out = _melt(met.groupBy(*KEYS).agg(_over(F.sum(near * F.col("s") * F.col("s")), F.first("five")).alias("ser")), ("ser",))
     if matches is None:
         return out

@@ -364,7 +364,8 @@ def envelope_peaks(spark, sf_dir):
     return _rounded(_rounded(found, "f"), "a", digits=4)
 
 
-TARGETS = {"bpfo": 0.1, "bpfi": 0.15, "fr": 0.03}
+#: Off any k / n, so that no bin lies on the edge of a tolerance.
+TARGETS = {"bpfo": 0.1037, "bpfi": 0.1519, "fr": 0.0311}
 _TARGET_ROWS = ", ".join(f"('{k}', {v})" for k, v in TARGETS.items())
 MATCH_SQL = f"""targets(name, freq) AS (VALUES {_TARGET_ROWS}),
 matches AS (SELECT signal_id, name, max(s) AS amplitude FROM spectrum JOIN targets ON abs(f - freq) / greatest(freq, 1.0) < 0.02 GROUP BY signal_id, name)"""
@@ -427,9 +428,11 @@ def metrics_match(spark, sf_dir):
     return _metric_rows(metrics.match_metrics(spectra, envelope.fault_matches(spectra, _targets(spark))))
 
 
-@query("metrics_target", f"""WITH {SPECTRUM_SQL}, e AS (SELECT signal_id, s * s AS e,
-  f BETWEEN 0.097 - 1e-12 AND 0.103 + 1e-12 OR f BETWEEN 0.1455 - 1e-12 AND 0.1545 + 1e-12 OR f BETWEEN 0.0291 - 1e-12 AND 0.0309 + 1e-12 AS near,
-  EXISTS (SELECT 1 FROM (SELECT unnest([0.1, 0.15, 0.03]) AS t), (SELECT unnest([1, 2, 3]) AS h) WHERE abs(f - t * h) <= 0.02 * t * h) AS harmonic FROM spectrum)
+_FREQS = ", ".join(str(v) for v in TARGETS.values())
+
+
+@query("metrics_target", f"""WITH {SPECTRUM_SQL}, e AS (SELECT signal_id, s * s AS e, EXISTS (SELECT 1 FROM (SELECT unnest([{_FREQS}]) AS t) WHERE abs(f - t) <= 0.03 * t) AS near,
+  EXISTS (SELECT 1 FROM (SELECT unnest([{_FREQS}]) AS t), (SELECT unnest([1, 2, 3]) AS h) WHERE abs(f - t * h) <= 0.02 * t * h) AS harmonic FROM spectrum)
 SELECT signal_id, metric, round(value, 4) + 0.0 AS value FROM (SELECT signal_id, coalesce(sum(e) FILTER (near), 0) / sum(e) AS er, coalesce(sum(e) FILTER (harmonic), 0) / sum(e) AS her FROM e GROUP BY signal_id)
 UNPIVOT (value FOR metric IN (er, her))""")
 def metrics_target(spark, sf_dir):
@@ -437,7 +440,7 @@ def metrics_target(spark, sf_dir):
 
 
 @query("metrics_peak", f"""WITH {PEAKS_SQL}, three AS (SELECT signal_id, f AS t FROM peaks WHERE rank <= 3), five AS (SELECT signal_id, sum(a * a) AS five FROM peaks WHERE rank <= 5 GROUP BY signal_id)
-SELECT signal_id, 'ser' AS metric, round(sum(CASE WHEN abs(s.f - t) <= 0.1 * t THEN s.s * s.s ELSE 0 END) / any_value(five), 4) AS value
+SELECT signal_id, 'ser' AS metric, round(sum(CASE WHEN abs(s.f - t) <= 0.1 * t + 1e-9 THEN s.s * s.s ELSE 0 END) / any_value(five), 4) AS value
 FROM spectrum s JOIN three USING (signal_id) JOIN five USING (signal_id) GROUP BY signal_id""")
 def metrics_peak(spark, sf_dir):
     spectra = _spectra(spark, sf_dir)
@@ -527,17 +530,20 @@ def metric_pivot(spark, sf_dir):
     return _rounded(wide, "cf", "if", "kurtosis", digits=4)
 
 
-@query("catalog_operators")
+_LISTED = ", ".join(f"('{s.id}', '{s.category}', '{s.complexity}', {s.max_length if s.max_length else 'NULL'}::INT)" for s in SPECS.values())
+
+
+@query("catalog_operators", f"SELECT * FROM (VALUES {_LISTED}) t(algorithm_id, category, complexity, max_signal_length)")
 def catalog_operators(spark, sf_dir):
-    return catalog.catalog(spark)
+    return catalog.catalog(spark).select("algorithm_id", "category", "complexity", "max_signal_length")
 
 
-@query("catalog_search", None)
+@query("catalog_search")
 def catalog_search(spark, sf_dir):
     return catalog.tree(catalog.search(catalog.filtered(catalog.catalog(spark), ["wavelet", "emd"]), "threshold")).select("algorithm_id", "category")
 
 
-@query("catalog_counts")
+@query("catalog_counts", f"SELECT category, complexity, count(*) AS operators FROM (VALUES {_LISTED}) t(algorithm_id, category, complexity, m) GROUP BY ROLLUP (category, complexity)")
 def catalog_counts(spark, sf_dir):
     return catalog.counts(catalog.catalog(spark))
 
