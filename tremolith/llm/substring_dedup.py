@@ -42,7 +42,7 @@ UNIT = 3
 CUT_BITS, SHIFT, LEAST, MOST = 4, 12, 4, 256
 BITS, ROW_BITS = 26, 15
 _GEAR = (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
-_CODES = [mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(c)) for c in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
+_CODES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def cuts(codes: np.ndarray) -> np.ndarray:
@@ -68,25 +68,23 @@ def cuts(codes: np.ndarray) -> np.ndarray:
 
 
 def units(text: str | None) -> tuple[np.ndarray, ...]:
-    """For each unit of a text two digests, the bytes it starts and ends at, and
+    """For each unit of a text its digest, the bytes it starts and ends at, and
     the words before either."""
     raw = text.encode("utf-8", "surrogatepass") if text else b""
     if not raw:
-        return tuple(np.zeros(0, k) for k in (np.uint64, np.uint64, np.int64, np.int64, np.int64, np.int64))
+        return tuple(np.zeros(0, k) for k in (np.uint64, np.int64, np.int64, np.int64, np.int64))
     codes = np.frombuffer(raw, np.uint8)
     at = cuts(codes)
     start, end = at[: max(1, len(at) - UNIT)], at[min(UNIT, len(at) - 1) :]
     power, inverse = power_tables(len(raw))
-    keys = []
-    for table_ in _CODES:
-        total = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(table_[codes] * power[: len(raw)], out=total[1:])
-        keys.append(mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64)))
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_CODES[codes] * power[: len(raw)], out=total[1:])
+    keys = mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
     space = (codes == 32) | ((codes >= 9) & (codes <= 13))
     begins = ~space
     begins[1:] &= space[:-1]
     seen = np.concatenate(([0], np.cumsum(begins)))
-    return keys[0], keys[1], start, end, seen[start], seen[end]
+    return keys, start, end, seen[start], seen[end]
 
 
 def _bit(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,7 +111,7 @@ def _bitmap(docs: DataFrame) -> bytes:
     return whole.tobytes()
 
 
-_UNITS = "id bigint, th bigint, key bigint, key2 bigint, start int, end int, before int, after int"
+_UNITS = "id bigint, th bigint, key bigint, start int, end int, before int, after int"
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -126,7 +124,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(shared.value, np.uint8)
         for batch in (part for whole in batches for part in row_slices(whole)):
-            columns: list[list[np.ndarray]] = [[] for _ in range(7)]
+            columns: list[list[np.ndarray]] = [[] for _ in range(6)]
             ids, counts = [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = units(text)
@@ -144,15 +142,14 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
             if ids:
                 at = pa.array(np.repeat(np.arange(len(ids)), counts))
                 out = [pa.array(ids, pa.int64()).take(at)]
-                out += [pa.array(np.concatenate(c).view(np.int64)) for c in columns[:3]]
-                out += [pa.array(np.concatenate(c).astype(np.int32)) for c in columns[3:]]
-                yield pa.RecordBatch.from_arrays(out, names=["id", "th", "key", "key2", "start", "end", "before", "after"])
+                out += [pa.array(np.concatenate(c).view(np.int64)) for c in columns[:2]]
+                out += [pa.array(np.concatenate(c).astype(np.int32)) for c in columns[2:]]
+                yield pa.RecordBatch.from_arrays(out, names=["id", "th", "key", "start", "end", "before", "after"])
 
     found = materialise(docs.mapInArrow(ship, _UNITS), "units")
     doc = F.struct("id", "th")
-    holders = found.groupBy("key", "key2").agg(F.min(doc).alias("first"), F.max(doc).alias("last")).filter("NOT (first <=> last)")
-    holders = holders.select(F.col("key").alias("k"), F.col("key2").alias("k2"), "first")
-    met = found.join(holders, (F.col("key") == F.col("k")) & (F.col("key2") == F.col("k2"))).withColumn("own", F.col("first").eqNullSafe(doc))
+    holders = found.groupBy("key").agg(F.min(doc).alias("first"), F.max(doc).alias("last")).filter("NOT (first <=> last)")
+    met = found.join(holders.select("key", "first"), "key").withColumn("own", F.col("first").eqNullSafe(doc))
     along = Window.partitionBy("id", "th").orderBy("start", "end")
     apart = F.coalesce(F.col("start") > F.lag("end").over(along), F.lit(True))
     turned = apart | F.coalesce(F.col("own") != F.lag("own").over(along), F.lit(True))
@@ -177,8 +174,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return h - (1 << 64) if h >> 63 else h
 
     @F.udf("string", useArrow=True)
-    def cut(text, spans):
-        raw = text.encode("utf-8", "surrogatepass")
+    def cut(text, spans):  # also runs where the result is not used
+        raw = (text or "").encode("utf-8", "surrogatepass")
         keep, at = [], 0
         for start, end in sorted((s["start"], s["end"]) for s in spans):
             keep.append(raw[at : max(at, start)])
