@@ -9,8 +9,10 @@ component.  Documents with equal sets are one class; only classes are compared.
     (1 - 0.75**3)**50 = 1.3e-12, closer ones still less.
 2.  Stars.  In each block every class is tied to the block's least class; of
     these ties each class verifies the one that most of its blocks propose, on
-    the whole sets.  Verified ties give first components, so that a family of
-    near copies is one component after as many checks as it has members.
+    the whole sets.  Verified ties give first components.  In a few more turns
+    each class outside its block's largest component is tied to a member of that,
+    and verifies TIES of its ties.  So a family of near copies is all but one
+    component after a few checks a member, not after all pairs.
 3.  Trees.  Blocks that still hold several components are searched by a
     signature tree's dual traversal, which drops every pair whose components are
     one or whose largest possible overlap is too small.  What is left is written
@@ -34,16 +36,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import duck
 from .components import connected_components
 from .signature_tree import Tree, bitmap, bits_for, dual_join, join_sets
 from .storage import materialise, table
-from .words import batch_shingle_sets, list_column, mix
+from .words import batch_shingle_sets, list_column, mix, row_slices
 
 BANDS, ROWS = 50, 3
+#: Turns of ties to the largest component, and ties a class verifies in each.
+STAR_TURNS, TIES = 2, 3
 #: Classes of a block that one task compares with as many others.
 BLOCK = 2000
 #: Shingles of a component that one task holds, about.
@@ -69,7 +73,7 @@ def bands_of(s: np.ndarray) -> np.ndarray:
 
 
 def _classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in row_slices(whole, 2048)):
         sets = batch_shingle_sets(batch.column(1))
         bands = [bands_of(s) if len(s) else s for s in sets]
         yield pa.RecordBatch.from_arrays(
@@ -79,7 +83,7 @@ def _classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in row_slices(whole, 2048)):
         sets = batch_shingle_sets(batch.column(1))
         yield pa.RecordBatch.from_arrays(
             [pa.array([_digest(s) for s in sets], pa.binary()), list_column(sets, pa.int64())], names=["d", "shingles"]
@@ -183,22 +187,16 @@ def document_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     banded = classes.select("cid", F.explode("bands").alias("key"))
     blocks = banded.groupBy("key").agg(F.min("cid").alias("leader"), F.count(F.lit(1)).alias("held")).filter("held > 1")
     blocks = materialise(banded.join(blocks, "key"), "blocks")
+    sets = _sets_of(rows, classes, blocks.select("cid").distinct())
+
     ties = blocks.filter("cid != leader").groupBy("cid", "leader").count()
     ties = ties.groupBy("cid").agg(F.max_by("leader", F.struct("count", -F.col("leader"))).alias("leader"))
-
-    sets = _sets_of(rows, classes, blocks.select("cid").distinct())
-    first = _verified_ties(ties, sets)
-    links = materialise(first, "links")
-    stars = connected_components(links)
-    comps = blocks.select("cid").distinct()
-    comps = comps.join(stars, comps.cid == stars.node, "left").select("cid", F.coalesce("component", "cid").alias("comp"))
-    comps = materialise(comps, "components")
-    weights = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("weight"))
-
-    candidates = materialise(_candidates(blocks, comps, weights, sets), "candidates")
-    more = _links(candidates, comps, sets)
-    every = connected_components(links.unionByName(more))
-    named = classes.join(every, classes.cid == every.node, "left").select("cid", "digest", "least", F.coalesce("component", "cid").alias("component"))
+    comps = blocks.select("cid").distinct().select("cid", F.col("cid").alias("comp"), F.lit(1).cast("long").alias("weight"))
+    comps = _merged(comps, _verified_ties(ties, sets))
+    for turn in range(STAR_TURNS):
+        comps = _merged(comps, _verified_ties(_ties_to_largest(blocks, comps, turn), sets))
+    comps = _merged(comps, _links(materialise(_candidates(blocks, comps, sets), "candidates"), comps, sets))
+    named = classes.join(comps.withColumnRenamed("cid", "c"), F.col("cid") == F.col("c"), "left").select("digest", "least", F.coalesce("comp", "cid").alias("component"))
     named = materialise(named, "named")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(least, "component").select("digest", "component_id")
@@ -232,17 +230,45 @@ def _maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _candidates(blocks: DataFrame, comps: DataFrame, weights: DataFrame, sets: DataFrame) -> DataFrame:
+def _merged(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """``cid, comp, weight`` after further links (a, b) between classes; the
+    components are found on the graph of components."""
+    name = comps.select("cid", "comp")
+    edges = links.join(name.select(F.col("cid").alias("a"), F.col("comp").alias("x")), "a").join(name.select(F.col("cid").alias("b"), F.col("comp").alias("y")), "b")
+    found = connected_components(edges.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    new = name.join(found, F.col("comp") == F.col("node"), "left").select("cid", F.coalesce("component", "comp").alias("comp"))
+    new = materialise(new, "components")
+    weights = new.groupBy("comp").agg(F.count(F.lit(1)).alias("weight"))
+    return materialise(new.join(weights, "comp").select("cid", "comp", "weight"), "components")
+
+
+def _mixed(blocks: DataFrame, comps: DataFrame) -> DataFrame:
+    """The rows of blocks that hold several components."""
     placed = blocks.select("key", "cid").join(comps, "cid")
     mixed = placed.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high")
-    placed = placed.join(mixed.select("key", "held"), "key")
+    return placed.join(mixed.select("key", "held"), "key")
+
+
+def _ties_to_largest(blocks: DataFrame, comps: DataFrame, turn: int) -> DataFrame:
+    """Ties of classes to a member, another one in each block, of the largest
+    component in the block; TIES of them a class."""
+    placed = materialise(_mixed(blocks, comps), "mixed")
+    by = F.struct("weight", "comp", F.xxhash64("cid", "key", F.lit(turn)))
+    heads = placed.groupBy("key").agg(F.max_by(F.struct("cid", "comp"), by).alias("head"))
+    ties = placed.join(heads, "key").filter(F.col("comp") != F.col("head.comp")).select("cid", F.col("head.cid").alias("leader")).distinct()
+    turn_of = F.row_number().over(Window.partitionBy("cid").orderBy(F.xxhash64("leader", F.lit(turn)), "leader"))
+    return ties.withColumn("turn", turn_of).filter(F.col("turn") <= TIES).select("cid", "leader")
+
+
+def _candidates(blocks: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
+    placed = _mixed(blocks, comps)
     # Parts of a block, each pair of which is one group.
     parts = F.ceil(F.col("held") / BLOCK).cast("int")
     placed = placed.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    placed = placed.withColumn("q", other).select("key", "cid", "comp", "part", F.least("part", "q").alias("i"), F.greatest("part", "q").alias("j"))
+    placed = placed.withColumn("q", other).select("key", "cid", "comp", "weight", "part", F.least("part", "q").alias("i"), F.greatest("part", "q").alias("j"))
     maps = sets.mapInArrow(_maps, "cid bigint, n int, map array<bigint>")
-    placed = placed.join(weights, "comp").join(maps, "cid")
+    placed = placed.join(maps, "cid")
     grouped = placed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return grouped.select("key", "i", "j", "cid", "comp", "weight", "part", "n", "map").mapInArrow(_search_blocks, _CANDIDATE).distinct()
 
@@ -250,7 +276,7 @@ def _candidates(blocks: DataFrame, comps: DataFrame, weights: DataFrame, sets: D
 def _links(candidates: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
     wanted = candidates.select(F.col("other").alias("comp")).distinct()
     sized = sets.select("cid", F.size("shingles").alias("n"))
-    members = comps.join(wanted, "comp").join(sized, "cid")
+    members = comps.select("cid", "comp").join(wanted, "comp").join(sized, "cid")
     chunks = members.groupBy("comp").agg(F.ceil(F.sum("n") / CHUNK).cast("int").alias("chunks"))
     members = members.select("comp", "cid").join(chunks, "comp").withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int"))
     probes = candidates.withColumnRenamed("other", "comp").join(chunks, "comp").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
@@ -258,7 +284,7 @@ def _links(candidates: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFram
     shares = probes.groupBy("comp", "chunk").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("shares"))
     probes = probes.join(shares, ["comp", "chunk"]).withColumn("share", F.pmod(F.xxhash64("cid"), F.col("shares")).cast("int"))
     members = members.join(shares, ["comp", "chunk"]).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
-    cut = lambda df, probe: df.select("comp", (F.col("chunk") * 100_000 + F.col("share")).alias("chunk"), "cid", F.lit(probe).alias("probe"))
+    cut = lambda df, probe: df.select("comp", (F.col("chunk").cast("long") * 100_000 + F.col("share")).alias("chunk"), "cid", F.lit(probe).alias("probe"))
     met = cut(members, False).unionByName(cut(probes, True)).join(sets, "cid")
     met = met.select("comp", "chunk", "cid", "probe", "shingles").repartition("comp", "chunk").sortWithinPartitions("comp", "chunk")
     return met.mapInArrow(_verify, "a bigint, b bigint")
