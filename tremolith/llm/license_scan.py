@@ -102,7 +102,8 @@ def spans(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     votes = votes.withColumn("span", F.sum(F.when(far, 1).otherwise(0)).over(along))
     merged = votes.groupBy("id", "th", "template", "span").agg(
         F.first("label").alias("label"), F.first("base").alias("base"), F.min("first").alias("first"), (F.max("last") + (K - 1)).alias("last"),
-        F.least(F.sum("votes") / F.first("runs"), F.lit(1.0)).alias("coverage"), F.max("copies").alias("copies"), F.max("n_words").alias("n_words"),
+        # least() passes over nulls, and the row of the text itself has no runs.
+        F.when(F.col("template").isNotNull(), F.least(F.sum("votes") / F.first("runs"), F.lit(1.0))).alias("coverage"), F.max("copies").alias("copies"), F.max("n_words").alias("n_words"),
     )
     return merged.filter(F.col("template").isNull() | (F.col("coverage") >= F.when(F.col("base"), 1.0).otherwise(MIN_COVERAGE)))
 
