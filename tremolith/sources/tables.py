@@ -14,9 +14,15 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def events_as_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long form: a signal a user, samples in order of (ts, event_id)."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = _read(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
-    return rows.select(F.col("user_id").cast("string").alias("signal_id"), F.lit(0).alias("channel"), (F.row_number().over(order) - 1).cast("long").alias("i"), "value")
+    rows = _read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("signal_id"), F.lit(0).alias("channel"), "ts", "event_id", "value")
+    return _numbered(rows, "ts", "event_id")
+
+
+def _numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """Samples counted over the keys that later windows use, so that one shuffle
+    serves them all."""
+    at = Window.partitionBy("signal_id", "channel").orderBy(*order)
+    return rows.withColumn("i", (F.row_number().over(at) - 1).cast("long")).select("signal_id", "channel", "i", "value")
 
 
 def events_as_signals(spark: SparkSession, sf_dir: str, sample_rate: float = 1.0) -> DataFrame:
@@ -37,11 +43,9 @@ def embeddings_as_signals(spark: SparkSession, sf_dir: str, sample_rate: float =
 
 def lineitem_as_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long form: a signal a supplier, prices in order of shipping."""
-    order = Window.partitionBy("l_suppkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber")
-    rows = _read(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice")
-    return rows.select(
-        F.col("l_suppkey").cast("string").alias("signal_id"), F.lit(0).alias("channel"), (F.row_number().over(order) - 1).cast("long").alias("i"), F.col("l_extendedprice").alias("value")
-    )
+    key = F.col("l_suppkey").cast("string").alias("signal_id")
+    rows = _read(spark, sf_dir, "lineitem").select(key, F.lit(0).alias("channel"), F.col("l_extendedprice").alias("value"), "l_shipdate", "l_orderkey", "l_linenumber")
+    return _numbered(rows, "l_shipdate", "l_orderkey", "l_linenumber")
 
 
 __all__ = ["embeddings_as_signals", "events_as_samples", "events_as_signals", "lineitem_as_samples", "to_array"]
