@@ -140,7 +140,7 @@ def test_scores_by_hand(spark):
 
 
 def test_constant_metrics_score_half(spark):
-    m = scored(spark).withColumn("value", scored(spark).value * 0 + 1)
+    m = scored(spark).selectExpr("signal_id", "channel", "algorithm_id", "metric", "1.0D AS value", "higher_is_better")
     assert {r["norm"] for r in scoring.normalised(m).collect()} == {0.5}
 
 
