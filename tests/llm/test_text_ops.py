@@ -74,6 +74,34 @@ def test_licenses(spark):
     assert license_scan.license_report(spark, df.limit(0)).count() == 0
 
 
+NOTICES = [
+    ("This work is licensed under the GNU General Public License, version 3.", "gpl,gpl-3"), ("\u00a9 2020. All rights reserved.", "all-rights-reserved"),
+    ("Released under the MIT License.", "mit"), ("GNU Lesser General Public Licence, version 2.1", "lgpl,lgpl-2"), ("SPDX-License-Identifier: BSD-3-Clause", "bsd"),
+    ("Mozilla Public License, v. 2.0", "mpl,mpl-2"), ("the general public may license all rights", ""), ("all rights were reserved", ""),
+]
+
+
+def test_short_notices_are_found_whole(spark):
+    rows = [(i, "so it was. " * i + text) for i, (text, _) in enumerate(NOTICES)]
+    got = {r["doc_id"]: (r["labels"], r["score"] == 1.0) for r in license_scan.license_report(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (label, label != "") for i, (_, label) in enumerate(NOTICES)}
+
+
+def test_diagonals_far_apart_merge_in_order(spark):
+    mit = license_scan.TEMPLATES["mit"].split()
+    n = len(mit)
+    texts = [
+        mit[:9] + ["inserted"] * 12 + mit[9:], mit[:7] + mit[12:], mit[9:] + mit[:9], mit[:9] + ["inserted"] * 200 + mit[9:], mit + mit,
+        ["obtaining", "a", "copy"] + mit[:6] + ["x"] * 4 + mit[6:12] + ["y"] * 5 + mit[12:],
+    ]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)] + [(0, " ".join(texts[0]))], "doc_id long, text string")
+    found = collections.defaultdict(list)
+    for r in license_scan.spans(spark, df).filter("template IS NOT NULL").collect():
+        found[r["id"]].append((r["first"], r["last"], round(r["coverage"] * (n - 2))))
+    assert found.pop(4) and sorted(license_scan.spans(spark, df).filter("id = 4 AND template IS NOT NULL").select("first", "last", "coverage").collect()) == [(0, n - 1, 1.0), (n, 2 * n - 1, 1.0)]
+    assert found == {0: [(0, n + 11, n - 4)], 1: [(0, n - 6, n - 9)], 5: [(3, n + 11, n - 6)]}
+
+
 PAGE = """<!doctype html><html><head><title>t</title><style>p{}</style><script>var a="</p><article>";</script></head><body class="with-sidebar">
 <header>site</header><nav><ul><li><a href="/">home</a></ul></nav><div class="cookie-notice">we use</div><!-- <p>no</p> -->
 <main><article class=post><header><h1>Caf&eacute; &amp; bar</h1></header><p>One<br>two &lt;b&gt; <b>three</b><p>four&nbsp;five <span class="ad">buy</span> six</p>

@@ -1,21 +1,27 @@
 """License scans by diagonal voting, in DataFrame expressions alone.
 
 Every rolling run of three words of a text is hashed and joined to the
-positions at which the license templates have that run (a fixed list of a few
-hundred rows, so its broadcast has a proven bound; the run itself is compared
-too, so a colliding hash never votes).  A match at word d of the text and word
-t of the template votes for the diagonal d - t.  Votes are counted per text,
-template and diagonal; diagonals at most GAP apart, as small insertions and
-deletions make them, merge into one span; a span is verified by the share of
-its template's runs that it holds.
-
-Base phrases are templates that count only whole: all their runs on one
-diagonal.  The method's own templates need MIN_COVERAGE of their runs.
+positions at which the license templates have that run (a fixed list of less
+than a thousand rows, so its broadcast has a proven bound; the run itself is
+compared too, so a colliding hash never votes).  A match at word d of the text
+and word t of the template votes for the diagonal d - t.  Votes are counted per
+text, template and diagonal.
+
+Base phrases and short notices are templates that count only whole: all their
+runs on one diagonal.  Long passages need MIN_COVERAGE of their runs, over a
+chain of diagonals: an insertion or a deletion, however long, starts a new
+diagonal, which joins the chain if its words come later in both the text and the
+template.  A chain begins at most SPREAD times the template's words before its
+last diagonal.  Of all chains that end at a diagonal the one with the most votes
+is taken; verified chains that overlap are one span.
+
+A notice that names a version gives the label with the version beside the
+general one ("gpl,gpl-3").
 
 Defined results: a null text counts as empty, with n_words and n_base 0, null
 positions, empty labels and score 0.  score is the best coverage found (1 for a
-base phrase).  Rows that repeat both doc_id and text give a row each; an empty
-table gives an empty result; further columns are not read.
+base phrase or a short notice).  Rows that repeat both doc_id and text give a row
+each; an empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +32,7 @@ from pyspark.sql import functions as F
 from .storage import table
 
 K = 3
-GAP = 2
+SPREAD = 3
 MIN_COVERAGE = 0.6
 
 # The base phrases and their labels.
@@ -51,19 +57,59 @@ TEMPLATES = {
     "unlicense": "this is free and unencumbered software released into the public domain",
     "all-rights-reserved": "all rights reserved no part of this publication may be reproduced",
 }
+# Names by which short notices give a license; "license" is also
+# looked for as "licence".
+NOTICES = {
+    "mit": ("the mit license", "mit license mit", "licensed under mit", "license mit license", "spdx license identifier mit"),
+    "apache-2": ("apache license 2 0", "apache license v2", "apache license v 2", "apache 2 0 license", "apache software license 2 0", "apache software license version 2", "license identifier apache 2 0"),
+    "bsd": (
+        "the bsd license", "under bsd license", "bsd 2 clause", "bsd 3 clause", "bsd 4 clause", "2 clause bsd", "3 clause bsd", "4 clause bsd", "two clause bsd", "three clause bsd",
+        "new bsd license", "modified bsd license", "simplified bsd license", "revised bsd license", "bsd style license",
+    ),
+    "gpl": ("gnu general public license", "gnu public license", "the gnu gpl", "under the gpl", "license identifier gpl"),
+    "gpl-2": ("gnu general public license version 2", "gnu general public license v2", "gnu general public license v 2", "gnu gpl version 2", "gnu gpl v2", "gpl version 2", "gpl 2 0", "under the gplv2"),
+    "gpl-3": ("gnu general public license version 3", "gnu general public license v3", "gnu general public license v 3", "gnu gpl version 3", "gnu gpl v3", "gpl version 3", "gpl 3 0", "under the gplv3"),
+    "lgpl": ("gnu lesser general public license", "gnu library general public license", "the gnu lgpl", "under the lgpl", "license identifier lgpl"),
+    "lgpl-2": ("gnu library general public license version 2", "gnu lesser general public license version 2", "gnu lesser general public license v2", "gnu lgpl v2", "lgpl version 2", "lgpl 2 1", "lgpl 2 0", "under the lgplv2"),
+    "lgpl-3": ("gnu lesser general public license version 3", "gnu lesser general public license v3", "gnu lesser general public license v 3", "gnu lgpl v3", "lgpl version 3", "lgpl 3 0", "under the lgplv3"),
+    "agpl": ("gnu affero general public license", "affero general public license", "the gnu agpl", "under the agpl", "license identifier agpl"),
+    "agpl-3": ("affero general public license version 3", "affero general public license v3", "agpl version 3", "agpl 3 0", "under the agplv3"),
+    "mpl": ("mozilla public license",),
+    "mpl-2": ("mozilla public license version 2", "mozilla public license v 2", "mozilla public license v2", "mozilla public license 2 0", "mpl 2 0"),
+    "epl": ("eclipse public license",),
+    "eupl": ("european union public license",),
+    "bsl-1": ("boost software license",),
+    "zlib": ("the zlib license", "zlib libpng license"),
+    "isc": ("the isc license", "under isc license", "spdx license identifier isc"),
+    "cc-by": ("creative commons attribution license", "creative commons attribution international", *(f"{n} {v} 0" for n in ("creative commons attribution", "cc by") for v in "234"), "cc by 2 5"),
+    "cc-by-sa": ("cc by sa", "creative commons attribution sharealike", "creative commons attribution share alike"),
+    "cc-by-nd": ("cc by nd", "creative commons attribution noderivatives", "creative commons attribution noderivs", "creative commons attribution no derivatives"),
+    "cc-by-nc": ("creative commons attribution noncommercial", "creative commons attribution non commercial"),
+    "cc-by-nc-sa": ("cc by nc sa", "creative commons attribution noncommercial sharealike", "creative commons attribution noncommercial share alike", "creative commons attribution non commercial share alike"),
+    "cc-by-nc-nd": ("cc by nc nd", "creative commons attribution noncommercial noderivatives", "creative commons attribution noncommercial noderivs", "creative commons attribution non commercial no derivatives"),
+    "cc0": ("cc0 1 0", "creative commons zero", "creative commons cc0", "cc0 public domain dedication", "under cc0 license"),
+    "unlicense": ("under the unlicense", "license identifier unlicense"),
+    "public-domain": ("into the public domain", "in the public domain", "dedicated to the public domain"),
+    "all-rights-reserved": ("all rights reserved", "all rights are reserved"),
+}
 _UPPER, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+def templates() -> list[tuple[str, str, bool, bool]]:
+    """phrase, label, base, whole (counts only whole) of every template."""
+    short = sorted({(p.replace("license", word), label) for label, phrases in NOTICES.items() for p in phrases for word in ("license", "licence")})
+    return [(p, label, True, True) for p, label in BASE.items()] + [(p, label, False, True) for p, label in short] + [(p, label, False, False) for label, p in TEMPLATES.items()]
+
+
 def template_runs(spark: SparkSession) -> DataFrame:
-    """template, label, base, runs (of the template), t, run: one row a run."""
+    """template, label, base, whole, runs (of the template), t, run: one row a run."""
     rows = []
-    listed = [(p, label, True) for p, label in BASE.items()] + [(p, label, False) for label, p in TEMPLATES.items()]
-    for number, (phrase, label, base) in enumerate(listed):
+    for number, (phrase, label, base, whole) in enumerate(templates()):
         words = phrase.split()
         n = len(words) - K + 1
-        rows += [(number, label, base, n, t, " ".join(words[t : t + K])) for t in range(n)]
-    return spark.createDataFrame(rows, "template int, label string, base boolean, runs int, t int, run string")
+        rows += [(number, label, base, whole, n, t, " ".join(words[t : t + K])) for t in range(n)]
+    return spark.createDataFrame(rows, "template int, label string, base boolean, whole boolean, runs int, t int, run string")
 
 
 def words_of(text) -> F.Column:
@@ -74,9 +120,29 @@ def words_of(text) -> F.Column:
     return F.slice(raw, head + 1, F.size(raw) - head - tail)
 
 
+def best_chain(near, first, t, runs) -> F.Column:
+    """votes and begin of the best chain that ends at the diagonal whose first
+    match is (first, t).  ``near`` has the diagonals of its surroundings, in the
+    order of their first words.  Runs that two diagonals share count once."""
+    kind = "array<struct<first:int,t:int,last:int,end:int,votes:double,begin:int>>"
+
+    def gain(c, x):
+        return x["votes"] - F.greatest(F.lit(0), c["last"] - x["first"] + 1, c["end"] - x["t"] + 1)
+
+    def extend(chains, x):
+        before = F.filter(chains, lambda c: (c["first"] < x["first"]) & (c["t"] < x["t"]) & (c["last"] < x["last"]) & (c["end"] < x["end"]) & (gain(c, x) > 0) & (x["first"] - c["begin"] <= SPREAD * (runs + (K - 1))))
+        longer = F.transform(before, lambda c: F.struct((c["votes"] + gain(c, x)).alias("votes"), c["begin"].alias("begin")))
+        best = F.array_max(F.concat(F.array(F.struct(x["votes"].alias("votes"), x["first"].alias("begin"))), longer))
+        return F.concat(chains, F.array(F.struct(x["first"].alias("first"), x["t"].alias("t"), x["last"].alias("last"), x["end"].alias("end"), best["votes"].alias("votes"), best["begin"].alias("begin"))))
+
+    chains = F.aggregate(near, F.array().cast(kind), extend)
+    own = F.element_at(F.filter(chains, lambda c: (c["first"] == first) & (c["t"] == t)), 1)
+    return F.struct(own["votes"].alias("votes"), own["begin"].alias("begin"))
+
+
 def spans(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per text and verified span: ``id, th, template, label, base, first, last,
-    votes, coverage``; and per text one row with a null template that carries
+    coverage``; and per text one row with a null template that carries
     ``copies`` (rows alike) and ``n_words``."""
     listed = template_runs(spark).withColumn("h", F.xxhash64("run"))
     words = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), words_of(F.col(text_col)).alias("w"))
@@ -91,21 +157,31 @@ def spans(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     runs = runs.withColumn("d", F.col("d") - 1).withColumn("rh", F.when(F.col("r").isNotNull(), F.xxhash64("r")))
     hits = runs.join(F.broadcast(listed), (F.col("rh") == F.col("h")) & (F.col("r") == F.col("run")), "left").filter("d < 0 OR template IS NOT NULL")
     votes = hits.groupBy("id", "th", "template", (F.col("d") - F.col("t")).alias("diagonal")).agg(
-        F.count(F.lit(1)).alias("votes"), F.max("n").alias("n_words"), F.first("label").alias("label"),
-        F.first("base").alias("base"), F.first("runs").alias("runs"), F.min("d").alias("first"), F.max("d").alias("last"),
+        F.count(F.lit(1)).alias("votes"), F.max("n").alias("n_words"), F.first("label").alias("label"), F.first("base").alias("base"),
+        F.first("whole").alias("whole"), F.first("runs").alias("runs"), F.min("d").alias("first"), F.max("d").alias("last"),
     )
     text = Window.partitionBy("id", "th")
-    along = Window.partitionBy("id", "th", "template").orderBy("diagonal")
     votes = votes.withColumn("copies", F.max(F.when(F.col("template").isNull(), F.col("votes"))).over(text))
-    votes = votes.withColumn("votes", F.col("votes") / F.col("copies"))
-    far = F.col("diagonal") - F.lag("diagonal").over(along) > F.when(F.col("base"), 0).otherwise(GAP)
-    votes = votes.withColumn("span", F.sum(F.when(far, 1).otherwise(0)).over(along))
-    merged = votes.groupBy("id", "th", "template", "span").agg(
-        F.first("label").alias("label"), F.first("base").alias("base"), F.min("first").alias("first"), (F.max("last") + (K - 1)).alias("last"),
-        # least() passes over nulls, and the row of the text itself has no runs.
-        F.when(F.col("template").isNotNull(), F.least(F.sum("votes") / F.first("runs"), F.lit(1.0))).alias("coverage"), F.max("copies").alias("copies"), F.max("n_words").alias("n_words"),
+    votes = votes.withColumn("votes", F.col("votes") / F.col("copies")).withColumn("t", F.col("first") - F.col("diagonal"))
+    reach = SPREAD * max(len(p.split()) for p in TEMPLATES.values())
+    around = Window.partitionBy("id", "th", "template").orderBy("first").rangeBetween(-reach, 0)
+    match = F.struct("first", "t", "last", (F.col("last") - F.col("diagonal")).alias("end"), "votes")
+    votes = votes.withColumn("near", F.collect_list(F.when(~F.col("whole"), match)).over(around))
+    # A single diagonal is its own chain; too few votes around need none.
+    alone = F.struct(F.col("votes"), F.col("first").alias("begin"))
+    enough = (F.size("near") > 1) & (F.aggregate("near", F.lit(0.0), lambda n, x: n + x["votes"]) >= MIN_COVERAGE * F.col("runs"))
+    votes = votes.withColumn("chain", F.when(enough, best_chain(F.col("near"), F.col("first"), F.col("t"), F.col("runs"))).otherwise(alone)).drop("near")
+    votes = votes.withColumn("coverage", F.least(F.col("chain.votes") / F.col("runs"), F.lit(1.0))).withColumn("begin", F.col("chain.begin"))
+    # least() passes over nulls, and the row of the text itself has no runs.
+    votes = votes.withColumn("coverage", F.when(F.col("template").isNotNull(), F.col("coverage")))
+    votes = votes.filter(F.col("template").isNull() | (F.col("coverage") >= F.when(F.col("whole"), 1.0).otherwise(MIN_COVERAGE)))
+    along = Window.partitionBy("id", "th", "template").orderBy("begin", "last")
+    apart = F.col("begin") > F.max("last").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    votes = votes.withColumn("span", F.sum(F.when(apart | F.col("whole"), 1).otherwise(0)).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    return votes.groupBy("id", "th", "template", "span").agg(
+        F.first("label").alias("label"), F.first("base").alias("base"), F.min("begin").alias("first"), (F.max("last") + (K - 1)).alias("last"),
+        F.max("coverage").alias("coverage"), F.max("copies").alias("copies"), F.max("n_words").alias("n_words"),
     )
-    return merged.filter(F.col("template").isNull() | (F.col("coverage") >= F.when(F.col("base"), 1.0).otherwise(MIN_COVERAGE)))
 
 
 def license_report(spark: SparkSession, docs: DataFrame) -> DataFrame:
