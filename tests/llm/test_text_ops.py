@@ -126,6 +126,20 @@ def test_pages(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_bare_pages_keep_shared_sentences_and_near_copies(spark):
+    menu = "<ul>" + "".join(f"<li>entry{i}</li>" for i in range(9)) + "</ul>"
+    said = "this one sentence of nine words is in both"
+    own = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
+    article = own("a", 80)
+    bodies = {
+        1: [f"{own(1, 20)} {said} {own(11, 5)}"], 2: [f"{said} {own(2, 20)}"], 3: [own(3, 6), own(33, 12)],
+        4: [article, "on monday"], 5: [article, "on tuesday"],
+    }
+    rows = [(k, f"http://h.org/{k}", menu + "".join(f"<p>{b}</p>" for b in body) + "<p>fin 2020</p>") for k, body in bodies.items()]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html_extract.extract(df).collect()} == {k: "\n\n".join(body) for k, body in bodies.items()}
+
+
 def test_urls(spark):
     urls = [
         "http://A.Example.org/es/x", "http://example.org/es", "https://m.example.org/en/12?q#f", "http://example.org/en/2", "http://x.com/fr/1", "http://x.com/de/", "http://spam-farm.example.com/x",
