@@ -30,6 +30,22 @@ def make(n=600):
     return docs, labels
 
 
+def test_rare_insults_are_learnt():
+    rng = random.Random(11)
+    rude = ["".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(9)) for _ in range(120)]
+    rows = []
+    for i in range(2400):
+        w = [rng.choice(WORDS) for _ in range(rng.randrange(20, 80))]
+        for _ in range(2 * (i % 2)):
+            w.insert(rng.randrange(len(w)), rng.choice(rude))
+        rows.append((" ".join(w), i % 2))
+    rng.shuffle(rows)
+    learn, rest = rows[:2000], rows[2000:]
+    model = toxicity.train(learn, {0: 1000, 1: 1000})
+    right = [(s >= 0.5) == (y == 1) for s, (_, y) in zip(compression.Scorer(model).scores([t for t, _ in rest]), rest, strict=True)]
+    assert sum(right) / len(right) > 0.9
+
+
 @pytest.fixture(scope="module")
 def tables(spark, tmp_path_factory):
     docs, labels = make()

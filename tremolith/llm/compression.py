@@ -37,6 +37,7 @@ class Model:
     mean: np.ndarray
     scale: np.ndarray
     weights: np.ndarray  # the last is the intercept
+    more: tuple[tuple[bytes, bytes], ...] = ()  # further pairs, each summed up by itself
 
 
 STRATEGIES = {
@@ -90,7 +91,7 @@ SUMMARIES: dict[str, Callable] = {"peaks": peaks, "ratios": ratios}
 class Scorer:
     def __init__(self, model: Model):
         self.model = model
-        self.first, self.second = compressor(model.first, model.strategy), compressor(model.second, model.strategy)
+        self.pairs = [(compressor(a, model.strategy), compressor(b, model.strategy)) for a, b in ((model.first, model.second), *model.more)]
 
     def features(self, texts: list[str | None]) -> np.ndarray:
         m = self.model
@@ -103,14 +104,14 @@ class Scorer:
             parts.append(seg)
             base += len(b)
         every, data = np.concatenate(parts), b"".join(blobs)
-        if len(every):
-            a, b_ = sizes(self.first, data, every), sizes(self.second, data, every)
-        else:
-            a = b_ = np.zeros(0, np.int64)
         raw = every[:, 1].astype(np.int64)
         ends = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
         summary = SUMMARIES[m.summary]
-        return np.array([summary(raw[i:j], a[i:j], b_[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)])
+        found = []
+        for first, second in self.pairs:
+            a, b_ = (sizes(first, data, every), sizes(second, data, every)) if len(every) else (np.zeros(0, np.int64),) * 2
+            found.append(np.array([summary(raw[i:j], a[i:j], b_[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)]))
+        return np.concatenate(found, axis=1)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         x = (self.features(texts) - self.model.mean) / self.model.scale
@@ -173,7 +174,7 @@ def calibrate(model: Model, rows: list[tuple[str, int]], counts: dict[int, int])
     classes' true shares."""
     y = np.array([y for _, y in rows], float)
     if len(set(y.tolist())) < 2:
-        n = len(SUMMARIES[model.summary](np.zeros(0), np.zeros(0), np.zeros(0)))
+        n = len(SUMMARIES[model.summary](np.zeros(0), np.zeros(0), np.zeros(0))) * (1 + len(model.more))
         share = (counts.get(1, 0) + 0.5) / (sum(counts.values()) + 1)
         model.mean, model.scale, model.weights = np.zeros(n), np.ones(n), np.append(np.zeros(n), np.log(share / (1 - share)))
         return model

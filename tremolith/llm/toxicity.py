@@ -1,13 +1,18 @@
 """Toxicity by compression distance between toxic and ordinary text.
 
-Two zstandard dictionaries of one length share their ordinary part, trained on
-windows of ordinary texts.  Before it, the toxic one has words of toxic texts
-whose beginnings are far more frequent there than in ordinary texts, the
-ordinary one has filler that matches nothing.  So the distances of the common
-part are the same, and a window that compresses better with the toxic dictionary
-does so by its toxic words.  Each 128-byte window's difference is taken; a
-text's largest ones are calibrated to a score by a logistic regression on
-labelled rows that neither dictionary saw.
+Three pairs of zstandard dictionaries give differences for each 128-byte window:
+
+* a dictionary trained on windows of toxic texts against one trained on windows
+  of ordinary texts;
+* the ordinary one with frequent toxic words before it (words of toxic texts
+  whose beginnings are far more frequent there) against the same with filler that
+  matches nothing, so that only toxic words make a difference;
+* likewise with the rare toxic words, of four texts or more.
+
+Toxic texts are ordinary but for a few words, so the trained pair alone hardly
+tells them apart.  A text's largest differences by each pair are calibrated
+together to a score by a logistic regression on labelled rows that no dictionary
+saw, which weighs the pairs.
 
 Only rows whose crc32(doc_id) mod 3 is not 1 are learnt from, at most
 ``compression.TRAINING_ROWS`` a class.
@@ -34,6 +39,8 @@ COMMON_BYTES, TOXIC_BYTES = 32768, 8192
 #: A word's beginning is toxic if at least 1/RARE of the toxic texts have it and
 #: its share among them is OFTEN times its share among ordinary texts.
 RARE, OFTEN = 60, 30
+#: A rare one is in at least this many; SMOOTH is added to its ordinary count.
+LEAST, SMOOTH = 4, 0.1
 SHORTEST, LONGEST = 4, 12
 _WORD_ENDS = bytes(c if 48 <= c < 58 or 97 <= c < 123 or c >= 128 or c == 39 else 32 for c in range(256))
 
@@ -51,33 +58,48 @@ def _beginnings(text: str) -> set[bytes]:
     return out
 
 
-def toxic_words(toxic: list[str], ordinary: list[str]) -> list[bytes]:
+def toxic_words(toxic: list[str], ordinary: list[str], rare: bool = False) -> list[bytes]:
     """Words of toxic texts with a toxic beginning, the most frequent last."""
     there, here = Counter(), Counter()
     for t in toxic:
         there.update(_beginnings(t))
     for t in ordinary:
         here.update(_beginnings(t))
-    least = max(3, len(toxic) // RARE)
-    chosen = {p for p, n in there.items() if n >= least and n / len(toxic) >= OFTEN * (here[p] + 0.5) / max(1, len(ordinary))}
+    least, smooth = (LEAST, SMOOTH) if rare else (max(3, len(toxic) // RARE), 0.5)
+    chosen = {p for p, n in there.items() if n >= least and n / len(toxic) >= OFTEN * (here[p] + smooth) / max(1, len(ordinary))}
     found = Counter()
     for t in toxic:
         found.update(w for w in words(t) if w + b" " in chosen or any(w[:k] in chosen for k in range(SHORTEST, min(len(w), LONGEST) + 1)))
     return [w for w, _ in sorted(found.items(), key=lambda wn: (wn[1], wn[0]))]
 
 
+def windows(texts: list[str]) -> list[bytes]:
+    out = []
+    for t in texts:
+        b = t.encode("utf-8", "surrogatepass").lower()
+        out += [b[i : i + 96] for i in range(0, len(b), max(96, len(b) * len(texts) // compression.TRAINING_WINDOWS))]
+    return out
+
+
+def with_words(common: bytes, chosen: list[bytes]) -> tuple[bytes, bytes]:
+    """The common dictionary after filler and after the chosen words."""
+    lead = (b" " + b" ".join(chosen))[-TOXIC_BYTES:] + b" "
+    return b"\x01" * len(lead) + common, lead + common
+
+
 def train(rows: list[tuple[str, int]], counts: dict[int, int]) -> compression.Model:
     learn, tune = [r for k, r in enumerate(rows) if k % 5 < 3], [r for k, r in enumerate(rows) if k % 5 >= 3]
     toxic, ordinary = [t for t, y in learn if y == 1], [t for t, y in learn if y == 0]
-    lead = (b" " + b" ".join(toxic_words(toxic, ordinary)))[-TOXIC_BYTES:] + b" " if toxic else b" "
-    windows = []
-    for t in ordinary:
-        b = t.encode("utf-8", "surrogatepass").lower()
-        windows += [b[i : i + 96] for i in range(0, len(b), max(96, len(b) * len(ordinary) // compression.TRAINING_WINDOWS))]
-    common = compression.trained_dictionary(COMMON_BYTES, windows)
+    common, trained = (compression.trained_dictionary(COMMON_BYTES, windows(texts)) for texts in (ordinary, toxic))
+    frequent = toxic_words(toxic, ordinary) if toxic else []
+    rare = set(frequent)
+    rare = [w for w in toxic_words(toxic, ordinary, True) if w not in rare] if toxic else []
+    size = min(len(common), len(trained))
+    (filler, words_first), further = with_words(common, frequent), with_words(common, rare)
     model = compression.Model(
-        b"\x01" * len(lead) + common, lead + common, WINDOW, STEP, compression.STRATEGIES["fine"], True, "peaks", np.zeros(0), np.zeros(0), np.zeros(0)
-    )
+        filler, words_first, WINDOW, STEP, compression.STRATEGIES["fine"], True, "peaks", np.zeros(0), np.zeros(0), np.zeros(0),
+        more=((common[-size:], trained[-size:]), further),
+    )
     return compression.calibrate(model, tune, counts)
 
 
