@@ -92,12 +92,55 @@ def test_near_without_stars_and_in_small_blocks(spark, rows, monkeypatch):
     """The trees alone find all links, also block part by block part."""
     monkeypatch.setattr(ngram_join, "STAR_TURNS", 0)
     monkeypatch.setattr(ngram_join, "BLOCK", 7)
-    monkeypatch.setattr(ngram_join, "CHUNK", 500)
+    monkeypatch.setattr(ngram_join, "PART_TOKENS", 2000)
+    monkeypatch.setattr(ngram_join, "_ties_to_largest", lambda *a: 1 / 0)
     sets, comp = components(rows)
     got = {r["id"]: r["component_id"] for r in ngram_join.document_components(frame(spark, rows)).collect()}
     assert got == {i: min(rows[j][0] for j in comp[k]) for k, (i, _) in enumerate(rows)}
 
 
+def test_hot_shingles_come_last(spark, rows, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HOT", 4)
+    sets, comp = components(rows)
+    got = {r["id"]: r["component_id"] for r in ngram_join.document_components(frame(spark, rows)).collect()}
+    assert got == {i: min(rows[j][0] for j in comp[k]) for k, (i, _) in enumerate(rows)}
+
+
+def test_prefixes_of_linked_sets_meet_in_any_order():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    hot = rng.integers(0, 256, 1 << 23).astype(np.uint8)
+    for _ in range(300):
+        n = int(rng.integers(1, 60))
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64) << np.uint64(1))
+        b = np.unique(np.concatenate([rng.choice(a, len(a) - len(a) // 8, replace=False), rng.integers(0, 2**63, len(a) // 9).astype(np.uint64)]))
+        if 4 * len(np.intersect1d(a, b)) >= 3 * len(np.union1d(a, b)):
+            for order in (None, hot):
+                assert len(np.intersect1d(ngram_join.prefix(a, order), ngram_join.prefix(b, order)))
+
+
+def test_many_near_copies_that_no_star_joins(spark, monkeypatch):
+    """A long chain of texts, each near the next few only, in one block."""
+    words = [f"c{i}" for i in range(3000)]
+    chain = [(k, " ".join(["same"] * 6 + words[2 * k : 2 * k + 60])) for k in range(1200)]
+    monkeypatch.setattr(ngram_join, "BLOCK", 300)
+    got = {r["id"]: r["component_id"] for r in ngram_join.document_components(spark.createDataFrame(chain, "doc_id long, text string")).collect()}
+    assert set(got.values()) == {0}
+
+
+def test_deduplicate_goes_by_row(spark):
+    t, u = text(random.Random(1), 60), text(random.Random(2), 60)
+    rows = [(1, t), (2, t + " x"), (2, u), (3, u + " q"), (5, t + " y"), (5, t + " z"), (7, None), (7, ""), (None, u + " r"), (2, u), (2, u)]
+    df = spark.createDataFrame([(i, s, k, 0, "a") for k, (i, s) in enumerate(rows)], "doc_id long, text string, _gone int, component int, th string")
+    out = ngram_join.deduplicate(df)
+    assert out.columns == df.columns
+    kept = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    assert kept == sorted([(1, t), (2, u), (7, None), (7, "")], key=str)
+    lost = spark.createDataFrame([(None, t), (None, t), (None, t + " x")], "doc_id long, text string")
+    assert ngram_join.deduplicate(lost).count() == 1
+
+
 def test_near_on_nothing_and_without_ids(spark, rows):
     assert ngram_join.document_components(frame(spark, rows).limit(0)).count() == 0
     some = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (7, "a b c d e f"), (8, None)], "doc_id long, text string")
@@ -125,8 +168,9 @@ def test_signature_trees_drop_no_link():
     sizes = np.array([len(s) for s in sets])
     maps = [st.bitmap(s, st.bits_for(len(s))) for s in sets]
     found = set()
-    for x, y in st.join_sets(sizes, maps, np.arange(150)):
+    for x, y in st.join_sets(sizes, maps, np.arange(150), np.arange(0, 150), np.arange(0, 150)):
         found.update(map(frozenset, zip(x.tolist(), y.tolist(), strict=True)))
+        assert all(st.near((sizes[i], sizes[j]), (maps[i], maps[j])) for i, j in zip(x.tolist(), y.tolist(), strict=True))
     true = {frozenset((a, b)) for a in range(150) for b in range(a) if 4 * len(np.intersect1d(sets[a], sets[b])) >= 3 * len(np.union1d(sets[a], sets[b]))}
     assert true and true <= found and len(found) < 150 * 149 / 4
 
@@ -145,8 +189,11 @@ def test_repeats(spark, rows):
     assert not clean & found
     texts = dict(rows)
     for r in got:
-        piece = texts[r["id"]].encode()[r["start"] : r["end"]].decode()
-        assert r["n_words"] >= 25 and sum(piece[8:-8] in (t or "") for t in texts.values()) >= 1
+        raw = texts[r["id"]].encode()
+        other = [t or "" for i, t in rows if i != r["id"]]
+        _, _, start, end, _, _ = substring_dedup.units(texts[r["id"]])
+        inside = [raw[a:b].decode() for a, b in zip(start.tolist(), end.tolist(), strict=True) if r["start"] <= a and b <= r["end"]]
+        assert r["n_words"] >= 25 and inside and all(any(u in t for t in other) for u in inside)
         assert r["removed"] == (r["first_id"] != r["id"])
 
 
@@ -162,6 +209,21 @@ def test_removing_repeats_keeps_one_holder(spark, rows):
     assert substring_dedup.repeats(again).count() == 0  # one document
 
 
+def test_passages_without_spaces_and_clashing_names(spark):
+    rng = random.Random(6)
+    make = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(n))
+    shared = make(600)
+    rows = [(k, make(80) + shared + make(80), k, k, "s", 1) for k in range(3)] + [(None, None, 0, 0, "", 0), (9, make(700), 0, 0, "", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, th int, id int, spans string, i int")
+    found = {r["id"]: r["removed"] for r in substring_dedup.repeats(df).collect()}
+    assert found == {0: False, 1: True, 2: True}
+    out = substring_dedup.remove_repeats(df)
+    assert out.columns == df.columns
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert len(got[1]["text"]) < 250 and got[0]["text"] == rows[0][1] and got[9]["text"] == rows[4][1] and got[None]["text"] is None
+    assert all(got[k]["th"] == k and got[k]["spans"] == "s" for k in range(3))
+
+
 def test_cuts_fall_into_step_after_insertions():
     import numpy as np
 

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from . import duck
 from .storage import materialise, table
-from .words import batch_shingle_sets, list_column, mix, row_slices
+from .words import list_column, mix, row_slices, shingle_sets
 
 #: Contained: at least NEEDED of every OF shingles.
 NEEDED, OF = 3, 4
@@ -49,7 +49,7 @@ _FOUND = "doc_id bigint, item_id bigint, n_item int, n_common int"
 def _sets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = batch_shingle_sets(batch.column(1))
+            sets = shingle_sets(batch.column(1))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int32()), list_column(sets, pa.int64())],
                 names=["item_id", "n", "shingles"],
@@ -128,7 +128,7 @@ def _search(docs: DataFrame, sets: DataFrame) -> DataFrame:
         tables = ItemTables(*shared.value)
         for batch in (part for whole in batches for part in row_slices(whole)):
             found = []
-            for doc, shingles in zip(batch.column(0).to_pylist(), batch_shingle_sets(batch.column(1)), strict=True):
+            for doc, shingles in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1)), strict=True):
                 found += [(doc, int(tables.ids[i]), len(tables.sets[i]), common) for i, common in tables.contained(shingles)]
             columns = list(zip(*found, strict=True)) or [[], [], [], []]
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
@@ -152,7 +152,7 @@ def _search_by_join(docs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = batch_shingle_sets(batch.column(1))
+            found = shingle_sets(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), list_column(found, pa.int64())], names=["doc_id", "th", "shingles"])
 
     rows = docs.withColumn("th", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))

@@ -4,29 +4,36 @@ Two documents link when 100 * intersection >= 75 * union of their sets of
 distinct five-word shingles; the result names each document's connected
 component.  Documents with equal sets are one class; only classes are compared.
 
-1.  Blocks.  Classes meet in blocks that share a band of three of 150 minimum
-    hashes (50 bands): two sets at the threshold share no band with probability
-    (1 - 0.75**3)**50 = 1.3e-12, closer ones still less.
-2.  Stars.  In each block every class is tied to the block's least class; of
-    these ties each class verifies the one that most of its blocks propose, on
-    the whole sets.  Verified ties give first components.  In a few more turns
-    each class outside its block's largest component is tied to a member of that,
-    and verifies TIES of its ties.  So a family of near copies is all but one
-    component after a few checks a member, not after all pairs.
-3.  Trees.  Blocks that still hold several components are searched by a
-    signature tree's dual traversal, which drops every pair whose components are
-    one or whose largest possible overlap is too small.  What is left is written
-    as (class, other component), from the smaller component to the larger, never
-    as all pairs.
-4.  Verification.  Each class meets the whole sets of the other component, again
-    in signature trees, and one exact link a chunk is enough.  No component
-    or block is gathered as a whole: blocks are worked on in pairs of parts of
-    at most BLOCK classes, components in chunks of about CHUNK shingles.
+1.  Blocks.  Put in one global order, the first n // 4 + 1 shingles of a set of n
+    hold the first shingle that it shares with any set linked to it: a linked set
+    lacks at most n // 4 of them.  So classes that link share a shingle of these
+    prefixes, without exception, and only classes of such a block meet.  The
+    order is that of the hashes, but shingles of more than HOT prefixes come
+    last (a passage that many documents share), as a bitmap of fixed size says;
+    any order is complete, this one keeps blocks small.  Of blocks with the same
+    classes one is kept.
+2.  Stars.  In each block every class is tied to the block's least class; each
+    class verifies, on the whole sets, the tie that most of its blocks propose.
+    Verified ties give first components.  In a few more turns each class outside
+    its block's largest component is tied to a member of that, and verifies TIES
+    of its ties.  So a family of near copies is all but one component after a
+    few checks a member, not after all pairs.  Ties decide no "no".
+3.  Trees.  In blocks that still hold several components, the classes outside the
+    largest one meet all others in signature trees: the dual traversal drops
+    node pairs whose components are one or whose largest possible overlap is too
+    small.  A pair of leaves that is left is one row that names its classes, so
+    what is written is bounded by leaf pairs, not by pairs.
+4.  Verification.  Each leaf pair meets its whole sets and every pair in it is
+    checked exactly, but for pairs that links found there have joined already.
+
+No block or component is gathered as a whole: blocks are dealt out in parts of at
+most BLOCK classes and PART_TOKENS shingles, leaf pairs hold at most 96 sets.
 
 Defined results: null and empty texts have the empty set, link with nothing and
 are their own component; a null doc_id counts for no component's name, and a
-component of such rows alone has none; rows that repeat an id give a row each;
-an empty table gives an empty result; further columns are ignored.
+component of such rows alone has none; rows that repeat an id give a row each,
+with their own text's component; an empty table gives an empty result; further
+columns, whatever their names, are ignored here and kept by :func:`deduplicate`.
 """
 
 from __future__ import annotations
@@ -40,262 +47,361 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import duck
+from .bitmaps import bitmap_of, hits
 from .components import connected_components
-from .signature_tree import Tree, bitmap, bits_for, dual_join, join_sets
-from .storage import materialise, table
-from .words import batch_shingle_sets, list_column, mix, row_slices
+from .signature_tree import bitmap, bits_for, join_sets, near
+from .storage import materialise, release, table
+from .words import list_column, row_slices, shingle_sets
 
-BANDS, ROWS = 50, 3
+#: Prefixes that a shingle may be in before it is put last, and turns of that.
+HOT, DEMOTIONS = 1000, 2
 #: Turns of ties to the largest component, and ties a class verifies in each.
-STAR_TURNS, TIES = 2, 3
-#: Classes of a block that one task compares with as many others.
-BLOCK = 2000
-#: Shingles of a component that one task holds, about.
-CHUNK = 400_000
-_CLASSED = "id bigint, digest binary, n int, bands array<bigint>"
-_MINE = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+STAR_TURNS, TIES = 1, 3
+#: Classes of a block, and their shingles, that one task compares with as many.
+BLOCK, PART_TOKENS = 2000, 4_000_000
+_CLASSED = "id bigint, th binary, digest binary, n int, prefix array<bigint>, map array<bigint>"
 
 
 def _digest(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
-def bands_of(s: np.ndarray) -> np.ndarray:
-    """A key for each band of a set's minimum hashes."""
-    least = np.full(BANDS * ROWS, np.uint64(2**64 - 1))
-    for a in range(0, len(s), 1024):
-        h = s[a : a + 1024, None] * _MINE[None, :]
-        np.minimum(least, (h ^ (h >> np.uint64(29))).min(axis=0), out=least)
-    key = np.arange(BANDS, dtype=np.uint64)
-    for r in range(ROWS):
-        key = mix(key + least[r::ROWS])
-    return key
+def prefix(s: np.ndarray, hot: np.ndarray | None = None) -> np.ndarray:
+    """The first shingles of a sorted set in the global order."""
+    if hot is not None:
+        late = hits(hot, s)
+        if late.any():
+            s = np.concatenate((s[~late], s[late]))
+    return s[: len(s) // 4 + 1]
 
 
 def _classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in (part for whole in batches for part in row_slices(whole, 2048)):
-        sets = batch_shingle_sets(batch.column(1))
-        bands = [bands_of(s) if len(s) else s for s in sets]
+    for batch in (part for whole in batches for part in row_slices(whole)):
+        sets = shingle_sets(batch.column(2))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([_digest(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), list_column(bands, pa.int64())],
-            names=["id", "digest", "n", "bands"],
-        )
+            [
+                batch.column(0), batch.column(1), pa.array([_digest(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()),
+                list_column([prefix(s) for s in sets], pa.int64()), list_column([bitmap(s, bits_for(len(s))) for s in sets], pa.int64()),
+            ],
+            names=["id", "th", "digest", "n", "prefix", "map"],
+        )
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in (part for whole in batches for part in row_slices(whole, 2048)):
-        sets = batch_shingle_sets(batch.column(1))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([_digest(s) for s in sets], pa.binary()), list_column(sets, pa.int64())], names=["d", "shingles"]
-        )
+def _ragged(column: pa.Array) -> list[np.ndarray]:
+    ends = column.offsets.to_numpy()
+    flat = column.values.to_numpy(zero_copy_only=False).view(np.uint64)
+    return [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """The runs of equal keys in a sorted stream, each as one table."""
-    held: list[pa.Table] = []
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """The runs of equal keys in a sorted stream."""
+    held: list[pa.RecordBatch] = []
     last = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        t = pa.Table.from_batches([batch])
-        columns = [t[k].to_numpy() for k in keys]
-        change = np.zeros(len(t), bool)
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        change = np.zeros(batch.num_rows, bool)
         for c in columns:
             change[1:] |= c[1:] != c[:-1]
-        cuts = [0, *np.flatnonzero(change).tolist(), len(t)]
+        cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             key = tuple(c[a] for c in columns)
             if held and key != last:
-                yield pa.concat_tables(held)
+                yield held[0] if len(held) == 1 else pa.concat_batches(held)
                 held = []
-            held.append(t.slice(a, b - a))
+            held.append(batch.slice(a, b - a))
             last = key
     if held:
-        yield pa.concat_tables(held)
-
-
-def _ragged(column: pa.ChunkedArray) -> list[np.ndarray]:
-    column = column.combine_chunks()
-    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-    ends = column.offsets.to_numpy()
-    flat = column.values.to_numpy(zero_copy_only=False).view(np.uint64)
-    return [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        yield held[0] if len(held) == 1 else pa.concat_batches(held)
+
+
+class _Classes:
+    """The classes of a table, and whole sets of those that are asked for."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows, self.spark = rows, rows.sparkSession
+        heavy = materialise(rows.select("id", "th", "text").mapInArrow(_classed, _CLASSED), "sets")
+        self.slim = materialise(heavy.select("id", "th", "digest", "n"), "rows")
+        classes = heavy.filter("n > 0").groupBy("digest").agg(F.min("id").alias("least"), *[F.first(c).alias(c) for c in ("n", "prefix", "map")])
+        self.classes = materialise(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+        release(heavy)
+        self.names = self.classes.select("cid", "digest", "least")
+        self.sets: DataFrame | None = None
+        same = self.slim.filter("n > 0").groupBy("id", "digest").count().filter("count > 1")
+        self.repeated = not same.isEmpty()
+
+    def sets_of(self, wanted: DataFrame) -> DataFrame:
+        """``cid, shingles`` of at least the wanted classes (``cid``); their texts are
+        hashed again where they lie."""
+        if self.sets is not None:
+            wanted = wanted.join(self.sets.select("cid"), "cid", "left_anti")
+        chosen = materialise(self.names.join(wanted, "cid", "left_semi"), "wanted")
+        shared = self.spark.sparkContext.broadcast(bitmap_of(chosen.select(F.xxhash64("least").alias("key"))))
+
+        def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = np.frombuffer(shared.value, np.uint8)
+            for batch in batches:
+                at = np.flatnonzero(hits(bits, batch.column(1).to_numpy().view(np.uint64)))
+                for part in (at[a : a + 512] for a in range(0, len(at), 512)):
+                    some = batch.take(pa.array(part))
+                    sets = shingle_sets(some.column(2))
+                    yield pa.RecordBatch.from_arrays(
+                        [some.column(0), pa.array([_digest(s) for s in sets], pa.binary()), list_column(sets, pa.int64())], names=["i", "d", "shingles"]
+                    )
+
+        found = self.rows.select("id", F.xxhash64("id").alias("h"), "text").mapInArrow(build, "i bigint, d binary, shingles array<bigint>")
+        found = found.join(chosen, (F.col("d") == F.col("digest")) & F.col("i").eqNullSafe(F.col("least"))).select("cid", "shingles")
+        if self.repeated:  # rows that repeat an id and a set
+            found = found.dropDuplicates(["cid"])
+        found = materialise(found, "shingles")
+        release(chosen)
+        self.sets = found if self.sets is None else self.sets.unionAll(found)
+        return self.sets
+
+    def linkable(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that signatures allow to link."""
+        known = self.classes.select("cid", "n", "map")
+        met = pairs.select("a", "b").join(known.toDF("a", "na", "mapa"), "a").join(known.toDF("b", "nb", "mapb"), "b")
+        return materialise(met.select("a", "b", "na", "nb", "mapa", "mapb").mapInArrow(_near_pairs, "a bigint, b bigint"), "pairs")
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that link."""
+        pairs = self.linkable(pairs)
+        sets = self.sets_of(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct())
+        both = pairs.join(sets.toDF("a", "mine"), "a").join(sets.toDF("b", "shingles"), "b")
+        return both.filter(7 * F.size(F.array_intersect("mine", "shingles")) >= 3 * (F.size("mine") + F.size("shingles"))).select("a", "b")
+
+
+def _near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sizes = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+        maps = zip(_ragged(batch.column(4)), _ragged(batch.column(5)), strict=True)
+        yield batch.select(["a", "b"]).filter(pa.array([near(s, m) for s, m in zip(sizes, maps, strict=True)], pa.bool_()))
+
+
+def _filtered_keys(prefixes: DataFrame, bits: bytes) -> DataFrame:
+    """``cid, key`` of the prefixes' shingles that a bitmap has."""
+    shared = prefixes.sparkSession.sparkContext.broadcast(bits)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap_ = np.frombuffer(shared.value, np.uint8)
+        for batch in (part for whole in batches for part in row_slices(whole)):
+            flat = batch.column(1).flatten().to_numpy().view(np.uint64)
+            counts = np.diff(batch.column(1).offsets.to_numpy())
+            keep = hits(bitmap_, flat)
+            cid = np.repeat(batch.column(0).to_numpy(), counts)[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(flat[keep].view(np.int64))], names=["cid", "key"])
+
+    return prefixes.select("cid", "prefix").mapInArrow(keys, "cid bigint, key bigint")
+
+
+def _counted(prefixes: DataFrame, least: int) -> DataFrame:
+    return prefixes.select(F.explode("prefix").alias("key")).groupBy("key").count().filter(F.col("count") > least)
+
+
+def _prefixes(found: _Classes) -> tuple[DataFrame, list[DataFrame]]:
+    """``cid, prefix`` of every class in an order that puts hot shingles last, and
+    tables to release: at the end ``key, count`` of those in several prefixes."""
+    first = found.classes.select("cid", "prefix")
+    shared = materialise(_counted(first, 1), "keys")
+    hot = shared.filter(F.col("count") > HOT).select("key")
+    if hot.isEmpty():
+        return first, [shared]
+    hot = materialise(hot, "hot")
+    bits = bitmap_of(hot)
+    # Only prefixes with a hot shingle change.
+    touched = materialise(_filtered_keys(first, bits).select("cid").distinct(), "touched")
+    sets = found.sets_of(touched).join(touched, "cid", "left_semi")
+    for turn in range(DEMOTIONS):
+        shared_bits = found.spark.sparkContext.broadcast(bits)
+
+        def again(batches: Iterator[pa.RecordBatch], shared_bits=shared_bits) -> Iterator[pa.RecordBatch]:
+            late = np.frombuffer(shared_bits.value, np.uint8)
+            for batch in (part for whole in batches for part in row_slices(whole)):
+                yield pa.RecordBatch.from_arrays([batch.column(0), list_column([prefix(s, late) for s in _ragged(batch.column(1))], pa.int64())], names=["cid", "prefix"])
+
+        moved = materialise(sets.mapInArrow(again, "cid bigint, prefix array<bigint>"), "prefixes")
+        if turn == DEMOTIONS - 1:
+            break
+        more = materialise(_counted(moved, HOT).select("key").join(hot, "key", "left_anti"), "hot")
+        if more.isEmpty():
+            break
+        hot = hot.unionAll(more)
+        bits = bitmap_of(hot)
+    every = materialise(first.join(touched, "cid", "left_anti").unionAll(moved), "prefixes")
+    return every, [shared, every, materialise(_counted(every, 1), "keys")]
+
+
+def _blocks(found: _Classes) -> DataFrame:
+    """``key, cid, leader, weight``: the classes of each block, its least class and
+    how many blocks are alike."""
+    prefixes, done = _prefixes(found)
+    rows = _filtered_keys(prefixes, bitmap_of(done[-1]))
+    signature = [F.bit_xor(F.xxhash64("cid", F.lit(k))).alias(f"x{k}") for k in (0, 1)]
+    blocks = rows.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min("cid").alias("leader"), *signature).filter("held > 1")
+    alike = materialise(blocks.groupBy("held", "leader", "x0", "x1").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("weight")).select("key", "leader", "weight"), "alike")
+    out = materialise(rows.join(alike, "key").select("key", "cid", "leader", "weight"), "blocks")
+    for t in (alike, *done):
+        release(t)
+    return out
 
 
-_CANDIDATE = "cid bigint, other bigint"
+def _merged(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """``cid, comp`` after further links (a, b) between classes; the components
+    are found on the graph of components."""
+    edges = links.join(comps.toDF("a", "x"), "a").join(comps.toDF("b", "y"), "b")
+    found = connected_components(edges.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    new = comps.join(found, F.col("comp") == F.col("node"), "left").select("cid", F.coalesce("component", "comp").alias("comp"))
+    return materialise(new, "components")
+
+
+def _mixed(blocks: DataFrame, comps: DataFrame, found: _Classes) -> DataFrame:
+    """``key, cid, comp, head, held, tokens`` of the blocks that hold several
+    components; head is a member (cid, comp) of the largest component in it."""
+    weights = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("weight"))
+    placed = blocks.select("key", "cid").join(comps.join(weights, "comp").join(found.classes.select("cid", "n"), "cid"), "cid")
+    by = F.struct("weight", "comp", F.xxhash64("cid", "key"), "cid")
+    heads = placed.groupBy("key").agg(
+        F.count(F.lit(1)).alias("held"), F.sum("n").alias("tokens"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.max(by).alias("head")
+    ).filter("low != high")
+    heads = heads.select("key", "held", "tokens", F.struct(F.col("head.cid").alias("cid"), F.col("head.comp").alias("comp")).alias("head"))
+    # Written first, so that the join below deals rows out anew and may split a hot key.
+    heads = materialise(heads, "heads")
+    return materialise(placed.select("key", "cid", "comp").join(heads, "key"), "mixed")
+
+
+def _ties_to_largest(mixed: DataFrame, turn: int) -> DataFrame:
+    """Ties of classes to a member of the largest component of their blocks; TIES of them a class."""
+    ties = mixed.filter(F.col("comp") != F.col("head.comp")).select("cid", F.col("head.cid").alias("leader")).distinct()
+    # A class has at most as many rows here as its prefix.
+    turn_of = F.row_number().over(Window.partitionBy("cid").orderBy(F.xxhash64("leader", F.lit(turn)), "leader"))
+    return ties.withColumn("turn", turn_of).filter(F.col("turn") <= TIES).select(F.col("cid").alias("a"), F.col("leader").alias("b"))
 
 
-def _search_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each block part pair, (class, other component) that bitmaps allow."""
-    for t in _groups(batches, ["key", "i", "j"]):
-        cid, label, n = t["cid"].to_numpy(), t["comp"].to_numpy(), t["n"].to_numpy().astype(np.int64)
-        weight, part, maps = t["weight"].to_numpy(), t["part"].to_numpy(), _ragged(t["map"])
-        crossed = t["i"][0].as_py() != t["j"][0].as_py()
-        found = set()
-        for x, y in join_sets(n, maps, label):
-            if crossed:
-                keep = part[x] != part[y]
-                x, y = x[keep], y[keep]
-            swap = (weight[x] > weight[y]) | ((weight[x] == weight[y]) & (label[x] > label[y]))
-            x, y = np.where(swap, y, x), np.where(swap, x, y)
-            found.update(zip(cid[x].tolist(), label[y].tolist(), strict=True))
-        if found:
-            a, b = zip(*found, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["cid", "other"])
+_LEAVES = "xs array<bigint>, ys array<bigint>"
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each chunk of a component, one exact link for each class that has any."""
-    for t in _groups(batches, ["comp", "chunk"]):
-        probe, cid, sets = t["probe"].to_numpy(zero_copy_only=False), t["cid"].to_numpy(), _ragged(t["shingles"])
-        sizes = np.array([len(s) for s in sets], np.int64)
-        members, probes = np.flatnonzero(~probe), np.flatnonzero(probe)
-        if not len(members) or not len(probes):
+def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each job (a part of a block's classes outside the largest component
+    against a part of all), the leaf pairs that bitmaps allow."""
+    for t in _groups(batches, ["key", "p", "q"]):
+        side = t.column("side").to_numpy(zero_copy_only=False)
+        left, right = np.flatnonzero(side), np.flatnonzero(~side)
+        if not len(left) or not len(right):
             continue
-        linked: dict[int, int] = {}
-        for size in np.unique([s.bit_length() for s in sizes[probes].tolist()]).tolist():
-            mine = probes[[int(sizes[p]).bit_length() == size for p in probes.tolist()]]
-            low, high = sizes[mine].min(), sizes[mine].max()
-            near = members[(4 * sizes[members] >= 3 * low) & (3 * sizes[members] <= 4 * high)]
-            if not len(near):
-                continue
-            bits = bits_for(int(high))
-            left = Tree(sizes[mine], np.stack([bitmap(sets[i], bits) for i in mine]), np.zeros(len(mine), np.int64))
-            right = Tree(sizes[near], np.stack([bitmap(sets[i], bits) for i in near]), np.ones(len(near), np.int64))
-            for x, y in dual_join(left, right):
-                for i, j in zip(mine[x].tolist(), near[y].tolist(), strict=True):
-                    if i in linked:
-                        continue
-                    a, b = sets[i], sets[j]
-                    at = np.searchsorted(b, a)
-                    at[at == len(b)] = 0
-                    if 7 * int((b[at] == a).sum()) >= 3 * (len(a) + len(b)):
-                        linked[i] = j
-        if linked:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cid[list(linked)], pa.int64()), pa.array(cid[list(linked.values())], pa.int64())], names=["a", "b"]
-            )
+        cid, main = t.column("cid").to_numpy(), t.column("main").to_numpy(zero_copy_only=False)
+        xs, ys = [], []
+        for x, y in join_sets(t.column("n").to_numpy().astype(np.int64), _ragged(t.column("map")), t.column("comp").to_numpy(), left, right):
+            once = main[y] | (cid[x] < cid[y])  # classes outside meet each other twice
+            if once.any():
+                xs.append(np.unique(cid[x[once]]).view(np.uint64))
+                ys.append(np.unique(cid[y[once]]).view(np.uint64))
+            if len(xs) == 256:
+                yield pa.RecordBatch.from_arrays([list_column(xs, pa.int64()), list_column(ys, pa.int64())], names=["xs", "ys"])
+                xs, ys = [], []
+        if xs:
+            yield pa.RecordBatch.from_arrays([list_column(xs, pa.int64()), list_column(ys, pa.int64())], names=["xs", "ys"])
+
+
+def _leaf_pairs(mixed: DataFrame, found: _Classes) -> DataFrame:
+    """``pair, xs, ys``: pairs of leaves whose classes may link."""
+    rows = mixed.withColumn("main", F.col("comp") == F.col("head.comp"))
+    outside = rows.groupBy("key").agg(F.count(F.when(~F.col("main"), 1)).alias("out"))
+    rows = rows.join(materialise(outside, "outside"), "key")
+
+    def parts(of):
+        return F.greatest(F.ceil(F.col(of) / BLOCK), F.ceil(F.col(of) / F.col("held") * F.col("tokens") / PART_TOKENS), F.lit(1)).cast("int")
+
+    rows = rows.withColumn("ps", parts("out")).withColumn("qs", parts("held"))
+    h = F.xxhash64("cid")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    mine = rows.filter("NOT main").withColumn("p", F.pmod(h, "ps").cast("int")).withColumn("q", every("qs")).withColumn("side", F.lit(True))
+    theirs = rows.withColumn("q", F.pmod(h, "qs").cast("int")).withColumn("p", every("ps")).withColumn("side", F.lit(False))
+    jobs = mine.select("key", "p", "q", "cid", "comp", "main", "side").unionByName(theirs.select("key", "p", "q", "cid", "comp", "main", "side"))
+    jobs = jobs.join(found.classes.select("cid", "n", "map"), "cid")
+    dealt = jobs.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").select("key", "p", "q", "cid", "comp", "main", "side", "n", "map")
+    leaves = dealt.mapInArrow(_search, _LEAVES).distinct()
+    return materialise(leaves.withColumn("pair", F.monotonically_increasing_id()), "leaves")
 
 
-def document_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``id, n_shingles, component_id``."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    classed = materialise(rows.mapInArrow(_classed, _CLASSED), "sets")
-    classes = classed.filter("n > 0").groupBy("digest").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    classes = materialise(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-
-    banded = classes.select("cid", F.explode("bands").alias("key"))
-    blocks = banded.groupBy("key").agg(F.min("cid").alias("leader"), F.count(F.lit(1)).alias("held")).filter("held > 1")
-    blocks = materialise(banded.join(blocks, "key"), "blocks")
-    sets = _sets_of(rows, classes, blocks.select("cid").distinct())
-
-    ties = blocks.filter("cid != leader").groupBy("cid", "leader").count()
-    ties = ties.groupBy("cid").agg(F.max_by("leader", F.struct("count", -F.col("leader"))).alias("leader"))
-    comps = blocks.select("cid").distinct().select("cid", F.col("cid").alias("comp"), F.lit(1).cast("long").alias("weight"))
-    comps = _merged(comps, _verified_ties(ties, sets))
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of each pair of leaves, as many as join what they join."""
+    for t in _groups(batches, ["pair"]):
+        cid, side, comp, sets = t.column("cid").to_numpy(), t.column("side").to_numpy(zero_copy_only=False), t.column("comp").to_numpy().copy(), _ragged(t.column("shingles"))
+        links = []
+        for i in np.flatnonzero(side).tolist():
+            for j in np.flatnonzero(~side & (comp != comp[i])).tolist():
+                a, b = sets[i], sets[j]
+                if comp[j] == comp[i] or 4 * len(a) < 3 * len(b) or 4 * len(b) < 3 * len(a):
+                    continue
+                at = np.searchsorted(b, a)
+                at[at == len(b)] = 0
+                if 7 * int((b[at] == a).sum()) >= 3 * (len(a) + len(b)):
+                    links.append((cid[i], cid[j]))
+                    comp[comp == comp[j]] = comp[i]
+        if links:
+            a, b = zip(*links, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _tree_links(mixed: DataFrame, comps: DataFrame, found: _Classes) -> DataFrame:
+    leaves = _leaf_pairs(mixed, found)
+    members = leaves.select("pair", F.explode("xs").alias("cid"), F.lit(True).alias("side")).unionAll(leaves.select("pair", F.explode("ys"), F.lit(False)))
+    members = materialise(members, "members")
+    sets = found.sets_of(members.select("cid").distinct())
+    met = members.join(comps, "cid").join(sets, "cid").select("pair", "cid", "side", "comp", "shingles")
+    return met.repartition("pair").sortWithinPartitions("pair").mapInArrow(_verify, "a bigint, b bigint")
+
+
+def _named(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` has id, th and text.  ``id, th, n, component`` of each row (a null
+    component: the empty set), and each component's least id."""
+    found = _Classes(rows)
+    blocks = _blocks(found)
+    comps = materialise(blocks.select("cid").distinct().select("cid", F.col("cid").alias("comp")), "components")
+    ties = blocks.filter("cid != leader").groupBy("cid", "leader").agg(F.sum("weight").alias("weight"))
+    ties = ties.groupBy("cid").agg(F.max(F.struct("weight", (-F.col("leader")).alias("l"))).alias("best")).select(F.col("cid").alias("a"), (-F.col("best.l")).alias("b"))
+    comps = _merged(comps, found.verified(ties))
+    mixed = _mixed(blocks, comps, found)
     for turn in range(STAR_TURNS):
-        comps = _merged(comps, _verified_ties(_ties_to_largest(blocks, comps, turn), sets))
-    comps = _merged(comps, _links(materialise(_candidates(blocks, comps, sets), "candidates"), comps, sets))
-    named = classes.join(comps.withColumnRenamed("cid", "c"), F.col("cid") == F.col("c"), "left").select("digest", "least", F.coalesce("comp", "cid").alias("component"))
+        comps = _merged(comps, found.verified(_ties_to_largest(mixed, turn)))
+        last, mixed = mixed, _mixed(mixed, comps, found)
+        release(last)
+    comps = _merged(comps, _tree_links(mixed, comps, found))
+    named = found.names.join(comps.toDF("c", "comp"), F.col("cid") == F.col("c"), "left").select("digest", "least", F.coalesce("comp", "cid").alias("component"))
     named = materialise(named, "named")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "component").select("digest", "component_id")
-    out = classed.filter("n > 0").select("id", "digest", "n").join(named, "digest").select("id", F.col("n").cast("long").alias("n_shingles"), "component_id")
-    empty = classed.filter("n = 0").select("id", F.lit(0).cast("long").alias("n_shingles"), F.col("id").alias("component_id"))
-    return out.unionByName(empty)
-
-
-def _sets_of(rows: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``cid, shingles`` of the wanted classes; a text of each is hashed again."""
-    chosen = classes.join(wanted, "cid", "left_semi").select("cid", "digest", "least")
-    texts = rows.join(chosen.select("least").distinct(), F.col("id").eqNullSafe(F.col("least")), "left_semi").select("id", "text")
-    sets = texts.mapInArrow(_sets, "d binary, shingles array<bigint>")
-    # Rows that repeat an id may bring other texts, or a text twice.
-    return materialise(sets.join(chosen, F.col("d") == F.col("digest")).select("cid", "shingles").dropDuplicates(["cid"]), "shingles")
+    rows = found.slim.join(named.select(F.col("digest").alias("d"), "component"), F.col("digest") == F.col("d"), "left").select("id", "th", "n", "component")
+    return rows, materialise(least, "least")
 
 
-def _verified_ties(ties: DataFrame, sets: DataFrame) -> DataFrame:
-    mine = ties.join(sets, "cid").withColumnRenamed("shingles", "mine")
-    both = mine.join(sets.select(F.col("cid").alias("leader"), "shingles"), "leader")
-    near = 7 * F.size(F.array_intersect("mine", "shingles")) >= 3 * (F.size("mine") + F.size("shingles"))
-    return both.filter(near).select(F.col("cid").alias("a"), F.col("leader").alias("b"))
-
-
-def _maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = _ragged(pa.chunked_array([batch.column(1)]))
-        maps = [bitmap(s, bits_for(len(s))) for s in sets]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len(s) for s in sets], pa.int32()), list_column(maps, pa.int64())], names=["cid", "n", "map"]
-        )
-
-
-def _merged(comps: DataFrame, links: DataFrame) -> DataFrame:
-    """``cid, comp, weight`` after further links (a, b) between classes; the
-    components are found on the graph of components."""
-    name = comps.select("cid", "comp")
-    edges = links.join(name.select(F.col("cid").alias("a"), F.col("comp").alias("x")), "a").join(name.select(F.col("cid").alias("b"), F.col("comp").alias("y")), "b")
-    found = connected_components(edges.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    new = name.join(found, F.col("comp") == F.col("node"), "left").select("cid", F.coalesce("component", "comp").alias("comp"))
-    new = materialise(new, "components")
-    weights = new.groupBy("comp").agg(F.count(F.lit(1)).alias("weight"))
-    return materialise(new.join(weights, "comp").select("cid", "comp", "weight"), "components")
-
-
-def _mixed(blocks: DataFrame, comps: DataFrame) -> DataFrame:
-    """The rows of blocks that hold several components."""
-    placed = blocks.select("key", "cid").join(comps, "cid")
-    mixed = placed.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high")
-    return placed.join(mixed.select("key", "held"), "key")
-
-
-def _ties_to_largest(blocks: DataFrame, comps: DataFrame, turn: int) -> DataFrame:
-    """Ties of classes to a member, another one in each block, of the largest
-    component in the block; TIES of them a class."""
-    placed = materialise(_mixed(blocks, comps), "mixed")
-    by = F.struct("weight", "comp", F.xxhash64("cid", "key", F.lit(turn)))
-    heads = placed.groupBy("key").agg(F.max_by(F.struct("cid", "comp"), by).alias("head"))
-    ties = placed.join(heads, "key").filter(F.col("comp") != F.col("head.comp")).select("cid", F.col("head.cid").alias("leader")).distinct()
-    turn_of = F.row_number().over(Window.partitionBy("cid").orderBy(F.xxhash64("leader", F.lit(turn)), "leader"))
-    return ties.withColumn("turn", turn_of).filter(F.col("turn") <= TIES).select("cid", "leader")
-
-
-def _candidates(blocks: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
-    placed = _mixed(blocks, comps)
-    # Parts of a block, each pair of which is one group.
-    parts = F.ceil(F.col("held") / BLOCK).cast("int")
-    placed = placed.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    placed = placed.withColumn("q", other).select("key", "cid", "comp", "weight", "part", F.least("part", "q").alias("i"), F.greatest("part", "q").alias("j"))
-    maps = sets.mapInArrow(_maps, "cid bigint, n int, map array<bigint>")
-    placed = placed.join(maps, "cid")
-    grouped = placed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return grouped.select("key", "i", "j", "cid", "comp", "weight", "part", "n", "map").mapInArrow(_search_blocks, _CANDIDATE).distinct()
-
-
-def _links(candidates: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
-    wanted = candidates.select(F.col("other").alias("comp")).distinct()
-    sized = sets.select("cid", F.size("shingles").alias("n"))
-    members = comps.select("cid", "comp").join(wanted, "comp").join(sized, "cid")
-    chunks = members.groupBy("comp").agg(F.ceil(F.sum("n") / CHUNK).cast("int").alias("chunks"))
-    members = members.select("comp", "cid").join(chunks, "comp").withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int"))
-    probes = candidates.withColumnRenamed("other", "comp").join(chunks, "comp").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    # A chunk's probes are dealt out too, the members going to each share.
-    shares = probes.groupBy("comp", "chunk").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("shares"))
-    probes = probes.join(shares, ["comp", "chunk"]).withColumn("share", F.pmod(F.xxhash64("cid"), F.col("shares")).cast("int"))
-    members = members.join(shares, ["comp", "chunk"]).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
-    cut = lambda df, probe: df.select("comp", (F.col("chunk").cast("long") * 100_000 + F.col("share")).alias("chunk"), "cid", F.lit(probe).alias("probe"))
-    met = cut(members, False).unionByName(cut(probes, True)).join(sets, "cid")
-    met = met.select("comp", "chunk", "cid", "probe", "shingles").repartition("comp", "chunk").sortWithinPartitions("comp", "chunk")
-    return met.mapInArrow(_verify, "a bigint, b bigint")
+def document_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: ``id, n_shingles, component_id``."""
+    rows, least = _named(docs.select(F.col(id_col).cast("long").alias("id"), F.lit(None).cast("binary").alias("th"), F.col(text_col).alias("text")))
+    rows = rows.select("id", F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("c"))
+    named = rows.filter("c IS NOT NULL").join(least, F.col("c") == F.col("component")).select("id", "n_shingles", "component_id")
+    return named.unionAll(rows.filter("c IS NULL").select("id", "n_shingles", F.col("id").alias("component_id")))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, one of each component (its smallest id), with all their
-    columns; rows without an id stay."""
-    found = document_components(docs, id_col, text_col)
-    gone = found.filter("component_id IS NOT NULL AND id IS NOT NULL AND id != component_id").select(F.col("id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    """The documents, one of each component, with all their columns: the one with
+    the smallest id (a null one is the largest), of rows that share it the one
+    whose text has the least digest, of equal rows any.  Documents with empty
+    sets all stay."""
+    digest = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), digest.alias("th"), F.col(text_col).alias("text"))
+    rows, _ = _named(packed)
+    members = materialise(rows.filter("component IS NOT NULL").groupBy("component", "id", "th").agg(F.count(F.lit(1)).alias("copies")), "members")
+    best = F.struct(F.col("id").isNull().alias("without"), F.col("id").alias("i"), F.col("th").alias("t"))
+    keepers = materialise(members.groupBy("component").agg(F.min(best).alias("best")).select(F.col("component").alias("c"), "best.i", "best.t"), "keepers")
+    same = (F.col("id").eqNullSafe(F.col("i"))) & (F.col("th") == F.col("t"))
+    gone = members.join(keepers, (F.col("component") == F.col("c")) & same, "left_anti").select(F.col("id").alias("i"), F.col("th").alias("t"))
+    out = packed.drop("text").join(gone, same, "left_anti")
+    again = members.filter("copies > 1").select(F.col("id").alias("i"), F.col("th").alias("t"))
+    if not again.isEmpty():  # rows that repeat id and text
+        out = out.join(again, same, "left_anti").unionAll(out.join(again, same, "left_semi").dropDuplicates(["id", "th"]))
+    return out.select("row.*")
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

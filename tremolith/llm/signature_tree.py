@@ -18,7 +18,14 @@ from collections.abc import Iterator
 
 import numpy as np
 
-LEAF, FANOUT = 48, 6
+#: Sets of a leaf, and tokens of its sets together unless it holds one set only.
+LEAF, LEAF_TOKENS = 48, 400_000
+FANOUT = 6
+
+
+def bits_for(size: int) -> int:
+    """The signature width for a set: two to four bits a token, 256 at least."""
+    return max(256, 2 << max(0, int(size) - 1).bit_length())
 
 
 def bitmap(tokens: np.ndarray, bits: int) -> np.ndarray:
@@ -29,27 +36,39 @@ def bitmap(tokens: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def bits_for(size: int) -> int:
-    """The signature width for a set: two to four bits a token, 256 at least."""
-    return max(256, 2 << max(0, int(size) - 1).bit_length())
-
-
-def fold(maps: np.ndarray, bits: int) -> np.ndarray:
-    """Signatures cut to a smaller width, as if built with it."""
-    while maps.shape[1] * 64 > bits:
+def fold(maps: np.ndarray, words: int) -> np.ndarray:
+    """Signatures (rows) cut to ``words`` words, as if built with that width."""
+    while maps.shape[1] > words:
         half = maps.shape[1] // 2
         maps = maps[:, :half] | maps[:, half:]
     return maps
 
 
+def near(sizes: tuple[int, int], maps: tuple[np.ndarray, np.ndarray]) -> bool:
+    """Whether the signatures allow two sets to link."""
+    m, n = sizes
+    if 4 * m < 3 * n or 4 * n < 3 * m:
+        return False
+    words = min(map(len, maps))
+    a, b = (fold(x[None, :], words)[0] for x in maps)
+    shared = int(np.bitwise_count(a & b).sum())
+    most = min(m - (int(np.bitwise_count(a).sum()) - shared), n - (int(np.bitwise_count(b).sum()) - shared))
+    return 7 * most >= 3 * (m + n)
+
+
 class Tree:
-    """Sets given by size, signature and label; ``order`` maps leaves to rows."""
+    """Sets given by size, signature and label."""
 
     def __init__(self, sizes: np.ndarray, maps: np.ndarray, labels: np.ndarray):
         self.sizes, self.maps, self.labels = sizes, maps, labels
         self.counts = np.bitwise_count(maps).sum(axis=1).astype(np.int64)
-        self.order = np.lexsort((labels, sizes))
-        level = [self._leaf(self.order[a : a + LEAF]) for a in range(0, len(self.order), LEAF)]
+        order = np.lexsort((labels, sizes))
+        level, a, tokens = [], 0, np.cumsum(sizes[order])
+        while a < len(order):
+            most = int(np.searchsorted(tokens, (tokens[a - 1] if a else 0) + LEAF_TOKENS, "right"))
+            b = max(a + 1, min(a + LEAF, most))
+            level.append(self._leaf(order[a:b]))
+            a = b
         while len(level) > 1:
             level = [self._join(level[a : a + FANOUT]) for a in range(0, len(level), FANOUT)]
         self.root = level[0]
@@ -74,9 +93,7 @@ def _apart(a: tuple, b: tuple) -> bool:
 
 
 def dual_join(left: Tree, right: Tree) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row pairs of different labels that may reach 3/4, leaf pair by leaf pair.
-    Within one tree (``left is right``) each unordered pair comes once."""
-    same = left is right
+    """Row pairs of different labels that may reach 3/4, leaf pair by leaf pair."""
     stack = [(left.root, right.root)]
     while stack:
         a, b = stack.pop()
@@ -85,36 +102,31 @@ def dual_join(left: Tree, right: Tree) -> Iterator[tuple[np.ndarray, np.ndarray]
         if a[7] is None and b[7] is None:
             x, y = a[6], b[6]
             sx, sy = left.sizes[x][:, None], right.sizes[y][None, :]
-            shared = np.bitwise_count(left.maps[x][:, None, :] & right.maps[y][None, :, :]).sum(axis=2).astype(np.int64)
+            shared = np.stack([np.bitwise_count(left.maps[i] & right.maps[y]).sum(axis=1) for i in x]).astype(np.int64)
             most = np.minimum(sx - (left.counts[x][:, None] - shared), sy - (right.counts[y][None, :] - shared))
-            ok = (7 * most >= 3 * (sx + sy)) & (left.labels[x][:, None] != right.labels[y][None, :])
-            if same and a is b:
-                ok = np.triu(ok, 1)
-            i, j = np.nonzero(ok)
+            i, j = np.nonzero((7 * most >= 3 * (sx + sy)) & (left.labels[x][:, None] != right.labels[y][None, :]))
             if len(i):
                 yield x[i], y[j]
-        elif b[7] is None or (a[7] is not None and not (same and a is b) and a[1] - a[0] >= b[1] - b[0]):
+        elif b[7] is None or (a[7] is not None and a[1] - a[0] >= b[1] - b[0]):
             stack += [(n, b) for n in a[7]]
-        elif same and a is b:
-            stack += [(a[7][i], a[7][j]) for i in range(len(a[7])) for j in range(i, len(a[7]))]
         else:
             stack += [(a, n) for n in b[7]]
 
 
-def join_sets(sizes: np.ndarray, maps: list[np.ndarray], labels: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidate pairs among sets whose signatures differ in width (they follow
-    the sizes, so only widths one doubling apart can hold similar sets)."""
+def join_sets(sizes: np.ndarray, maps: list[np.ndarray], labels: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidate pairs of the rows ``left`` with the rows ``right``.  Signatures
+    differ in width, which follows the sizes, so only widths one doubling apart
+    can hold similar sets; the wider one is folded."""
     widths = np.array([len(m) for m in maps])
-    found = {}
-    for w in np.unique(widths).tolist():
-        rows = np.flatnonzero(widths == w)
-        found[w] = (rows, np.stack([maps[i] for i in rows]))
-    for w, (rows, mine) in found.items():
-        tree = Tree(sizes[rows], mine, labels[rows])
-        for i, j in dual_join(tree, tree):
-            yield rows[i], rows[j]
-        if 2 * w in found:
-            wide, theirs = found[2 * w]
-            other = Tree(sizes[wide], fold(theirs, 64 * w), labels[wide])
-            for i, j in dual_join(tree, other):
-                yield rows[i], wide[j]
+
+    def by_width(rows: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        return {w: (some := rows[widths[rows] == w], np.stack([maps[i] for i in some])) for w in np.unique(widths[rows]).tolist()}
+
+    ours, theirs = by_width(left), by_width(right)
+    for w, (rows, mine) in ours.items():
+        for v in (w // 2, w, 2 * w):
+            if v in theirs:
+                others, yours = theirs[v]
+                u = min(v, w)
+                for i, j in dual_join(Tree(sizes[rows], fold(mine, u), labels[rows]), Tree(sizes[others], fold(yours, u), labels[others])):
+                    yield rows[i], others[j]

@@ -3,15 +3,15 @@
 A gear rolling hash (h = 2h + G[byte], of which bits are tested that depend on
 the last 16 bytes) cuts each text where its content says so, every 16 bytes on
 average; after an insertion the cuts fall into step again within a few bytes.
-The unit that is compared is a run of three chunks, about 48 bytes, known by two
-64-bit digests: small enough to follow a passage to near its ends, long enough
+The unit that is compared is a run of three chunks, about 48 bytes, known by its
+128-bit xxh3 digest: small enough to follow a passage to near its ends, long enough
 not to recur by chance.  Overlapping and adjoining repeated units merge; a
 repeated passage of at least ``MIN_WORDS`` words is reported in every document
-that has it.  The document with the smallest (doc_id, text digest) keeps it.
+that has it; a word counts once for every LONG_WORD bytes of it, so that scripts
+without spaces have words too.  The document with the smallest (doc_id, text digest) keeps it.
 
-Pass one counts in how many documents each unit's digest occurs and keeps the
-repeated ones as a bitmap of fixed size (8 MB, the only thing that goes by the
-driver); pass two cuts the texts again and ships only units whose bit is set.
+Pass one counts in how many rows each half digest occurs and keeps the repeated
+ones as a bitmap of fixed size (8 MB, the only thing that goes by the driver); pass two cuts the texts again and ships only units whose bit is set.
 The bitmap saves shuffling and decides nothing.  Units are counted with partial
 aggregation and met by a join that adaptive execution may split, so a passage in
 a third of all documents burdens no single task.
@@ -19,7 +19,7 @@ a third of all documents burdens no single task.
 Defined results: null and empty texts have no units; rows that repeat both
 doc_id and text are one document; a passage repeated only within one document
 is left alone; an empty table gives an empty result; further columns are ignored
-by :func:`repeats` and kept by :func:`remove_repeats`.
+by :func:`repeats` and kept, whatever their names, by :func:`remove_repeats`.
 """
 
 from __future__ import annotations
@@ -27,22 +27,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .bitmaps import bitmap_of, hits
 from .storage import materialise, table
-from .words import list_column, mix, power_tables, row_slices
+from .words import list_column, mix, row_slices
 
-MIN_WORDS = 25
+MIN_WORDS, LONG_WORD = 25, 30
 UNIT = 3
 #: A cut where CUT_BITS bits of the hash, from SHIFT up, are zero; chunks of at
 #: least LEAST bytes, and cut anyway after MOST.
 CUT_BITS, SHIFT, LEAST, MOST = 4, 12, 4, 256
-BITS, ROW_BITS = 26, 15
 _GEAR = (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
-_CODES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def cuts(codes: np.ndarray) -> np.ndarray:
@@ -68,28 +68,21 @@ def cuts(codes: np.ndarray) -> np.ndarray:
 
 
 def units(text: str | None) -> tuple[np.ndarray, ...]:
-    """For each unit of a text its digest, the bytes it starts and ends at, and
-    the words before either."""
+    """For each unit of a text the halves of its digest, the bytes it starts and
+    ends at, and the words before either."""
     raw = text.encode("utf-8", "surrogatepass") if text else b""
     if not raw:
-        return tuple(np.zeros(0, k) for k in (np.uint64, np.int64, np.int64, np.int64, np.int64))
+        return tuple(np.zeros(0, k) for k in (np.uint64, np.uint64, np.int64, np.int64, np.int64, np.int64))
     codes = np.frombuffer(raw, np.uint8)
     at = cuts(codes)
     start, end = at[: max(1, len(at) - UNIT)], at[min(UNIT, len(at) - 1) :]
-    power, inverse = power_tables(len(raw))
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_CODES[codes] * power[: len(raw)], out=total[1:])
-    keys = mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
+    digests = b"".join([xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+    high, low = np.frombuffer(digests, ">u8").astype(np.uint64).reshape(-1, 2).T
     space = (codes == 32) | ((codes >= 9) & (codes <= 13))
-    begins = ~space
-    begins[1:] &= space[:-1]
-    seen = np.concatenate(([0], np.cumsum(begins)))
-    return keys, start, end, seen[start], seen[end]
-
-
-def _bit(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    top = (key >> np.uint64(64 - BITS)).astype(np.int64)
-    return top >> 3, top & 7
+    place = np.arange(len(codes))
+    since = place - np.maximum.accumulate(np.where(space, place, -1))  # from 1 on in a word
+    seen = np.concatenate(([0], np.cumsum(~space & (since % LONG_WORD == 1))))
+    return low, high, start, end, seen[start], seen[end]
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,19 +92,12 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bitmap(docs: DataFrame) -> bytes:
-    """Bits of the digests that more than one row has; 2 ** BITS / 8 bytes."""
+    """Bits of the digests that more than one row has."""
     keys = docs.select("text").mapInArrow(_keys, "keys array<bigint>").select(F.explode("keys").alias("key"))
-    more = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    h = F.shiftrightunsigned("key", 64 - BITS)
-    rows = more.groupBy(F.shiftright(h, ROW_BITS).alias("w")).agg(F.bitmap_construct_agg(h.bitwiseAND(F.lit((1 << ROW_BITS) - 1))).alias("bits"))
-    whole = np.zeros(1 << (BITS - 3), np.uint8)
-    step = 1 << (ROW_BITS - 3)
-    for row in rows.toLocalIterator():  # at most 2 ** (BITS - ROW_BITS) rows
-        whole[row["w"] * step : row["w"] * step + len(row["bits"])] = np.frombuffer(row["bits"], np.uint8)
-    return whole.tobytes()
+    return bitmap_of(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
 
 
-_UNITS = "id bigint, th bigint, key bigint, start int, end int, before int, after int"
+_UNITS = "id bigint, th bigint, key bigint, check bigint, start int, end int, before int, after int"
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -124,12 +110,11 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(shared.value, np.uint8)
         for batch in (part for whole in batches for part in row_slices(whole)):
-            columns: list[list[np.ndarray]] = [[] for _ in range(6)]
+            columns: list[list[np.ndarray]] = [[] for _ in range(7)]
             ids, counts = [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = units(text)
-                byte, bit = _bit(found[0])
-                keep = (bits[byte] >> bit.astype(np.uint8)) & 1 == 1
+                keep = hits(bits, found[0])
                 n = int(keep.sum())
                 if not n:
                     continue
@@ -142,14 +127,14 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
             if ids:
                 at = pa.array(np.repeat(np.arange(len(ids)), counts))
                 out = [pa.array(ids, pa.int64()).take(at)]
-                out += [pa.array(np.concatenate(c).view(np.int64)) for c in columns[:2]]
-                out += [pa.array(np.concatenate(c).astype(np.int32)) for c in columns[2:]]
-                yield pa.RecordBatch.from_arrays(out, names=["id", "th", "key", "start", "end", "before", "after"])
+                out += [pa.array(np.concatenate(c).view(np.int64)) for c in columns[:3]]
+                out += [pa.array(np.concatenate(c).astype(np.int32)) for c in columns[3:]]
+                yield pa.RecordBatch.from_arrays(out, names=["id", "th", "key", "check", "start", "end", "before", "after"])
 
     found = materialise(docs.mapInArrow(ship, _UNITS), "units")
     doc = F.struct("id", "th")
-    holders = found.groupBy("key").agg(F.min(doc).alias("first"), F.max(doc).alias("last")).filter("NOT (first <=> last)")
-    met = found.join(holders.select("key", "first"), "key").withColumn("own", F.col("first").eqNullSafe(doc))
+    holders = found.groupBy("key", "check").agg(F.min(doc).alias("first"), F.max(doc).alias("last")).filter("NOT (first <=> last)")
+    met = found.join(holders.select("key", "check", "first"), ["key", "check"]).withColumn("own", F.col("first").eqNullSafe(doc))
     along = Window.partitionBy("id", "th").orderBy("start", "end")
     apart = F.coalesce(F.col("start") > F.lag("end").over(along), F.lit(True))
     turned = apart | F.coalesce(F.col("own") != F.lag("own").over(along), F.lit(True))
@@ -168,25 +153,28 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     holder's."""
     found = repeats(docs, id_col, text_col, min_words).filter("removed").groupBy("id", "th").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
-    @F.udf("bigint", useArrow=True)
-    def digest(text):
-        h = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) if text else 0
-        return h - (1 << 64) if h >> 63 else h
-
-    @F.udf("string", useArrow=True)
-    def cut(text, spans):  # also runs where the result is not used
-        raw = (text or "").encode("utf-8", "surrogatepass")
-        keep, at = [], 0
-        for start, end in sorted((s["start"], s["end"]) for s in spans):
-            keep.append(raw[at : max(at, start)])
-            at = max(at, end)
-        return b"".join([*keep, raw[at:]]).decode("utf-8", "surrogatepass")
-
-    names = docs.columns
-    rows = docs.withColumn("_th", digest(F.col(text_col)))
-    met = rows.join(found.withColumnsRenamed({"id": "_id", "th": "_t", "spans": "_spans"}), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_t")), "left")
-    text = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(cut(F.col(text_col), F.coalesce("_spans", F.array().cast("array<struct<start:int,end:int>>"))))
-    return met.withColumn(text_col, text).select(*names)
+    @F.pandas_udf("bigint")
+    def digest(text: pd.Series) -> pd.Series:
+        h = [xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) if t else 0 for t in text]
+        return pd.Series(np.array(h, np.uint64).view(np.int64))
+
+    @F.pandas_udf("string")
+    def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([_cut(t, s) for t, s in zip(text, spans, strict=True)])
+
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("i"), digest(F.col(text_col)).alias("t"), F.col(text_col).alias("text"))
+    met = rows.join(found, F.col("i").eqNullSafe(F.col("id")) & (F.col("t") == F.col("th")), "left")
+    changed = met.filter("spans IS NOT NULL").withColumn("text", cut("text", "spans"))
+    met = met.filter("spans IS NULL").unionByName(changed)
+    return met.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns])
+
+
+def _cut(text: str, spans) -> str:
+    raw, keep, at = text.encode("utf-8", "surrogatepass"), [], 0
+    for start, end in sorted((s["start"], s["end"]) for s in spans):
+        keep.append(raw[at : max(at, start)])
+        at = max(at, end)
+    return b"".join([*keep, raw[at:]]).decode("utf-8", "surrogatepass")
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

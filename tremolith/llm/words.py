@@ -4,25 +4,21 @@ A word is a run of anything but space and TAB..CR after A-Z are lower-cased; a
 shingle is five consecutive words, hashed to 64 bits.  A text with one to four
 words has its whole sequence as its only shingle; an empty or null text none.
 
-A whole Arrow batch is hashed at once.  The hash of a word is the polynomial
-sum(T[c_i] * B**i) modulo 2**64 over its bytes, read off one running sum over
-the batch and scaled back by B**-start, then finalised; so no word becomes a
-Python object.
+Words are hashed with xxh3 one by one, so texts crafted against a polynomial
+hash (Thue-Morse words) collide no more than others do.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import xxhash
 
 SHINGLE = 5
 _BASE = 0x9E3779B97F4A7C15
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[32, *range(9, 14)]] = True
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -32,51 +28,24 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-_CODE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Bytes of a text whose words are cut apart at once.
+_PART = 1 << 20
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def power_tables(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) <= n:
-        size = max(n + 1, 1 << 16)
-        for at, base in enumerate((_BASE, _BASE_INVERSE)):
-            steps = np.full(size, base, dtype=np.uint64)
-            steps[0] = 1
-            _powers[at] = np.multiply.accumulate(steps)
-    return _powers
-
-
-def text_bytes(column: pa.Array) -> tuple[bytes, np.ndarray]:
-    """The A-Z-lower-cased UTF-8 of a string column and where each row starts."""
-    column = column.cast(pa.large_binary())
-    _, offsets, data = column.buffers()
-    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
-    if data is None or at[-1] == at[0]:
-        return b"", np.zeros(len(column) + 1, np.int64)
-    return data[at[0] : at[-1]].to_pybytes().lower(), at - at[0]
-
-
-def batch_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of every word of a string column, and each row's first word."""
-    text, offsets = text_bytes(column)
-    n = len(text)
-    if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    codes = np.frombuffer(text, np.uint8)
-    inside = ~_SPACE[codes]
-    first = np.zeros(n + 1, dtype=bool)
-    first[offsets] = True
-    starts_here = inside.copy()
-    starts_here[1:] &= ~inside[:-1] | first[1:n]
-    ends_here = inside.copy()
-    ends_here[:-1] &= ~inside[1:] | first[1:n]
-    starts = np.flatnonzero(starts_here)
-    ends = np.flatnonzero(ends_here) + 1
-    power, inverse = power_tables(n)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_CODE[codes] * power[:n], out=total[1:])
-    words = mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
-    return words, np.searchsorted(starts, offsets)
+def text_words(text: str | None) -> np.ndarray:
+    """The hash of every word of a text."""
+    raw = text.encode("utf-8", "surrogatepass").lower() if text else b""
+    found, at = [], 0
+    while at < len(raw):
+        end = len(raw)
+        if end - at > _PART:
+            gap = _GAP.search(raw, at + _PART)
+            end = gap.start() if gap else end
+        part = (raw if end - at == len(raw) else raw[at:end]).split()
+        found.append(np.fromiter(map(xxhash.xxh3_64_intdigest, part), np.uint64, len(part)))
+        at = end
+    return found[0] if len(found) == 1 else np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
 def shingle_hashes(words: np.ndarray, k: int = SHINGLE) -> np.ndarray:
@@ -97,30 +66,14 @@ def row_slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatc
         yield batch.slice(a, rows)
 
 
-def batch_shingle_sets(column: pa.Array, most_bytes: int = 1 << 20) -> list[np.ndarray]:
-    """For each row of a string column its sorted distinct shingle hashes.  Rows
-    are hashed together up to ``most_bytes`` of text; a longer text goes alone."""
-    ends = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
-    out, a = [], 0
-    while a < len(column):
-        base = int(ends[a - 1]) if a else 0
-        b = max(a + 1, int(np.searchsorted(ends, base + most_bytes, "right")))
-        out += _shingle_sets(column.slice(a, b - a))
-        a = b
-    return out
-
-
-def _shingle_sets(column: pa.Array) -> list[np.ndarray]:
-    words, at = batch_words(column)
-    every = shingle_hashes(words) if len(words) >= SHINGLE else None
-    out = []
-    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-        if b - a >= SHINGLE:
-            h = np.sort(every[a : b - SHINGLE + 1])
-            out.append(h if len(h) < 2 else h[np.concatenate(([True], h[1:] != h[:-1]))])
-        else:
-            out.append(shingle_hashes(words[a:b]))
-    return out
+def shingle_set(text: str | None) -> np.ndarray:
+    """The sorted distinct shingle hashes of a text."""
+    h = np.sort(shingle_hashes(text_words(text)))
+    return h if len(h) < 2 else h[np.concatenate(([True], h[1:] != h[:-1]))]
+
+
+def shingle_sets(column: pa.Array) -> list[np.ndarray]:
+    return [shingle_set(t) for t in column.to_pylist()]
 
 
 def list_column(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
