@@ -40,8 +40,11 @@ def test_containment(spark, most):
             if s and 4 * common >= 3 * len(s):
                 want[i, j, len(s), common] += 1
     assert got == want and len(want) > 10
+    clean = (None, make(40))
+    d = d.unionAll(spark.createDataFrame([(None, items[8][1], 1), (*clean, 1), (200, clean[1], 1)], d.schema)).withColumn("_bad", d.item_id).withColumn("th", d.item_id)
     kept = decontaminate.decontaminate(d, b, max_table_bytes=most)
-    assert kept.columns == d.columns and {r["doc_id"] for r in kept.collect()} == {i for i, _ in docs} - {k[0] for k in want}
+    left = [(i, t) for i, t in docs if i not in {k[0] for k in want}] + [clean, (200, clean[1])]
+    assert kept.columns == d.columns and sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(left, key=str)
     assert decontaminate.contained_items(d.limit(0), b, max_table_bytes=most).count() == 0
     assert decontaminate.contained_items(d, b.limit(0), max_table_bytes=most).count() == 0
 
@@ -205,15 +208,40 @@ def test_samples_follow_the_lattice(lattice):
     assert set(got) <= set(paths)
 
 
-def test_long_parts_agree_with_short_ones(lattice, monkeypatch):
-    texts = ["internationalization of words", "un mot"]
-    want = lattice.encode_batch(texts, [1, 2])
-    monkeypatch.setattr(sentence_pieces, "LONGEST", 3)
-    assert [a.tolist() for a in lattice.encode_batch(texts, [1, 2])] == [a.tolist() for a in want]
+def test_passes_agree_for_few_and_many_and_in_small_slices(lattice, monkeypatch):
+    texts = ["internationalization of words", "un mot", "aaaaaaaaabababababaaaabbbabab" * 40, "\u6f22\u5b57" * 300 + "abc" * 50]
+    want = [a.tolist() for a in lattice.encode_batch(texts, [1, 2, 3, 4])]
+    for name, value in (("_FEW", 10**9), ("_FEW", 1), ("_SLICE", 16)):
+        with monkeypatch.context() as m:
+            m.setattr(sentence_pieces, name, value)
+            assert [a.tolist() for a in lattice.encode_batch(texts, [1, 2, 3, 4])] == want, name
+
+
+@pytest.mark.parametrize("n", [5, 18, 19, 24, 40, 400])
+def test_many_unknown_characters_do_not_underflow(lattice, n):
+    text = "\U0001f9ff" * n + "hand"
+    got = [lattice.decode(i.tolist()) for i in lattice.encode_batch([text] * 20, list(range(20)))]
+    assert set(got) == {text}
+    tails = collections.Counter(len(i) for i in lattice.encode_batch([text] * 1000, list(range(1000))))
+    assert tails.most_common(1)[0][1] > 900  # the word whole, as in a short text
+
+
+def test_long_text_without_spaces_is_quick(lattice):
+    import time
+
+    rng = random.Random(3)
+    for text in ("".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(100_000)), "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(33_000))):
+        began = time.thread_time()
+        ids = lattice.encode_batch([text], [1])[0]
+        took = time.thread_time() - began
+        assert lattice.decode(ids.tolist()) == text and took < 3, took
 
 
 def test_pieces_on_spark(spark):
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(ODD)] + [(None, "x", 1)], "doc_id long, text string, ids int")
     got = sentence_pieces.decode(sentence_pieces.encode(df)).collect()
+    both = sentence_pieces.decode(sentence_pieces.encode(df, decoded=True), text_col="again")
+    assert both.columns[-2:] == ["text", "again"] and both.filter("NOT text <=> again").count() == 0
+    assert sentence_pieces.decode(sentence_pieces.encode(df, decoded=True)).columns == ["doc_id", "ids", "n_pieces", "lossless", "text"]
     assert all(r["lossless"] for r in got) and sorted(r["text"] for r in got) == sorted([*(t or "" for t in ODD), "x"])
     assert sentence_pieces.encode(df.limit(0)).count() == 0

@@ -8,10 +8,12 @@ is searched instead, over items partitioned by size.
 The sketch of an item with n shingles is its bottom-m MinHash: the m smallest
 values of a random hash of them.  A document that contains the item lacks at
 most floor(n/4) of its shingles, so of any m it holds at least m - floor(n/4).
-Each size partition (sizes from 2**p up to 2**(p+1)) fixes m per item as
-floor(n/4) plus the partition's number of wanted hits, so no contained item is
-ever missed, and larger items must hit more often before they are verified.
-Candidates are verified by exact containment over the whole shingle sets.
+Each size partition (sizes from 2**p up to 2**(p+1)) is a table of its own, with
+m = floor(n/4) plus the partition's number of wanted hits for each item, so no
+contained item is ever missed, and larger items must hit more often before they
+are verified.  A document skips the partitions whose smallest item asks for more
+shingles than it has.  Candidates are verified by exact containment over the
+whole shingle sets.
 
 The item tables (sketches and sets, 8 bytes a shingle) are sent to the workers
 while they take at most ``max_table_bytes``, which is checked; a larger
@@ -20,10 +22,12 @@ the same result.
 
 Defined results: null and empty texts have no shingles: such items are in no
 document and such documents contain none.  Items or documents with fewer than
-five words have their whole sequence as one shingle.  Repeated documents give a
+five words have their whole sequence as one shingle, so an item of one to four
+words is only found in documents that consist of it.  Repeated documents give a
 row each and repeated items count as the items they are; empty tables give empty
 results; other columns, whatever their names, are passed through by
-:func:`decontaminate` and ignored by :func:`contained_items`.
+:func:`decontaminate`, which judges each row by its text, and ignored by
+:func:`contained_items`.
 """
 
 from __future__ import annotations
@@ -31,13 +35,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import duck
 from .storage import materialise, table
-from .words import list_column, mix, row_slices, shingle_sets
+from .words import list_column, mix, row_slices, shingle_set, shingle_sets
 
 #: Contained: at least NEEDED of every OF shingles.
 NEEDED, OF = 3, 4
@@ -55,7 +60,7 @@ def _sets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 names=["item_id", "n", "shingles"],
             )
 
-    return df.select(id_col, text_col).mapInArrow(build, _SETS).filter("n > 0")
+    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(build, _SETS).filter("n > 0")
 
 
 def wanted_hits(n: np.ndarray) -> np.ndarray:
@@ -73,21 +78,20 @@ def sketch(shingles: np.ndarray) -> tuple[np.ndarray, int]:
     return shingles[order[: spare + hits]], hits
 
 
-class ItemTables:
-    """The sketches of all items as one sorted array, and the sets to verify by."""
+class _Partition:
+    """The sketches of the items of one size partition as one sorted array."""
 
-    def __init__(self, ids: list[int], sets: list[np.ndarray]):
-        self.ids, self.sets = np.array(ids, np.int64), sets
-        sketches, self.hits = zip(*map(sketch, sets), strict=True) if sets else ((), ())
-        keys = np.concatenate(sketches) if sets else np.zeros(0, np.uint64)
-        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sketches]) if sets else np.zeros(0, np.int64)
+    def __init__(self, items: np.ndarray, sets: list[np.ndarray]):
+        sketches, hits = zip(*(sketch(sets[i]) for i in items), strict=True)
+        self.items, self.hits = items, np.array(hits, np.int64)
+        #: Shingles that a container of the smallest item must have.
+        self.least = min(-(-len(sets[i]) * NEEDED // OF) for i in items)
+        owner = np.repeat(np.arange(len(items)), [len(s) for s in sketches])
+        keys = np.concatenate(sketches)
         order = np.argsort(keys, kind="stable")
-        self.keys, self.owner, self.hits = keys[order], owner[order], np.array(self.hits, np.int64)
+        self.keys, self.owner = keys[order], owner[order]
 
-    def contained(self, shingles: np.ndarray) -> list[tuple[int, int]]:
-        """(item, shingles in common) of each item that a sorted set contains."""
-        if not len(shingles) or not len(self.keys):
-            return []
+    def candidates(self, shingles: np.ndarray) -> np.ndarray:
         if len(self.keys) <= 8 * len(shingles):
             at = np.searchsorted(shingles, self.keys)
             at[at == len(shingles)] = 0
@@ -97,15 +101,31 @@ class ItemTables:
             high = np.searchsorted(self.keys, shingles, "right")
             hit = [self.owner[a:b] for a, b in zip(low[high > low].tolist(), high[high > low].tolist(), strict=True)]
             hit = np.concatenate(hit) if hit else np.zeros(0, np.int64)
-        items, held = np.unique(hit, return_counts=True)
+        held = np.bincount(hit, minlength=len(self.items))
+        return self.items[held >= self.hits]
+
+
+class ItemTables:
+    """A table of sketches for each size partition, and the sets to verify by."""
+
+    def __init__(self, ids: list[int], sets: list[np.ndarray]):
+        self.ids, self.sets = np.array(ids, np.int64), sets
+        sizes = np.array([len(s).bit_length() for s in sets], np.int64)
+        self.partitions = [_Partition(np.flatnonzero(sizes == p), sets) for p in np.unique(sizes).tolist()]
+
+    def contained(self, shingles: np.ndarray) -> list[tuple[int, int]]:
+        """(item, shingles in common) of each item that a sorted set contains."""
         found = []
-        for item in items[held >= self.hits[items]].tolist():
-            mine = self.sets[item]
-            at = np.searchsorted(shingles, mine)
-            at[at == len(shingles)] = 0
-            common = int((shingles[at] == mine).sum())
-            if common * OF >= len(mine) * NEEDED:
-                found.append((item, common))
+        for part in self.partitions:
+            if len(shingles) < max(1, part.least):
+                continue
+            for item in part.candidates(shingles).tolist():
+                mine = self.sets[item]
+                at = np.searchsorted(shingles, mine)
+                at[at == len(shingles)] = 0
+                common = int((shingles[at] == mine).sum())
+                if common * OF >= len(mine) * NEEDED:
+                    found.append((item, common))
         return found
 
 
@@ -113,16 +133,25 @@ def contained_items(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", max_table_bytes: int = MAX_TABLE_BYTES
 ) -> DataFrame:
     """``doc_id, item_id, n_item, n_common`` of each item in each document."""
+    sets, small = _items(items, item_col, item_text, max_table_bytes)
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return _search(docs, sets) if small else _search_by_join(docs, sets).drop("th")
+
+
+def _items(items: DataFrame, item_col: str, item_text: str, max_table_bytes: int) -> tuple[DataFrame, bool]:
     sets = materialise(_sets(items, item_col, item_text), "items")
     size = sets.agg(F.coalesce(F.sum(F.lit(40) + 16 * F.col("n")), F.lit(0))).first()[0]
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return _search(docs, sets) if size <= max_table_bytes else _search_by_join(docs, sets)
+    return sets, size <= max_table_bytes
 
 
-def _search(docs: DataFrame, sets: DataFrame) -> DataFrame:
+def _shared(sets: DataFrame):
     rows = sets.toArrow()  # at most max_table_bytes
     arrays = [np.array(s, np.int64).view(np.uint64) for s in rows["shingles"].to_pylist()]
-    shared = docs.sparkSession.sparkContext.broadcast((rows["item_id"].to_pylist(), arrays))
+    return sets.sparkSession.sparkContext.broadcast((rows["item_id"].to_pylist(), arrays))
+
+
+def _search(docs: DataFrame, sets: DataFrame) -> DataFrame:
+    shared = _shared(sets)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = ItemTables(*shared.value)
@@ -155,7 +184,7 @@ def _search_by_join(docs: DataFrame, sets: DataFrame) -> DataFrame:
             found = shingle_sets(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), list_column(found, pa.int64())], names=["doc_id", "th", "shingles"])
 
-    rows = docs.withColumn("th", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    rows = docs.withColumn("th", _text_digest(F.col("text")))
     copies = rows.groupBy("doc_id", "th").count()
     rows = rows.dropDuplicates(["doc_id", "th"]).select("doc_id", "text", "th")
     shingles = rows.mapInArrow(explode, "doc_id bigint, th string, shingles array<bigint>").withColumn("s", F.explode("shingles")).drop("shingles")
@@ -171,14 +200,32 @@ def _search_by_join(docs: DataFrame, sets: DataFrame) -> DataFrame:
     found = common.agg(F.count(F.lit(1)).cast("int").alias("n_common")).filter(F.col("n_common") * OF >= F.col("n") * NEEDED)
     copies = copies.withColumnsRenamed({"doc_id": "d", "th": "t"})
     every = found.join(copies, found.doc_id.eqNullSafe(copies.d) & (found.th == copies.t)).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count"))))
-    return every.select("doc_id", "item_id", F.col("n").alias("n_item"), "n_common")
+    return every.select("doc_id", "item_id", F.col("n").alias("n_item"), "n_common", "th")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The documents that contain no item, with all their columns.  Documents go
-    by id: an id whose row contains an item goes with all its rows."""
-    bad = contained_items(docs, items, id_col, text_col, **how).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")), "left_anti")
+def decontaminate(
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", max_table_bytes: int = MAX_TABLE_BYTES
+) -> DataFrame:
+    """The documents whose text contains no item, with all their columns."""
+    sets, small = _items(items, item_col, item_text, max_table_bytes)
+    if small:
+        shared = _shared(sets)
+
+        @F.pandas_udf("boolean")
+        def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            tables = ItemTables(*shared.value)
+            for texts in batches:
+                yield pd.Series([not tables.contained(shingle_set(t)) for t in texts], dtype=bool)
+
+        return docs.filter(clean(F.col(text_col)))
+    # The same text contains the same items, whatever the row.
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _text_digest(F.col(text_col)).alias("th"))
+    found = _search_by_join(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), sets)
+    return packed.join(found.select("th").distinct(), "th", "left_anti").select("row.*")
+
+
+def _text_digest(text) -> F.Column:
+    return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

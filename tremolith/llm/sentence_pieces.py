@@ -8,10 +8,12 @@ comes with exactly its share of the total weight.  The draws are a hash of the
 row's key and the place in the text, hence a row always gets the same sample, on
 whatever partition, attempt or batch it is worked on.
 
-The lattice falls apart exactly where no piece can cross: before a run of spaces
-and around line ends.  The parts of a batch are worked on together, one numpy
-operation for all parts of a length, so the cost per text is linear and no part
-of it is cut off; parts over LONGEST characters go one by one in log space.
+The lattice falls apart exactly where no piece crosses: before a run of spaces,
+around line ends, and wherever else a look-up of all pieces shows it.  Stretches
+of all lengths go through one forward pass together, a step for each character;
+each sum is kept as a mantissa and an exponent, so nothing underflows, however
+long a stretch is.  The few longest ones are finished one by one with the same
+operations in the same order, hence with the same sums.  No text is cut off.
 
 Weights: a BPE model's scores are ranks, not log-probabilities, so a piece of
 rank r weighs (r + 2) ** -alpha; characters that the vocabulary lacks are spelt
@@ -22,31 +24,36 @@ bytes, and the one space that encoding puts before a text is taken off again.
 
 Defined results: a null or empty text has no pieces and decodes to the empty
 text; a null key counts as 0; rows that repeat key and text get the same pieces;
-an empty table gives an empty result; further columns are ignored.
+an empty table gives an empty result; :func:`encode` ignores further columns,
+:func:`decode` keeps them and replaces one that has the text's name.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from .storage import table
 from .words import mix, row_slices
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEED, ALPHA = 7, 1.0
-LONGEST = 24
 SCHEMA = "doc_id bigint, ids array<int>, n_pieces int, lossless boolean"
 _PART = re.compile(r"\n| *[^ \n]+| +")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
-_SLICE = 4096
+#: Characters of distinct parts that go through the lattice at once.
+_SLICE = 1 << 15
+#: Stretches under which the pass goes on one by one.
+_FEW = 8
+_NONE = np.iinfo(np.int32).min
 
 
 def load_vocabulary(path: str = DEFAULT_MODEL) -> dict:
@@ -57,6 +64,8 @@ def load_vocabulary(path: str = DEFAULT_MODEL) -> dict:
         if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
             rank = min(-model.get_score(i), model.vocab_size())
             pieces.append((i, model.id_to_piece(i).replace("▁", " "), float(rank)))
+    if any(not _PART.fullmatch(p) for _, p, _ in pieces):
+        raise ValueError("a piece of this model goes across words")
     return {"pieces": pieces, "first_byte": first_byte, "size": model.vocab_size()}
 
 
@@ -115,37 +124,80 @@ class Lattice:
                 out[wrong[some == np.uint64(key)]] = entry
         return out
 
-    def forward(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For parts of n characters (rows): the cumulated weights into each
-        place from each earlier one, [part, end, start], and the edges' ids."""
-        u, n = codes.shape
-        columns = [np.ascontiguousarray(c).astype(np.uint64) for c in codes.T]
-        into = np.zeros((u, n + 1, n))
-        edge = np.zeros((u, n + 1, n), np.int32)
-        for start in range(n):
-            rows, h = np.arange(u), np.zeros(u, np.uint64)
-            for end in range(start + 1, min(n, start + self.longest) + 1):
-                h = h * _MULT + columns[end - 1][rows] + np.uint64(1)
-                entry = self._find(mix(h))
-                weight = np.where(entry >= 0, self.key_weights[entry], 0.0)
-                hit = weight > 0
-                into[rows[hit], end, start] = weight[hit]
-                edge[rows[hit], end, start] = self.key_ids[entry[hit]]
-                if end == start + 1 and not hit.all():  # spelt in bytes: minus the character
-                    c = codes[:, start][rows[~hit]].astype(np.int64)
-                    into[rows[~hit], end, start] = self.byte_weight ** _utf8_length(c)
-                    edge[rows[~hit], end, start] = -1 - c
-                alive = entry >= 0
-                if not alive.all():
-                    rows, h = rows[alive], h[alive]
-                    if not len(rows):
-                        break
-        alpha = np.ones((u, n + 1))
-        for end in range(1, n + 1):
-            into[:, end, :end] *= alpha[:, :end]
-            np.cumsum(into[:, end, :], axis=1, out=into[:, end, :])
-            alpha[:, end] = into[:, end, -1]
-        return into, edge
+    def _edges(self, codes: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of flat characters, each in a part up to ``stop``: the weights and ids of
+        the pieces that end at each, the longest first, and where none crosses."""
+        n, most = len(codes), self.longest
+        weights, ids = np.zeros((n, most)), np.zeros((n, most), np.int32)
+        change = np.zeros(n + 2, np.int64)
+        wide = codes.astype(np.uint64) + np.uint64(1)
+        rows, h = np.arange(n), np.zeros(n, np.uint64)
+        for k in range(1, most + 1):
+            h = h * _MULT + wide[rows + (k - 1)]
+            entry = self._find(mix(h))
+            weight = np.where(entry >= 0, self.key_weights[entry], 0.0)
+            hit = weight > 0
+            some = rows[hit]
+            weights[some + (k - 1), most - k] = weight[hit]
+            ids[some + (k - 1), most - k] = self.key_ids[entry[hit]]
+            if k == 1:  # spelt in bytes: minus the character
+                odd = rows[~hit]
+                c = codes[odd].astype(np.int64)
+                weights[odd, most - 1] = self.byte_weight ** _utf8_length(c)
+                ids[odd, most - 1] = -1 - c
+            else:
+                change += np.bincount(some + 1, minlength=n + 2) - np.bincount(some + k, minlength=n + 2)
+            go = (entry >= 0) & (rows + k < stop[rows])
+            rows, h = rows[go], h[go]
+            if not len(rows):
+                break
+        return weights, ids, np.cumsum(change[: n + 1]) == 0
+
+    def _forward(self, sums: np.ndarray, start: np.ndarray, length: np.ndarray) -> None:
+        """Turns the weights of the edges into each character, in place, into the
+        cumulated shares of the paths that come by them."""
+        most = self.longest
+        mantissa, exponent = np.ones(len(sums)), np.zeros(len(sums), np.int64)
+        order = np.argsort(-length, kind="stable")
+        start, length = start[order], length[order]
+        t = 0
+        while len(start):
+            t += 1
+            m = int(np.searchsorted(-length, -t, "right"))
+            if m < _FEW:
+                for a, n in zip(start[:m].tolist(), length[:m].tolist(), strict=True):
+                    self._forward_one(sums[a : a + n])
+                return
+            end = start[:m] + (t - 1)
+            k = np.arange(min(t, most), 0, -1)
+            before = end[:, None] - k[None, :]
+            w, power = mantissa[before], exponent[before]
+            if t <= most:  # from the stretch's start
+                w[:, 0], power[:, 0] = 1.0, 0
+            edge = sums[end, most - len(k) :]
+            top = np.where(edge > 0, power, np.iinfo(np.int64).min).max(axis=1)
+            w = np.cumsum(np.ldexp(w * edge, np.maximum(np.minimum(power - top[:, None], 0), -4000).astype(np.int32)), axis=1)
+            sums[end, most - len(k) :] = w
+            mantissa[end], more = np.frexp(w[:, -1])
+            exponent[end] = top + more
+
+    def _forward_one(self, sums: np.ndarray) -> None:
+        ends, columns = np.nonzero(sums)
+        weights, backs = sums[ends, columns].tolist(), (ends - (self.longest - columns)).tolist()
+        bounds = np.searchsorted(ends, np.arange(len(sums) + 1)).tolist()
+        mantissa, exponent = [0.0] * len(sums) + [1.0], [0] * (len(sums) + 1)  # the last: before the first
+        cumulated = []
+        for end in range(len(sums)):
+            a, b = bounds[end], bounds[end + 1]
+            top = max([exponent[i] for i in backs[a:b]])
+            total = 0.0
+            for w, i in zip(weights[a:b], backs[a:b], strict=True):
+                total += math.ldexp(mantissa[i] * w, max(exponent[i] - top, -4000))
+                cumulated.append(total)
+            mantissa[end], more = math.frexp(total)
+            exponent[end] = top + more
+        sums[ends, columns] = cumulated
+        np.maximum.accumulate(sums, axis=1, out=sums)
 
     def draws(self, keys: np.ndarray, places: np.ndarray) -> np.ndarray:
         h = mix(mix(keys + self.seed) + places.astype(np.uint64) * _MULT)
@@ -153,94 +205,79 @@ class Lattice:
 
     def encode_batch(self, texts: list[str | None], keys: list[int | None]) -> list[np.ndarray]:
         parts: dict[str, int] = {}
-        number, owner, counts = [], [], []
+        number, counts = [], []
         for text in texts:
             found = _PART.findall(f" {text}") if text else []
             number += [parts.setdefault(p, len(parts)) for p in found]
             counts.append(len(found))
-        number = np.array(number, np.int64)
+        number, names = np.array(number, np.int64), list(parts)
+        length = np.array([len(p) for p in names], np.int64)
         owner = np.repeat(np.arange(len(texts)), counts)
-        names = list(parts)
-        length = np.array([len(p) for p in names], np.int64) if names else np.zeros(0, np.int64)
         ends = np.cumsum(length[number]) if len(number) else np.zeros(0, np.int64)
-        before = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))[:-1].astype(np.int64)] if len(counts) else ends
-        begin = ends - length[number] - before[owner]  # where the part starts in its text
-        row_key = np.array([(k or 0) & (2**64 - 1) for k in keys], np.uint64)[owner] if len(keys) else np.zeros(0, np.uint64)
-        steps: list[tuple[np.ndarray, np.ndarray, int]] = []
-        pieces = np.zeros(len(number), np.int64)
-        by_length = length[number]
-        order = np.argsort(by_length, kind="stable")
-        bounds = np.searchsorted(by_length[order], np.arange(LONGEST + 2))
-        names_by_length: dict[int, list[int]] = {}
-        for i, n in enumerate(length.tolist()):
-            names_by_length.setdefault(n, []).append(i)
-        for n, which in names_by_length.items():
-            if n > LONGEST:
-                continue
-            occurrences = order[bounds[n] : bounds[n + 1]]
-            occurrences = occurrences[np.argsort(number[occurrences], kind="stable")]
-            owners = number[occurrences]
-            for a in range(0, len(which), _SLICE):
-                some = which[a : a + _SLICE]
-                codes = np.array([names[i] for i in some], f"U{n}").view(np.uint32).reshape(-1, n)
-                into, edge = self.forward(codes)
-                mine = occurrences[np.searchsorted(owners, some[0]) : np.searchsorted(owners, some[-1], "right")]
-                row = np.searchsorted(np.array(some), number[mine])
-                self._backward(mine, row, n, into, edge, row_key, begin, steps, pieces)
-        flat_long = {}
-        for i in np.flatnonzero(by_length > LONGEST).tolist():
-            flat_long[i] = self._long(names[number[i]], row_key[i], int(begin[i]))
-            pieces[i] = len(flat_long[i])
-        at = np.concatenate(([0], np.cumsum(pieces)))
-        flat = np.zeros(int(at[-1]), np.int64)
-        for which, edges, k in steps:
-            flat[at[which] + pieces[which] - 1 - k] = edges
-        for i, edges in flat_long.items():
-            flat[at[i] : at[i + 1]] = edges
-        flat, at = self._spell(flat, at)
-        cuts = at[np.concatenate(([0], np.cumsum(counts))).astype(np.int64)]
+        begin = ends - length[number] if len(number) else ends  # where the part starts in the batch
+        bases = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts))).astype(np.int64)]  # and each text
+        row_key = np.array([(k or 0) & (2**64 - 1) for k in keys], np.uint64)
+        # By part, where it occurs.
+        order = np.argsort(number, kind="stable")
+        at = np.searchsorted(number[order], np.arange(len(names) + 1))
+        out = np.full(int(bases[-1]), _NONE, np.int32)
+        for part, offset, codes, stop, stretches in self._slices(names, length):
+            weights, ids, free = self._edges(codes, stop)
+            start = np.flatnonzero(free[: len(codes)])
+            size = np.diff(np.append(start, len(codes)))
+            keep = start < stretches
+            start, size = start[keep], size[keep]
+            self._forward(weights, start, size)
+            # Each stretch in each place where its part occurs.
+            of = part[start]
+            times = at[of + 1] - at[of]
+            which = np.repeat(np.arange(len(start)), times)
+            occurrence = order[np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times) + at[of][which]]
+            row = owner[occurrence]
+            moved = begin[occurrence] + offset[start][which] - start[which]  # from here to the batch
+            self._backward(weights, ids, start[which], (start + size)[which], moved, moved - bases[row], row_key[row], out)
+        chosen = out != _NONE
+        cuts = np.concatenate(([0], np.cumsum(chosen)))[bases]
+        flat, cuts = self._spell(out[chosen].astype(np.int64), cuts)
         return [flat[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
-    def _backward(self, which, row, n, into, edge, row_key, begin, steps, pieces) -> None:
-        place = np.full(len(which), n, np.int64)
-        k = 0
-        while len(which):
-            sums = into[row, place]
-            draw = self.draws(row_key[which], begin[which] + place) * sums[:, -1]
-            start = np.minimum((sums <= draw[:, None]).sum(axis=1), place - 1)
-            steps.append((which, edge[row, place, start], k))
-            pieces[which] += 1
-            go = start > 0
-            which, row, place = which[go], row[go], start[go]
-            k += 1
-
-    def _long(self, part: str, key: np.uint64, begin: int) -> list[int]:
-        n = len(part)
-        log_alpha = np.full(n + 1, -np.inf)
-        log_alpha[0] = 0.0
-        edges: list[list[tuple[int, float, int]]] = [[]]
-        for end in range(1, n + 1):
-            here = []
-            for start in range(max(0, end - self.longest), end):
-                piece = part[start:end]
-                if piece in self.ids:
-                    here.append((start, log_alpha[start] + np.log(self.weights[piece]), self.ids[piece]))
-                elif end == start + 1:
-                    here.append((start, log_alpha[start] + len(piece.encode()) * np.log(self.byte_weight), -1 - ord(piece)))
-            top = max(w for _, w, _ in here)
-            log_alpha[end] = top + np.log(sum(np.exp(w - top) for _, w, _ in here))
-            edges.append(here)
-        out, end = [], n
-        draws = self.draws(np.full(n + 1, key), begin + np.arange(n + 1))
-        while end:
-            left = draws[end]
-            for start, w, piece in edges[end]:  # noqa: B007
-                left -= np.exp(w - log_alpha[end])
-                if left < 0:
-                    break
-            out.append(piece)
-            end = start
-        return out[::-1]
+    def _slices(self, names: list[str], length: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
+        """Of distinct parts, about _SLICE characters at a time: the part and the
+        place in it of each character, the characters, where their parts end, and
+        up to where stretches count (the rest comes again)."""
+        total, a = np.cumsum(length), 0
+        while a < len(names):
+            b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + _SLICE, "right")))
+            codes = np.frombuffer("".join(names[a:b]).encode("utf-32-le", "surrogatepass"), np.uint32)
+            part = np.repeat(np.arange(a, b), length[a:b])
+            first = np.repeat(total[a:b] - length[a:b], length[a:b]) - (total[a - 1] if a else 0)
+            place = np.arange(len(codes)) - first
+            if len(codes) <= 2 * _SLICE:
+                yield part, place, codes, first + length[part], len(codes)
+            else:
+                at, wide = 0, _SLICE
+                while at < len(codes):
+                    some = codes[at : at + wide + self.longest]
+                    until = len(some)
+                    if at + until < len(codes):
+                        free = np.flatnonzero(self._edges(some, np.full(len(some), len(some)))[2][1 : wide + 1])
+                        if not len(free):
+                            wide *= 2
+                            continue
+                        until = int(free[-1]) + 1
+                    yield part[at : at + until], place[at : at + until], some[:until], np.full(until, until), until
+                    at, wide = at + until, _SLICE
+            a = b
+
+    def _backward(self, sums, ids, first, end, moved, places, key, out) -> None:
+        while len(end):
+            mine = sums[end - 1]
+            draw = self.draws(key, places + end) * mine[:, -1]
+            column = np.minimum((mine <= draw[:, None]).sum(axis=1), self.longest - 1)
+            out[moved + end - 1] = ids[end - 1, column]
+            end = end - (self.longest - column)
+            go = end > first
+            first, end, moved, places, key = first[go], end[go], moved[go], places[go], key[go]
 
     def _spell(self, flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Characters that have no piece become their bytes' pieces."""
@@ -271,40 +308,40 @@ def _utf8_byte(c: np.ndarray, width: np.ndarray, j: int) -> np.ndarray:
     return np.where(width == 1, c, lead + shifted if j == 0 else 0x80 | (shifted & 0x3F))
 
 
-def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = DEFAULT_MODEL, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
-    """Per row ``doc_id, ids, n_pieces, lossless`` (the ids were decoded again)."""
+def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = DEFAULT_MODEL, alpha: float = ALPHA, seed: int = SEED, decoded: bool = False) -> DataFrame:
+    """Per row ``doc_id, ids, n_pieces, lossless`` (the ids were decoded again),
+    and the decoded ``text`` if asked for."""
     shared = df.sparkSession.sparkContext.broadcast(load_vocabulary(model))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(shared.value, alpha, seed)
         for whole in batches:
-            for batch in row_slices(whole, 1024):
+            for batch in row_slices(whole, 512):
                 texts = batch.column(1).to_pylist()
                 ids = lattice.encode_batch(texts, batch.column(0).to_pylist())
-                same = [lattice.decode(i.tolist()) == (t or "") for i, t in zip(ids, texts, strict=True)]
+                again = [lattice.decode(i.tolist()) for i in ids]
+                same = [a == (t or "") for a, t in zip(again, texts, strict=True)]
                 ends = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
                 flat = np.concatenate(ids).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(np.diff(ends).astype(np.int32)), pa.array(same)],
-                    names=["doc_id", "ids", "n_pieces", "lossless"],
-                )
+                columns = [batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(np.diff(ends).astype(np.int32)), pa.array(same)]
+                names = ["doc_id", "ids", "n_pieces", "lossless"]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(again, pa.string())], names=[*names, "text"]) if decoded else pa.RecordBatch.from_arrays(columns, names=names)
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, SCHEMA)
+    schema = f"{SCHEMA}, text string" if decoded else SCHEMA
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, schema)
 
 
 def decode(df: DataFrame, ids_col: str = "ids", text_col: str = "text", model: str = DEFAULT_MODEL) -> DataFrame:
     """``df`` with the decoded text of each row's ids (null ids: empty)."""
     shared = df.sparkSession.sparkContext.broadcast(load_vocabulary(model))
-    at, width = df.columns.index(ids_col), len(df.columns)
-    names = [*df.columns, text_col]
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.pandas_udf("string")
+    def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         lattice = Lattice(shared.value)
-        for batch in (part for whole in batches for part in row_slices(whole, 256)):
-            texts = [lattice.decode(ids) if ids else "" for ids in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(width)), pa.array(texts, pa.string())], names=names)
+        for ids in batches:
+            yield pd.Series(["" if i is None else lattice.decode(i.tolist()) for i in ids], dtype=object)
 
-    return df.mapInArrow(work, StructType([*df.schema.fields, StructField(text_col, StringType())]))
+    return df.withColumn(text_col, text(F.col(ids_col)))
 
 
 def op2_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
