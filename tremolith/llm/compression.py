@@ -1,9 +1,9 @@
 """Classification of texts by how well two zstandard dictionaries compress them.
 
-A text is cut into overlapping windows; each is compressed with two dictionaries
-of equal length, and the differences in compressed size, summed up in a few
-numbers a text, go through a logistic calibration fitted on other labelled rows
-than the dictionaries.  Whole texts are scored, in batches inside zstandard.
+A text is cut into windows; each is compressed with two dictionaries of equal
+length, and the differences in compressed size, summed up in a few numbers a
+text, go through a logistic calibration fitted on other labelled rows than the
+dictionaries.  Whole texts are scored, in batches inside zstandard.
 """
 
 from __future__ import annotations
@@ -13,16 +13,23 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .words import row_slices
+
 #: Labelled rows of a class that training may see: the first in the order of a
 #: hash of doc_id, so the same rows wherever and however the tables are stored.
 TRAINING_ROWS = 2000
+#: And the bytes of their texts: rows beyond, in the same order, are not seen.
+TRAINING_BYTES = 64 << 20
 #: Windows that go to the dictionary builder.
 TRAINING_WINDOWS = 30_000
+#: Characters whose windows are compressed together.
+BATCH = 1 << 18
 
 
 @dataclass
@@ -38,16 +45,17 @@ class Model:
     scale: np.ndarray
     weights: np.ndarray  # the last is the intercept
     more: tuple[tuple[bytes, bytes], ...] = ()  # further pairs, each summed up by itself
+    full: bool = False  # whether the dictionaries' entropy tables are used too
 
 
 STRATEGIES = {
     "fine": {"window_log": 17, "hash_log": 16, "chain_log": 15, "search_log": 3, "min_match": 4, "target_length": 16, "strategy": zstandard.STRATEGY_LAZY},
-    "broad": {"window_log": 17, "hash_log": 16, "chain_log": 15, "search_log": 3, "min_match": 4, "target_length": 16, "strategy": zstandard.STRATEGY_GREEDY},
+    "level 3": {"window_log": 21, "hash_log": 17, "chain_log": 16, "search_log": 1, "min_match": 5, "target_length": 0, "strategy": zstandard.STRATEGY_DFAST},
 }
 
 
-def compressor(dictionary: bytes, strategy: dict) -> zstandard.ZstdCompressor:
-    content = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+def compressor(dictionary: bytes, strategy: dict, full: bool = False) -> zstandard.ZstdCompressor:
+    content = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_AUTO if full else zstandard.DICT_TYPE_RAWCONTENT)
     params = zstandard.ZstdCompressionParameters(**strategy, write_content_size=False, write_checksum=False, write_dict_id=False)
     content.precompute_compress(compression_params=params)
     return zstandard.ZstdCompressor(dict_data=content, compression_params=params)
@@ -62,8 +70,12 @@ def window_segments(length: int, window: int, step: int) -> np.ndarray:
 
 
 def sizes(with_: zstandard.ZstdCompressor, data: bytes, segments: np.ndarray) -> np.ndarray:
-    out = with_.multi_compress_to_buffer(zstandard.BufferWithSegments(data, segments.astype(np.uint64).tobytes()), threads=1)
-    return np.fromiter((len(out[i]) for i in range(len(out))), np.int64, len(out))
+    found = []
+    for a in range(0, len(segments), 1 << 15):
+        some = segments[a : a + (1 << 15)].astype(np.uint64)
+        out = with_.multi_compress_to_buffer(zstandard.BufferWithSegments(data, some.tobytes()), threads=1)
+        found.append(np.fromiter((len(out[i]) for i in range(len(out))), np.int64, len(out)))
+    return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
 def peaks(raw: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -75,23 +87,18 @@ def peaks(raw: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array([top[0], top[1], top[2], top[0] ** 2, np.maximum(d - 2, 0).sum() / np.sqrt(max(1, len(d))), n, n * top[0]])
 
 
-def ratios(raw: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Normalised differences and compressibility over a text's windows."""
-    if not len(raw):
-        return np.zeros(12)
-    d, r = (a - b) / raw, a / raw
-    mean, low, high = (a.sum() - b.sum()) / raw.sum(), d.min(), d.max()
-    ratio, least, most = a.sum() / raw.sum(), r.min(), r.max()
-    return np.array([mean, low, high, ratio, least, most, mean**2, ratio**2, least**2, mean * ratio, np.log1p(raw.sum()), ratio * np.log1p(raw.sum())])
+def difference(raw: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The normalised difference in compressed size over the whole text."""
+    return np.array([(a.sum() - b.sum()) / raw.sum() if len(raw) else 0.0])
 
 
-SUMMARIES: dict[str, Callable] = {"peaks": peaks, "ratios": ratios}
+SUMMARIES: dict[str, Callable] = {"peaks": peaks, "difference": difference}
 
 
 class Scorer:
     def __init__(self, model: Model):
         self.model = model
-        self.pairs = [(compressor(a, model.strategy), compressor(b, model.strategy)) for a, b in ((model.first, model.second), *model.more)]
+        self.pairs = [(compressor(a, model.strategy, model.full), compressor(b, model.strategy, model.full)) for a, b in ((model.first, model.second), *model.more)]
 
     def features(self, texts: list[str | None]) -> np.ndarray:
         m = self.model
@@ -113,18 +120,32 @@ class Scorer:
             found.append(np.array([summary(raw[i:j], a[i:j], b_[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)]))
         return np.concatenate(found, axis=1)
 
+    def batches(self, texts: list[str | None]) -> Iterator[list[str | None]]:
+        """Some texts at a time, about BATCH characters, a longer one alone."""
+        a, held = 0, 0
+        for b, t in enumerate(texts):
+            held += len(t or "")
+            if b > a and held > BATCH:
+                yield texts[a:b]
+                a, held = b, len(t or "")
+        if a < len(texts):
+            yield texts[a:]
+
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        x = (self.features(texts) - self.model.mean) / self.model.scale
+        x = [self.features(some) for some in self.batches(texts)]
+        x = (np.concatenate(x) - self.model.mean) / self.model.scale if x else np.zeros((0, len(self.model.mean)))
         z = x @ self.model.weights[:-1] + self.model.weights[-1]
         return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def trained_dictionary(size: int, samples: list[bytes]) -> bytes:
-    """A dictionary out of samples; of few samples their own bytes."""
+def trained_dictionary(size: int, samples: list[bytes], full: bool = False) -> bytes:
+    """A dictionary out of samples, with entropy tables if ``full`` (its content
+    alone otherwise); of few samples their own bytes."""
     samples = [s for s in samples if len(s) >= 8]
     total = sum(map(len, samples))
-    if len(samples) >= 64 and total >= 16 * size:
-        return zstandard.train_dictionary(size, samples).as_bytes()[-size:]
+    if len(samples) >= 64 and total >= 4 * size:
+        found = zstandard.train_dictionary(size, samples).as_bytes()
+        return found if full else found[-size:]
     return b" ".join(samples)[-size:] or b" "
 
 
@@ -148,7 +169,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int = TRAINING_ROWS) -> tuple[list[tuple[str, int]], dict[int, int]]:
     """(text, label) of at most ``rows`` labelled rows a class that are not held
-    out, in hash order, and how many rows a class has."""
+    out, of TRAINING_BYTES together, in hash order, and how many rows a class has."""
     ids = labels.select(F.col("doc_id").cast("long").alias("i"), F.col(label).alias("y")).filter("i IS NOT NULL AND y IN (0, 1)")
     ids = ids.filter(~held_out(F.col("i")))
     counts = {r[0]: r[1] for r in ids.groupBy("y").count().collect()}
@@ -158,7 +179,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int = TR
         some = part if some is None else some.unionAll(part)
     # At most 2 * rows ids.
     found = docs.select(F.col("doc_id").cast("long").alias("i"), "text").join(F.broadcast(some.dropDuplicates(["i"])), "i").filter("text IS NOT NULL AND text != ''")
-    got = found.select("i", "text", "y").collect()
+    # A window over at most ``rows`` rows.
+    along = Window.partitionBy("y").orderBy(F.xxhash64("i"), "i", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0)
+    got = found.withColumn("bytes", F.sum(F.octet_length("text").cast("long")).over(along)).filter(F.col("bytes") <= TRAINING_BYTES).select("i", "text", "y").collect()
     seen: dict[str, tuple[int, int]] = {}
     for r in sorted(got, key=lambda r: (zlib.crc32(str(r["i"]).encode()) * 2654435761 % 2**32, r["i"])):
         seen.setdefault(r["text"], (r["i"], r["y"]))
@@ -178,7 +201,8 @@ def calibrate(model: Model, rows: list[tuple[str, int]], counts: dict[int, int])
         share = (counts.get(1, 0) + 0.5) / (sum(counts.values()) + 1)
         model.mean, model.scale, model.weights = np.zeros(n), np.ones(n), np.append(np.zeros(n), np.log(share / (1 - share)))
         return model
-    x = np.concatenate([Scorer(model).features([t for t, _ in rows[a : a + 64]]) for a in range(0, len(rows), 64)])
+    scorer = Scorer(model)
+    x = np.concatenate([scorer.features(some) for some in scorer.batches([t for t, _ in rows])])
     shares = {k: counts.get(k, 1) / max(1, (y == k).sum()) for k in (0, 1)}
     model.mean, model.scale, model.weights = fit_logistic(x, y, np.where(y == 1, shares[1], shares[0]))
     return model
@@ -191,8 +215,7 @@ def score_rows(df: DataFrame, model: Model, id_col: str, text_col: str, threshol
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for whole in batches:
-            for a in range(0, whole.num_rows, 64):
-                batch = whole.slice(a, 64)
+            for batch in row_slices(whole):
                 s = scorer.scores(batch.column(2).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"]
@@ -203,15 +226,14 @@ def score_rows(df: DataFrame, model: Model, id_col: str, text_col: str, threshol
 
 
 def keep_below(df: DataFrame, model: Model, text_col: str, threshold: float) -> DataFrame:
-    """The rows that score under ``threshold``, with all their columns."""
+    """The rows that score under ``threshold``, with all their columns.  Only the
+    texts go through the workers."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    at = df.columns.index(text_col)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.pandas_udf("boolean")
+    def below(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(shared.value)
-        for whole in batches:
-            for a in range(0, whole.num_rows, 64):
-                batch = whole.slice(a, 64)
-                yield batch.filter(pa.array(scorer.scores(batch.column(at).to_pylist()) < threshold))
+        for texts in batches:
+            yield pd.Series(scorer.scores(texts.tolist()) < threshold, dtype=bool)
 
-    return df.mapInArrow(work, df.schema)
+    return df.filter(below(F.col(text_col)))

@@ -1,10 +1,10 @@
 """Quality by compression: zstandard dictionaries of good and of bad text.
 
 One dictionary is trained on windows of texts labelled good, one on windows of
-texts labelled bad.  A text's windows are compressed with both; the difference
-in size normalised by the window's length, its extremes over the text, and how
-far the text compresses at all are calibrated to a score by a logistic
-regression on labelled rows that neither dictionary saw.
+texts labelled bad, each with its entropy tables.  A text's windows are
+compressed with both; the difference in size over the text's length, and nothing
+else, is calibrated to a score by a logistic regression on labelled rows that
+neither dictionary saw.
 
 Only rows whose crc32(doc_id) mod 3 is not 1 are learnt from, at most
 ``compression.TRAINING_ROWS`` a class.
@@ -24,7 +24,7 @@ from . import compression
 from .storage import table
 
 THRESHOLD = 0.5
-WINDOW, STEP = 512, 512
+WINDOW, STEP = 1024, 1024
 DICTIONARY_BYTES = 49152
 
 
@@ -35,12 +35,10 @@ def train(rows: list[tuple[str, int]], counts: dict[int, int]) -> compression.Mo
         windows = []
         mine = [t.encode("utf-8", "surrogatepass") for t, label in learn if label == y]
         for b in mine:
-            windows += [b[i : i + 128] for i in range(0, len(b), max(128, len(b) * len(mine) // compression.TRAINING_WINDOWS))]
-        found[y] = compression.trained_dictionary(DICTIONARY_BYTES, windows)
-    width = min(map(len, found.values()))
-    model = compression.Model(
-        found[0][-width:], found[1][-width:], WINDOW, STEP, compression.STRATEGIES["broad"], False, "ratios", np.zeros(0), np.zeros(0), np.zeros(0)
-    )
+            windows += [b[i : i + WINDOW] for i in range(0, len(b), max(WINDOW, len(b) * len(mine) // compression.TRAINING_WINDOWS))]
+        found[y] = compression.trained_dictionary(DICTIONARY_BYTES, windows, full=True)
+    none = np.zeros(0)
+    model = compression.Model(found[0], found[1], WINDOW, STEP, compression.STRATEGIES["level 3"], False, "difference", none, none, none, full=True)
     return compression.calibrate(model, tune, counts)
 
 
