@@ -39,7 +39,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def sentence_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of each document, with its text as decoded from them."""
-    return _pieces.decode(_pieces.encode(docs))
+    return _pieces.encode(docs, decoded=True)
 
 
 STAGES = [
