@@ -210,7 +210,9 @@ def test_samples_follow_the_lattice(lattice):
 
 def test_passes_agree_for_few_and_many_and_in_small_slices(lattice, monkeypatch):
     texts = ["internationalization of words", "un mot", "aaaaaaaaabababababaaaabbbabab" * 40, "\u6f22\u5b57" * 300 + "abc" * 50]
+    texts[0] += " " + " ".join("".join(random.Random(k).choice("aeioustnr") for _ in range(k)) for k in range(1, 60))
     want = [a.tolist() for a in lattice.encode_batch(texts, [1, 2, 3, 4])]
+    assert [lattice.decode(i) for i in want] == texts
     for name, value in (("_FEW", 10**9), ("_FEW", 1), ("_SLICE", 16)):
         with monkeypatch.context() as m:
             m.setattr(sentence_pieces, name, value)

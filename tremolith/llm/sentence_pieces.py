@@ -166,7 +166,7 @@ class Lattice:
             m = int(np.searchsorted(-length, -t, "right"))
             if m < _FEW:
                 for a, n in zip(start[:m].tolist(), length[:m].tolist(), strict=True):
-                    self._forward_one(sums[a : a + n])
+                    self._forward_one(sums[a : a + n], t - 1, mantissa[a : a + t - 1].tolist(), exponent[a : a + t - 1].tolist())
                 return
             end = start[:m] + (t - 1)
             k = np.arange(min(t, most), 0, -1)
@@ -181,14 +181,15 @@ class Lattice:
             mantissa[end], more = np.frexp(w[:, -1])
             exponent[end] = top + more
 
-    def _forward_one(self, sums: np.ndarray) -> None:
-        ends, columns = np.nonzero(sums)
-        weights, backs = sums[ends, columns].tolist(), (ends - (self.longest - columns)).tolist()
-        bounds = np.searchsorted(ends, np.arange(len(sums) + 1)).tolist()
-        mantissa, exponent = [0.0] * len(sums) + [1.0], [0] * (len(sums) + 1)  # the last: before the first
+    def _forward_one(self, sums: np.ndarray, done: int, mantissa: list[float], exponent: list[int]) -> None:
+        """The rest of one stretch, of which ``done`` characters are through."""
+        ends, columns = np.nonzero(sums[done:])
+        weights, backs = sums[done:][ends, columns].tolist(), (ends + done - (self.longest - columns)).tolist()
+        bounds = np.searchsorted(ends, np.arange(len(sums) - done + 1)).tolist()
+        mantissa, exponent = [*mantissa, *[0.0] * (len(sums) - done), 1.0], [*exponent, *[0] * (len(sums) - done + 1)]  # the last: before the first
         cumulated = []
-        for end in range(len(sums)):
-            a, b = bounds[end], bounds[end + 1]
+        for end in range(done, len(sums)):
+            a, b = bounds[end - done], bounds[end - done + 1]
             top = max([exponent[i] for i in backs[a:b]])
             total = 0.0
             for w, i in zip(weights[a:b], backs[a:b], strict=True):
@@ -196,8 +197,8 @@ class Lattice:
                 cumulated.append(total)
             mantissa[end], more = math.frexp(total)
             exponent[end] = top + more
-        sums[ends, columns] = cumulated
-        np.maximum.accumulate(sums, axis=1, out=sums)
+        sums[done:][ends, columns] = cumulated
+        np.maximum.accumulate(sums[done:], axis=1, out=sums[done:])
 
     def draws(self, keys: np.ndarray, places: np.ndarray) -> np.ndarray:
         h = mix(mix(keys + self.seed) + places.astype(np.uint64) * _MULT)
