@@ -90,17 +90,14 @@ def test_near_components(spark, rows):
 
 def test_near_without_stars_and_in_small_blocks(spark, rows, monkeypatch):
     """The trees alone find all links, also block part by block part."""
-    monkeypatch.setattr(ngram_join, "STAR_TURNS", 0)
     monkeypatch.setattr(ngram_join, "BLOCK", 7)
+    monkeypatch.setattr(ngram_join, "HOT", 4)  # shingles of more prefixes come last
     monkeypatch.setattr(ngram_join, "PART_TOKENS", 2000)
-    monkeypatch.setattr(ngram_join, "_ties_to_largest", lambda *a: 1 / 0)
-    sets, comp = components(rows)
-    got = {r["id"]: r["component_id"] for r in ngram_join.document_components(frame(spark, rows)).collect()}
-    assert got == {i: min(rows[j][0] for j in comp[k]) for k, (i, _) in enumerate(rows)}
-
-
-def test_hot_shingles_come_last(spark, rows, monkeypatch):
-    monkeypatch.setattr(ngram_join, "HOT", 4)
+    monkeypatch.setattr(ngram_join, "CHUNK", 500)
+    monkeypatch.setattr(ngram_join, "SINGLE_PAIRS", 3)
+    real = ngram_join._Classes.verified
+    monkeypatch.setattr(ngram_join._Classes, "verified", lambda self, pairs: real(self, pairs.limit(0)))
+    monkeypatch.setattr(ngram_join, "_one_block_each", lambda mixed: mixed.select("key", "cid").limit(0))
     sets, comp = components(rows)
     got = {r["id"]: r["component_id"] for r in ngram_join.document_components(frame(spark, rows)).collect()}
     assert got == {i: min(rows[j][0] for j in comp[k]) for k, (i, _) in enumerate(rows)}

@@ -14,20 +14,24 @@ component.  Documents with equal sets are one class; only classes are compared.
     classes one is kept.
 2.  Stars.  In each block every class is tied to the block's least class; each
     class verifies, on the whole sets, the tie that most of its blocks propose.
-    Verified ties give first components.  In a few more turns each class outside
-    its block's largest component is tied to a member of that, and verifies TIES
-    of its ties.  So a family of near copies is all but one component after a
-    few checks a member, not after all pairs.  Ties decide no "no".
+    Verified ties give first components, so a large family of near copies is
+    nearly one component after a check a member.  Ties decide no "no".
 3.  Trees.  In blocks that still hold several components, the classes outside the
     largest one meet all others in signature trees: the dual traversal drops
     node pairs whose components are one or whose largest possible overlap is too
-    small.  A pair of leaves that is left is one row that names its classes, so
-    what is written is bounded by leaf pairs, not by pairs.
-4.  Verification.  Each leaf pair meets its whole sets and every pair in it is
-    checked exactly, but for pairs that links found there have joined already.
+    small.  What is left is written as (class, component) where the other side is
+    the largest or another large component, else as single pairs while a pair of
+    leaves has few, else as the pair of leaves with its classes.  A first turn
+    takes each class in its largest such block alone, which joins most of a
+    family that meets in many blocks; the second takes every block that is left.
+4.  Verification.  A class meets the whole sets of the component, in chunks of
+    about CHUNK shingles and again by trees, and one exact link is enough; in a
+    pair of leaves every pair of whole sets is checked exactly, but for those
+    that links found there have joined already.
 
 No block or component is gathered as a whole: blocks are dealt out in parts of at
-most BLOCK classes and PART_TOKENS shingles, leaf pairs hold at most 96 sets.
+most BLOCK classes and PART_TOKENS shingles, components in chunks, leaf pairs hold
+at most 96 sets.
 
 Defined results: null and empty texts have the empty set, link with nothing and
 are their own component; a null doc_id counts for no component's name, and a
@@ -43,22 +47,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import duck
 from .bitmaps import bitmap_of, hits
 from .components import connected_components
-from .signature_tree import bitmap, bits_for, join_sets, near
+from .signature_tree import Tree, bitmap, bits_for, dual_join, join_sets, near
 from .storage import materialise, release, table
 from .words import list_column, row_slices, shingle_sets
 
 #: Prefixes that a shingle may be in before it is put last, and turns of that.
 HOT, DEMOTIONS = 1000, 2
-#: Turns of ties to the largest component, and ties a class verifies in each.
-STAR_TURNS, TIES = 1, 3
 #: Classes of a block, and their shingles, that one task compares with as many.
 BLOCK, PART_TOKENS = 2000, 4_000_000
+#: Shingles of a component that one task holds, about.
+CHUNK = 400_000
+#: Classes of a component that is searched as a whole, and pairs of a pair of leaves that are written one by one.
+LARGE, SINGLE_PAIRS = 8, 64
 _CLASSED = "id bigint, th binary, digest binary, n int, prefix array<bigint>, map array<bigint>"
 
 
@@ -132,10 +138,15 @@ class _Classes:
         self.repeated = not same.isEmpty()
 
     def sets_of(self, wanted: DataFrame) -> DataFrame:
-        """``cid, shingles`` of at least the wanted classes (``cid``); their texts are
-        hashed again where they lie."""
+        """``cid, shingles`` of at least the wanted classes (``cid``)."""
         if self.sets is not None:
             wanted = wanted.join(self.sets.select("cid"), "cid", "left_anti")
+        found = self.hashed(wanted)
+        self.sets = found if self.sets is None else self.sets.unionAll(found)
+        return self.sets
+
+    def hashed(self, wanted: DataFrame) -> DataFrame:
+        """``cid, shingles`` of the wanted classes, hashed again where their texts lie."""
         chosen = materialise(self.names.join(wanted, "cid", "left_semi"), "wanted")
         shared = self.spark.sparkContext.broadcast(bitmap_of(chosen.select(F.xxhash64("least").alias("key"))))
 
@@ -156,8 +167,7 @@ class _Classes:
             found = found.dropDuplicates(["cid"])
         found = materialise(found, "shingles")
         release(chosen)
-        self.sets = found if self.sets is None else self.sets.unionAll(found)
-        return self.sets
+        return found
 
     def linkable(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that signatures allow to link."""
@@ -197,12 +207,15 @@ def _filtered_keys(prefixes: DataFrame, bits: bytes) -> DataFrame:
 
 
 def _counted(prefixes: DataFrame, least: int) -> DataFrame:
-    return prefixes.select(F.explode("prefix").alias("key")).groupBy("key").count().filter(F.col("count") > least)
+    """``key, count`` of the low halves of shingles that are in more than ``least``
+    prefixes; halves are enough for bitmaps."""
+    half = prefixes.select(F.explode("prefix").alias("key")).select(F.col("key").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("key"))
+    return half.groupBy("key").count().filter(F.col("count") > least)
 
 
 def _prefixes(found: _Classes) -> tuple[DataFrame, list[DataFrame]]:
     """``cid, prefix`` of every class in an order that puts hot shingles last, and
-    tables to release: at the end ``key, count`` of those in several prefixes."""
+    tables to release: at the end those counted in several prefixes."""
     first = found.classes.select("cid", "prefix")
     shared = materialise(_counted(first, 1), "keys")
     hot = shared.filter(F.col("count") > HOT).select("key")
@@ -212,7 +225,7 @@ def _prefixes(found: _Classes) -> tuple[DataFrame, list[DataFrame]]:
     bits = bitmap_of(hot)
     # Only prefixes with a hot shingle change.
     touched = materialise(_filtered_keys(first, bits).select("cid").distinct(), "touched")
-    sets = found.sets_of(touched).join(touched, "cid", "left_semi")
+    sets = found.hashed(touched)
     for turn in range(DEMOTIONS):
         shared_bits = found.spark.sparkContext.broadcast(bits)
 
@@ -229,8 +242,12 @@ def _prefixes(found: _Classes) -> tuple[DataFrame, list[DataFrame]]:
             break
         hot = hot.unionAll(more)
         bits = bitmap_of(hot)
+        release(moved)
+    release(sets)
+    release(shared)
     every = materialise(first.join(touched, "cid", "left_anti").unionAll(moved), "prefixes")
-    return every, [shared, every, materialise(_counted(every, 1), "keys")]
+    release(moved)
+    return every, [every, materialise(_counted(every, 1), "keys")]
 
 
 def _blocks(found: _Classes) -> DataFrame:
@@ -257,7 +274,7 @@ def _merged(comps: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _mixed(blocks: DataFrame, comps: DataFrame, found: _Classes) -> DataFrame:
-    """``key, cid, comp, head, held, tokens`` of the blocks that hold several
+    """``key, cid, comp, weight, head, held, tokens`` of the blocks that hold several
     components; head is a member (cid, comp) of the largest component in it."""
     weights = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("weight"))
     placed = blocks.select("key", "cid").join(comps.join(weights, "comp").join(found.classes.select("cid", "n"), "cid"), "cid")
@@ -268,44 +285,60 @@ def _mixed(blocks: DataFrame, comps: DataFrame, found: _Classes) -> DataFrame:
     heads = heads.select("key", "held", "tokens", F.struct(F.col("head.cid").alias("cid"), F.col("head.comp").alias("comp")).alias("head"))
     # Written first, so that the join below deals rows out anew and may split a hot key.
     heads = materialise(heads, "heads")
-    return materialise(placed.select("key", "cid", "comp").join(heads, "key"), "mixed")
+    return materialise(placed.select("key", "cid", "comp", "weight").join(heads, "key"), "mixed")
 
 
-def _ties_to_largest(mixed: DataFrame, turn: int) -> DataFrame:
-    """Ties of classes to a member of the largest component of their blocks; TIES of them a class."""
-    ties = mixed.filter(F.col("comp") != F.col("head.comp")).select("cid", F.col("head.cid").alias("leader")).distinct()
-    # A class has at most as many rows here as its prefix.
-    turn_of = F.row_number().over(Window.partitionBy("cid").orderBy(F.xxhash64("leader", F.lit(turn)), "leader"))
-    return ties.withColumn("turn", turn_of).filter(F.col("turn") <= TIES).select(F.col("cid").alias("a"), F.col("leader").alias("b"))
+def _one_block_each(mixed: DataFrame) -> DataFrame:
+    """``key, cid``: the largest of each class's blocks."""
+    largest = mixed.groupBy("cid").agg(F.max(F.struct("held", "key")).alias("largest"))
+    return materialise(largest.select("largest.key", "cid"), "largest")
 
 
-_LEAVES = "xs array<bigint>, ys array<bigint>"
+_LEAVES = "xs array<bigint>, ys array<bigint>, comp bigint"
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each job (a part of a block's classes outside the largest component
-    against a part of all), the leaf pairs that bitmaps allow."""
+    against a part of all), what bitmaps allow: classes xs that may link with a
+    large component, or classes xs and ys that may link with each other."""
     for t in _groups(batches, ["key", "p", "q"]):
         side = t.column("side").to_numpy(zero_copy_only=False)
         left, right = np.flatnonzero(side), np.flatnonzero(~side)
         if not len(left) or not len(right):
             continue
-        cid, main = t.column("cid").to_numpy(), t.column("main").to_numpy(zero_copy_only=False)
-        xs, ys = [], []
-        for x, y in join_sets(t.column("n").to_numpy().astype(np.int64), _ragged(t.column("map")), t.column("comp").to_numpy(), left, right):
-            once = main[y] | (cid[x] < cid[y])  # classes outside meet each other twice
-            if once.any():
-                xs.append(np.unique(cid[x[once]]).view(np.uint64))
-                ys.append(np.unique(cid[y[once]]).view(np.uint64))
-            if len(xs) == 256:
-                yield pa.RecordBatch.from_arrays([list_column(xs, pa.int64()), list_column(ys, pa.int64())], names=["xs", "ys"])
-                xs, ys = [], []
-        if xs:
-            yield pa.RecordBatch.from_arrays([list_column(xs, pa.int64()), list_column(ys, pa.int64())], names=["xs", "ys"])
-
-
-def _leaf_pairs(mixed: DataFrame, found: _Classes) -> DataFrame:
-    """``pair, xs, ys``: pairs of leaves whose classes may link."""
+        cid, comp, weight = (t.column(c).to_numpy() for c in ("cid", "comp", "weight"))
+        main = t.column("main").to_numpy(zero_copy_only=False)
+        near_main, rows = np.zeros(len(cid), bool), []
+        for x, y in join_sets(t.column("n").to_numpy().astype(np.int64), _ragged(t.column("map")), comp, left, right):
+            near_main[x[main[y]]] = True
+            once = ~main[y] & (cid[x] < cid[y])  # classes outside meet each other twice
+            x, y = x[once], y[once]
+            swap = (weight[x] > weight[y]) | ((weight[x] == weight[y]) & (comp[x] > comp[y]))
+            x, y = np.where(swap, y, x), np.where(swap, x, y)
+            large = weight[y] > LARGE
+            for c in np.unique(comp[y[large]]).tolist():
+                rows.append((np.unique(cid[x[large & (comp[y] == c)]]), cid[:0], c))
+            x, y = cid[x[~large]], cid[y[~large]]
+            if len(x) > SINGLE_PAIRS:
+                rows.append((np.unique(x), np.unique(y), None))
+            else:
+                rows += [(x[i : i + 1], y[i : i + 1], None) for i in range(len(x))]
+            if len(rows) >= 4096:
+                yield _leaf_rows(rows)
+                rows = []
+        if near_main.any():
+            rows.append((cid[near_main], cid[:0], int(comp[right[main[right]]][0])))
+        if rows:
+            yield _leaf_rows(rows)
+
+
+def _leaf_rows(rows: list[tuple[np.ndarray, np.ndarray, int | None]]) -> pa.RecordBatch:
+    xs, ys, comp = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([list_column(list(xs), pa.int64()), list_column(list(ys), pa.int64()), pa.array(comp, pa.int64())], names=["xs", "ys", "comp"])
+
+
+def _searched(mixed: DataFrame, found: _Classes) -> DataFrame:
+    """``xs, ys, comp`` as of :func:`_search`, of all blocks."""
     rows = mixed.withColumn("main", F.col("comp") == F.col("head.comp"))
     outside = rows.groupBy("key").agg(F.count(F.when(~F.col("main"), 1)).alias("out"))
     rows = rows.join(materialise(outside, "outside"), "key")
@@ -318,26 +351,33 @@ def _leaf_pairs(mixed: DataFrame, found: _Classes) -> DataFrame:
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     mine = rows.filter("NOT main").withColumn("p", F.pmod(h, "ps").cast("int")).withColumn("q", every("qs")).withColumn("side", F.lit(True))
     theirs = rows.withColumn("q", F.pmod(h, "qs").cast("int")).withColumn("p", every("ps")).withColumn("side", F.lit(False))
-    jobs = mine.select("key", "p", "q", "cid", "comp", "main", "side").unionByName(theirs.select("key", "p", "q", "cid", "comp", "main", "side"))
+    names = ["key", "p", "q", "cid", "comp", "weight", "main", "side"]
+    jobs = mine.select(names).unionByName(theirs.select(names))
     jobs = jobs.join(found.classes.select("cid", "n", "map"), "cid")
-    dealt = jobs.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").select("key", "p", "q", "cid", "comp", "main", "side", "n", "map")
-    leaves = dealt.mapInArrow(_search, _LEAVES).distinct()
-    return materialise(leaves.withColumn("pair", F.monotonically_increasing_id()), "leaves")
+    dealt = jobs.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").select(*names, "n", "map")
+    return materialise(dealt.mapInArrow(_search, _LEAVES).distinct().withColumn("pair", F.monotonically_increasing_id()), "leaves")
+
 
+def _linked(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets link."""
+    if 4 * len(a) < 3 * len(b) or 4 * len(b) < 3 * len(a):
+        return False
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    return 7 * int((b[at] == a).sum()) >= 3 * (len(a) + len(b))
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+_LINKS = "a bigint, b bigint"
+
+
+def _verify_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The links of each pair of leaves, as many as join what they join."""
     for t in _groups(batches, ["pair"]):
         cid, side, comp, sets = t.column("cid").to_numpy(), t.column("side").to_numpy(zero_copy_only=False), t.column("comp").to_numpy().copy(), _ragged(t.column("shingles"))
         links = []
         for i in np.flatnonzero(side).tolist():
             for j in np.flatnonzero(~side & (comp != comp[i])).tolist():
-                a, b = sets[i], sets[j]
-                if comp[j] == comp[i] or 4 * len(a) < 3 * len(b) or 4 * len(b) < 3 * len(a):
-                    continue
-                at = np.searchsorted(b, a)
-                at[at == len(b)] = 0
-                if 7 * int((b[at] == a).sum()) >= 3 * (len(a) + len(b)):
+                if comp[j] != comp[i] and _linked(sets[i], sets[j]):
                     links.append((cid[i], cid[j]))
                     comp[comp == comp[j]] = comp[i]
         if links:
@@ -345,13 +385,50 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+def _verify_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each chunk of a component, one link for each class that has any."""
+    for t in _groups(batches, ["comp", "chunk", "share"]):
+        probe, cid, sets = t.column("probe").to_numpy(zero_copy_only=False), t.column("cid").to_numpy(), _ragged(t.column("shingles"))
+        sizes = np.array([len(s) for s in sets], np.int64)
+        members, probes = np.flatnonzero(~probe), np.flatnonzero(probe)
+        linked: dict[int, int] = {}
+        for magnitude in np.unique([n.bit_length() for n in sizes[probes].tolist()]).tolist():
+            mine = probes[[n.bit_length() == magnitude for n in sizes[probes].tolist()]]
+            low, high = sizes[mine].min(), sizes[mine].max()
+            close = members[(4 * sizes[members] >= 3 * low) & (3 * sizes[members] <= 4 * high)]
+            if not len(close):
+                continue
+            bits = 4 * bits_for(int(high))  # whole sets are at hand: wide signatures
+            left = Tree(sizes[mine], np.stack([bitmap(sets[i], bits) for i in mine]), np.zeros(len(mine), np.int64))
+            right = Tree(sizes[close], np.stack([bitmap(sets[i], bits) for i in close]), np.ones(len(close), np.int64))
+            for x, y in dual_join(left, right):
+                for i, j in zip(mine[x].tolist(), close[y].tolist(), strict=True):
+                    if i not in linked and _linked(sets[i], sets[j]):
+                        linked[i] = j
+        if linked:
+            yield pa.RecordBatch.from_arrays([pa.array(cid[list(linked)], pa.int64()), pa.array(cid[list(linked.values())], pa.int64())], names=["a", "b"])
+
+
 def _tree_links(mixed: DataFrame, comps: DataFrame, found: _Classes) -> DataFrame:
-    leaves = _leaf_pairs(mixed, found)
-    members = leaves.select("pair", F.explode("xs").alias("cid"), F.lit(True).alias("side")).unionAll(leaves.select("pair", F.explode("ys"), F.lit(False)))
-    members = materialise(members, "members")
-    sets = found.sets_of(members.select("cid").distinct())
-    met = members.join(comps, "cid").join(sets, "cid").select("pair", "cid", "side", "comp", "shingles")
-    return met.repartition("pair").sortWithinPartitions("pair").mapInArrow(_verify, "a bigint, b bigint")
+    searched = _searched(mixed, found)
+    leaves = searched.filter("comp IS NULL")
+    leaves = leaves.select("pair", F.explode("xs").alias("cid"), F.lit(True).alias("side")).unionAll(leaves.select("pair", F.explode("ys"), F.lit(False)))
+    leaves = materialise(leaves, "members")
+    probes = searched.filter("comp IS NOT NULL").select("comp", F.explode("xs").alias("cid")).distinct()
+    # Components in chunks; a chunk's probes are dealt out too, the members going to each share.
+    members = comps.join(probes.select("comp").distinct(), "comp").join(found.classes.select("cid", "n"), "cid")
+    chunks = materialise(members.groupBy("comp").agg(F.ceil(F.sum("n") / CHUNK).cast("int").alias("chunks")), "chunks")
+    shares = probes.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("shares"))
+    chunks = materialise(chunks.join(shares, "comp"), "chunks")
+    h, every = F.xxhash64("cid"), lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    mine = members.select("comp", "cid").join(chunks, "comp").withColumn("chunk", F.pmod(h, "chunks").cast("int")).withColumn("share", every("shares")).withColumn("probe", F.lit(False))
+    theirs = probes.join(chunks, "comp").withColumn("share", F.pmod(h, "shares").cast("int")).withColumn("chunk", every("chunks")).withColumn("probe", F.lit(True))
+    jobs = materialise(mine.unionByName(theirs).select("comp", "chunk", "share", "cid", "probe"), "jobs")
+    sets = found.sets_of(leaves.select("cid").union(jobs.select("cid")).distinct())
+    met = leaves.join(comps, "cid").join(sets, "cid").select("pair", "cid", "side", "comp", "shingles")
+    links = met.repartition("pair").sortWithinPartitions("pair").mapInArrow(_verify_leaves, _LINKS)
+    met = jobs.join(sets, "cid").select("comp", "chunk", "share", "cid", "probe", "shingles")
+    return links.unionAll(met.repartition("comp", "chunk", "share").sortWithinPartitions("comp", "chunk", "share").mapInArrow(_verify_chunks, _LINKS))
 
 
 def _named(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -364,11 +441,8 @@ def _named(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     ties = ties.groupBy("cid").agg(F.max(F.struct("weight", (-F.col("leader")).alias("l"))).alias("best")).select(F.col("cid").alias("a"), (-F.col("best.l")).alias("b"))
     comps = _merged(comps, found.verified(ties))
     mixed = _mixed(blocks, comps, found)
-    for turn in range(STAR_TURNS):
-        comps = _merged(comps, found.verified(_ties_to_largest(mixed, turn)))
-        last, mixed = mixed, _mixed(mixed, comps, found)
-        release(last)
-    comps = _merged(comps, _tree_links(mixed, comps, found))
+    comps = _merged(comps, _tree_links(_mixed(_one_block_each(mixed), comps, found), comps, found))
+    comps = _merged(comps, _tree_links(_mixed(mixed, comps, found), comps, found))
     named = found.names.join(comps.toDF("c", "comp"), F.col("cid") == F.col("c"), "left").select("digest", "least", F.coalesce("comp", "cid").alias("component"))
     named = materialise(named, "named")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
