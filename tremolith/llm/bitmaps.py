@@ -1,12 +1,14 @@
 """Bitmaps of fixed size over 64-bit keys: which keys may be in a set.
 
 They save shuffling and fix an order; a false hit never decides a result.  A
-bitmap takes 8 MB whatever the input; when it fills up, only work is lost.
+bitmap takes 8 MB whatever the input, packed by zstandard while it is sent; when
+it fills up, only work is lost.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +25,11 @@ def bitmap_of(keys: DataFrame, column: str = "key") -> bytes:
     step = 1 << (ROW_BITS - 3)
     for row in rows.toLocalIterator():
         whole[row["w"] * step : row["w"] * step + len(row["bits"])] = np.frombuffer(row["bits"], np.uint8)
-    return whole.tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(whole)
+
+
+def unpacked(bits: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(bits), np.uint8)
 
 
 def hits(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:

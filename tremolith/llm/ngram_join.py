@@ -47,11 +47,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import duck
-from .bitmaps import bitmap_of, hits
+from .bitmaps import bitmap_of, hits, unpacked
 from .components import connected_components
 from .signature_tree import Tree, bitmap, bits_for, dual_join, join_sets, near
 from .storage import materialise, release, table
@@ -151,7 +152,7 @@ class _Classes:
         shared = self.spark.sparkContext.broadcast(bitmap_of(chosen.select(F.xxhash64("least").alias("key"))))
 
         def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bits = np.frombuffer(shared.value, np.uint8)
+            bits = unpacked(shared.value)
             for batch in batches:
                 at = np.flatnonzero(hits(bits, batch.column(1).to_numpy().view(np.uint64)))
                 for part in (at[a : a + 512] for a in range(0, len(at), 512)):
@@ -166,6 +167,7 @@ class _Classes:
         if self.repeated:  # rows that repeat an id and a set
             found = found.dropDuplicates(["cid"])
         found = materialise(found, "shingles")
+        shared.destroy()  # written: no task asks for it again
         release(chosen)
         return found
 
@@ -190,12 +192,11 @@ def _near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array([near(s, m) for s, m in zip(sizes, maps, strict=True)], pa.bool_()))
 
 
-def _filtered_keys(prefixes: DataFrame, bits: bytes) -> DataFrame:
+def _filtered_keys(prefixes: DataFrame, shared: Broadcast) -> DataFrame:
     """``cid, key`` of the prefixes' shingles that a bitmap has."""
-    shared = prefixes.sparkSession.sparkContext.broadcast(bits)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap_ = np.frombuffer(shared.value, np.uint8)
+        bitmap_ = unpacked(shared.value)
         for batch in (part for whole in batches for part in row_slices(whole)):
             flat = batch.column(1).flatten().to_numpy().view(np.uint64)
             counts = np.diff(batch.column(1).offsets.to_numpy())
@@ -224,17 +225,20 @@ def _prefixes(found: _Classes) -> tuple[DataFrame, list[DataFrame]]:
     hot = materialise(hot, "hot")
     bits = bitmap_of(hot)
     # Only prefixes with a hot shingle change.
-    touched = materialise(_filtered_keys(first, bits).select("cid").distinct(), "touched")
+    shared_bits = found.spark.sparkContext.broadcast(bits)
+    touched = materialise(_filtered_keys(first, shared_bits).select("cid").distinct(), "touched")
+    shared_bits.destroy()
     sets = found.hashed(touched)
     for turn in range(DEMOTIONS):
         shared_bits = found.spark.sparkContext.broadcast(bits)
 
         def again(batches: Iterator[pa.RecordBatch], shared_bits=shared_bits) -> Iterator[pa.RecordBatch]:
-            late = np.frombuffer(shared_bits.value, np.uint8)
+            late = unpacked(shared_bits.value)
             for batch in (part for whole in batches for part in row_slices(whole)):
                 yield pa.RecordBatch.from_arrays([batch.column(0), list_column([prefix(s, late) for s in _ragged(batch.column(1))], pa.int64())], names=["cid", "prefix"])
 
         moved = materialise(sets.mapInArrow(again, "cid bigint, prefix array<bigint>"), "prefixes")
+        shared_bits.destroy()
         if turn == DEMOTIONS - 1:
             break
         more = materialise(_counted(moved, HOT).select("key").join(hot, "key", "left_anti"), "hot")
@@ -254,11 +258,13 @@ def _blocks(found: _Classes) -> DataFrame:
     """``key, cid, leader, weight``: the classes of each block, its least class and
     how many blocks are alike."""
     prefixes, done = _prefixes(found)
-    rows = _filtered_keys(prefixes, bitmap_of(done[-1]))
+    shared_bits = found.spark.sparkContext.broadcast(bitmap_of(done[-1]))
+    rows = _filtered_keys(prefixes, shared_bits)
     signature = [F.bit_xor(F.xxhash64("cid", F.lit(k))).alias(f"x{k}") for k in (0, 1)]
     blocks = rows.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min("cid").alias("leader"), *signature).filter("held > 1")
     alike = materialise(blocks.groupBy("held", "leader", "x0", "x1").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("weight")).select("key", "leader", "weight"), "alike")
     out = materialise(rows.join(alike, "key").select("key", "cid", "leader", "weight"), "blocks")
+    shared_bits.destroy()
     for t in (alike, *done):
         release(t)
     return out

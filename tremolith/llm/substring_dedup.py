@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bitmaps import bitmap_of, hits
+from .bitmaps import bitmap_of, hits, unpacked
 from .storage import materialise, table
 from .words import list_column, mix, row_slices
 
@@ -108,7 +108,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     shared = docs.sparkSession.sparkContext.broadcast(_bitmap(docs))
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(shared.value, np.uint8)
+        bits = unpacked(shared.value)
         for batch in (part for whole in batches for part in row_slices(whole)):
             columns: list[list[np.ndarray]] = [[] for _ in range(7)]
             ids, counts = [], []
@@ -132,6 +132,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
                 yield pa.RecordBatch.from_arrays(out, names=["id", "th", "key", "check", "start", "end", "before", "after"])
 
     found = materialise(docs.mapInArrow(ship, _UNITS), "units")
+    shared.destroy()  # written: no task asks for it again
     doc = F.struct("id", "th")
     holders = found.groupBy("key", "check").agg(F.min(doc).alias("first"), F.max(doc).alias("last")).filter("NOT (first <=> last)")
     met = found.join(holders.select("key", "check", "first"), ["key", "check"]).withColumn("own", F.col("first").eqNullSafe(doc))
