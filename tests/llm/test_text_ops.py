@@ -90,8 +90,20 @@ def test_short_notices_are_found_whole(spark):
     assert got == {i: (label, label != "") for i, (_, label) in enumerate(NOTICES)}
 
 
+def test_each_license_gets_its_own_label(spark):
+    long = [(label, p) for label, passages in license_scan.TEMPLATES.items() for p in passages]
+    rows = [(i, f"Copyright 2020 someone. {p}. Some words of another kind follow here.") for i, (_, p) in enumerate(long)]
+    got = {r["doc_id"]: r["labels"].split(",") for r in license_scan.license_report(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    passages = {label for label in license_scan.TEMPLATES}
+    for i, (label, _) in enumerate(long):
+        family = {x.split("-")[0] for x in (label,)}
+        assert label in got[i], (label, got[i])
+        # Besides short notices inside it, which are of the same license, no other passage's label.
+        assert all(x == label or x.split("-")[0] in family for x in set(got[i]) & passages) and not {"cc-by", "cc-by-sa", "cc-by-nc", "cc-by-nd"} & (set(got[i]) - {label}), (label, got[i])
+
+
 def test_diagonals_far_apart_merge_in_order(spark):
-    mit = license_scan.TEMPLATES["mit"].split()
+    mit = license_scan.TEMPLATES["mit"][0].split()
     n = len(mit)
     texts = [
         mit[:9] + ["inserted"] * 12 + mit[9:], mit[:7] + mit[12:], mit[9:] + mit[:9], mit[:9] + ["inserted"] * 200 + mit[9:], mit + mit,
@@ -118,6 +130,20 @@ def test_blocks():
     assert html_extract.blocks("<main><p>x</main>")[0] == ["x"]
 
 
+@pytest.mark.parametrize("page,want", [
+    ("<main><h1>Title</h1><p>lead<article>body</article><p>tail</main>", ["Title", "lead", "body", "tail"]),
+    ("<main>body</main><div><article>card</article></div>", ["body"]),
+    ("<article><p class='social-history'>a<p id='related-work'>b<div class='search-engines'>c</div></article>", ["a", "b", "c"]),
+    ("<article><select><option>x<p>kept</p><p>too</article>", ["kept", "too"]),
+    ("<article><p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</article>", ["so x=1 holds"]),
+    ("<article>text<div class='related-posts'>no</div><div id='share_buttons'>no</div><ul class='nav2 breadcrumbs'><li>no</ul></article>", ["text"]),
+    ("<main><header><h1>Head</h1></header>" + "<p>long text</p>" * 3 + "</main><header>site</header>", ["Head"] + ["long text"] * 3),
+    ("<article>" + "<p>" + "very long " * 50_000 + "</article>", [("very long " * 50_000).strip()]),
+])
+def test_main_text_is_not_lost(page, want):
+    assert html_extract.blocks(page)[0] == want
+
+
 def test_pages(spark):
     bar = " ".join(f"menu{i}" for i in range(9))
     bare = lambda k: f"<div>{bar}</div><p>own{k} text{k} of{k} page{k} here{k} and{k} more{k}</p>"

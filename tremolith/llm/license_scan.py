@@ -15,6 +15,10 @@ template.  A chain begins at most SPREAD times the template's words before its
 last diagonal.  Of all chains that end at a diagonal the one with the most votes
 is taken; verified chains that overlap are one span.
 
+Licenses share passages.  Of long passages of different labels whose spans
+overlap, only the one with the best coverage stays (then the one with more runs
+found), so that the words that tell two licenses apart decide.
+
 A notice that names a version gives the label with the version beside the
 general one ("gpl,gpl-3").
 
@@ -43,19 +47,45 @@ BASE = {
 }
 # Characteristic passages of well-known public licenses.
 TEMPLATES = {
-    "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
-    "apache-2": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license",
-    "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "gpl": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license",
-    "lgpl": "you can redistribute it and or modify it under the terms of the gnu lesser general public license",
-    "mpl-2": "this source code form is subject to the terms of the mozilla public license v 2 0",
-    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
-    "cc-by": "this work is licensed under a creative commons attribution 4 0 international license",
-    "cc-by-sa": "this work is licensed under a creative commons attribution sharealike 4 0 international license",
-    "cc-by-nc": "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
-    "cc0": "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
-    "unlicense": "this is free and unencumbered software released into the public domain",
-    "all-rights-reserved": "all rights reserved no part of this publication may be reproduced",
+    "mit": (
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+    ),
+    "apache-2": (
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license",
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+    ),
+    "bsd": (
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+        "may be used to endorse or promote products derived from this software without specific prior written permission",
+    ),
+    "gpl": (
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+        "you should have received a copy of the gnu general public license along with this program",
+    ),
+    "lgpl": (
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
+        "you should have received a copy of the gnu lesser general public license along with this library",
+    ),
+    "agpl": ("this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation",),
+    "mpl-2": (
+        "this source code form is subject to the terms of the mozilla public license v 2 0",
+        "if a copy of the mpl was not distributed with this file you can obtain one at",
+    ),
+    "isc": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",),
+    "cc-by": ("this work is licensed under a creative commons attribution 4 0 international license",),
+    "cc-by-sa": ("this work is licensed under a creative commons attribution sharealike 4 0 international license",),
+    "cc-by-nc": ("this work is licensed under a creative commons attribution noncommercial 4 0 international license",),
+    "cc-by-nd": ("this work is licensed under a creative commons attribution noderivatives 4 0 international license",),
+    "cc0": ("to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",),
+    "unlicense": (
+        "this is free and unencumbered software released into the public domain",
+        "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary",
+    ),
+    "boost": ("permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",),
+    "zlib": ("this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software",),
+    "all-rights-reserved": ("all rights reserved no part of this publication may be reproduced",),
 }
 # Names by which short notices give a license; "license" is also
 # looked for as "licence".
@@ -99,7 +129,7 @@ _GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 def templates() -> list[tuple[str, str, bool, bool]]:
     """phrase, label, base, whole (counts only whole) of every template."""
     short = sorted({(p.replace("license", word), label) for label, phrases in NOTICES.items() for p in phrases for word in ("license", "licence")})
-    return [(p, label, True, True) for p, label in BASE.items()] + [(p, label, False, True) for p, label in short] + [(p, label, False, False) for label, p in TEMPLATES.items()]
+    return [(p, label, True, True) for p, label in BASE.items()] + [(p, label, False, True) for p, label in short] + [(p, label, False, False) for label, passages in TEMPLATES.items() for p in passages]
 
 
 def template_runs(spark: SparkSession) -> DataFrame:
@@ -163,7 +193,7 @@ def spans(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     text = Window.partitionBy("id", "th")
     votes = votes.withColumn("copies", F.max(F.when(F.col("template").isNull(), F.col("votes"))).over(text))
     votes = votes.withColumn("votes", F.col("votes") / F.col("copies")).withColumn("t", F.col("first") - F.col("diagonal"))
-    reach = SPREAD * max(len(p.split()) for p in TEMPLATES.values())
+    reach = SPREAD * max(len(p.split()) for passages in TEMPLATES.values() for p in passages)
     around = Window.partitionBy("id", "th", "template").orderBy("first").rangeBetween(-reach, 0)
     match = F.struct("first", "t", "last", (F.col("last") - F.col("diagonal")).alias("end"), "votes")
     votes = votes.withColumn("near", F.collect_list(F.when(~F.col("whole"), match)).over(around))
@@ -178,10 +208,21 @@ def spans(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     along = Window.partitionBy("id", "th", "template").orderBy("begin", "last")
     apart = F.col("begin") > F.max("last").over(along.rowsBetween(Window.unboundedPreceding, -1))
     votes = votes.withColumn("span", F.sum(F.when(apart | F.col("whole"), 1).otherwise(0)).over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    return votes.groupBy("id", "th", "template", "span").agg(
-        F.first("label").alias("label"), F.first("base").alias("base"), F.min("begin").alias("first"), (F.max("last") + (K - 1)).alias("last"),
-        F.max("coverage").alias("coverage"), F.max("copies").alias("copies"), F.max("n_words").alias("n_words"),
+    found = votes.groupBy("id", "th", "template", "span").agg(
+        F.first("label").alias("label"), F.first("base").alias("base"), F.first("whole").alias("whole"), F.min("begin").alias("first"), (F.max("last") + (K - 1)).alias("last"),
+        F.max("coverage").alias("coverage"), (F.max("coverage") * F.first("runs")).alias("found"), F.max("copies").alias("copies"), F.max("n_words").alias("n_words"),
     )
+    # Of overlapping long passages of different labels the best stays.
+    near = Window.partitionBy("id", "th").orderBy("first").rangeBetween(-2 * reach, 2 * reach)
+    passage = F.struct("label", "first", "last", "coverage", "found")
+    found = found.withColumn("others", F.collect_list(F.when(F.col("template").isNotNull() & ~F.col("whole"), passage)).over(near))
+
+    def beats(o) -> F.Column:
+        better = (o["coverage"] > F.col("coverage")) | ((o["coverage"] == F.col("coverage")) & (o["found"] > F.col("found")))
+        return (o["label"] != F.col("label")) & (o["first"] <= F.col("last")) & (o["last"] >= F.col("first")) & better
+
+    beaten = F.coalesce(~F.col("whole"), F.lit(False)) & F.exists("others", beats)
+    return found.filter(~beaten).drop("others", "whole", "found")
 
 
 def license_report(spark: SparkSession, docs: DataFrame) -> DataFrame:
