@@ -2,8 +2,8 @@
 
 Long lineages are cut by writing a Parquet table under ``spark.checkpoint.dir``
 and reading it back: a lost executor then re-reads a file, never a lost block.
-Where the session names no such folder (tests, notebooks) one is made once per
-Spark application.
+Where a local session names no such folder (tests, notebooks) one is made once per
+Spark application; on a cluster a missing folder is an error.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="tremolith-")
