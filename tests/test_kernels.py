@@ -189,3 +189,9 @@ def test_optimisers_find_known_optima():
     assert a @ optim.conjugate_gradient(a, np.array([1.0, 2.0])) == pytest.approx([1, 2])
     x = RNG.normal(size=(30, 3))
     assert optim.design_fir_cg(x, x @ [1.0, 2.0, 3.0]) == pytest.approx([1, 2, 3], abs=1e-4)
+
+
+def test_adaptive_median_takes_even_windows_as_the_next_odd_ones():
+    from tremolith.kernels import classic
+
+    assert classic.odd_windows(2, 14) == (3, 15) and classic.odd_windows(1, 15) == (3, 15) and classic.odd_windows(4, 8) == (5, 9)

@@ -109,8 +109,14 @@ def gaussian_filter(x, fs, sigma):
     return np.convolve(np.pad(x, len(w) // 2, mode="symmetric"), w, "valid")
 
 
+def odd_windows(first: int, last: int) -> tuple[int, int]:
+    """Even window sizes go up to the next odd one, the first to 3 at least."""
+    return max(3, int(first) | 1), int(last) | 1
+
+
 @operator(TIME, "LOW", "impulse", "adaptive", max_window_size=15, initial_window_size=3)
 def adaptive_median_filter(x, fs, max_window_size, initial_window_size):
+    initial_window_size, max_window_size = odd_windows(initial_window_size, max_window_size)
     n, out, first = len(x), x.copy(), initial_window_size // 2
     open_ = np.zeros(n, bool)
     open_[first : n - first] = True

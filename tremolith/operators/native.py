@@ -81,6 +81,7 @@ def gaussian_filter(df: DataFrame, sigma: float = 2.0) -> DataFrame:
 
 
 def adaptive_median_filter(df: DataFrame, max_window_size: int = 15, initial_window_size: int = 3) -> DataFrame:
+    initial_window_size, max_window_size = classic.odd_windows(initial_window_size, max_window_size)
     n, i, x = F.count(F.lit(1)).over(whole()), F.col("i"), F.col("value")
     chosen = None
     for w in range(initial_window_size, max_window_size + 1, 2):
