@@ -8,6 +8,7 @@ dictionaries.  Whole texts are scored, in batches inside zstandard.
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -167,9 +168,9 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-
     return mean, scale, beta
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int = TRAINING_ROWS) -> tuple[list[tuple[str, int]], dict[int, int]]:
-    """(text, label) of at most ``rows`` labelled rows a class that are not held
-    out, of TRAINING_BYTES together, in hash order, and how many rows a class has."""
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int = TRAINING_ROWS) -> tuple[DataFrame, dict[int, int]]:
+    """``i, text, y`` of at most ``rows`` labelled rows a class that are not held
+    out, of TRAINING_BYTES a class, and how many rows a class has."""
     ids = labels.select(F.col("doc_id").cast("long").alias("i"), F.col(label).alias("y")).filter("i IS NOT NULL AND y IN (0, 1)")
     ids = ids.filter(~held_out(F.col("i")))
     counts = {r[0]: r[1] for r in ids.groupBy("y").count().collect()}
@@ -181,11 +182,24 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int = TR
     found = docs.select(F.col("doc_id").cast("long").alias("i"), "text").join(F.broadcast(some.dropDuplicates(["i"])), "i").filter("text IS NOT NULL AND text != ''")
     # A window over at most ``rows`` rows.
     along = Window.partitionBy("y").orderBy(F.xxhash64("i"), "i", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0)
-    got = found.withColumn("bytes", F.sum(F.octet_length("text").cast("long")).over(along)).filter(F.col("bytes") <= TRAINING_BYTES).select("i", "text", "y").collect()
-    seen: dict[str, tuple[int, int]] = {}
-    for r in sorted(got, key=lambda r: (zlib.crc32(str(r["i"]).encode()) * 2654435761 % 2**32, r["i"])):
-        seen.setdefault(r["text"], (r["i"], r["y"]))
-    return [(t, y) for t, (_, y) in seen.items()], counts
+    return found.withColumn("bytes", F.sum(F.octet_length("text").cast("long")).over(along)).filter(F.col("bytes") <= TRAINING_BYTES).select("i", "text", "y"), counts
+
+
+def fitted(docs: DataFrame, labels: DataFrame, label: str, train: Callable[[list[tuple[str, int]], dict[int, int]], Model]) -> Model:
+    """The model that ``train`` makes of the training rows, (text, label) in hash
+    order, and of the classes' counts.  One task on an executor fits it on the
+    bounded sample; the driver sees the model alone."""
+    found, counts = training_rows(docs, labels, label)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        seen: dict[str, int] = {}
+        for _, text, y in sorted(got, key=lambda r: (zlib.crc32(str(r[0]).encode()) * 2654435761 % 2**32, r[0])):
+            seen.setdefault(text, y)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(list(seen.items()), counts))], pa.binary())], names=["model"])
+
+    made = found.repartition(1).mapInArrow(fit, "model binary").collect()
+    return pickle.loads(made[0]["model"]) if made else train([], counts)
 
 
 def held_out(id_column) -> F.Column:

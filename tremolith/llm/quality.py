@@ -43,7 +43,7 @@ def train(rows: list[tuple[str, int]], counts: dict[int, int]) -> compression.Mo
 
 
 def trained_model(docs: DataFrame, labels: DataFrame) -> compression.Model:
-    return train(*compression.training_rows(docs, labels, "quality"))
+    return compression.fitted(docs, labels, "quality", train)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

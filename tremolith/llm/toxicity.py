@@ -104,7 +104,7 @@ def train(rows: list[tuple[str, int]], counts: dict[int, int]) -> compression.Mo
 
 
 def trained_model(docs: DataFrame, labels: DataFrame) -> compression.Model:
-    return train(*compression.training_rows(docs, labels, "toxic"))
+    return compression.fitted(docs, labels, "toxic", train)
 
 
 def remove_toxic(docs: DataFrame, model: compression.Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
