@@ -27,7 +27,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """``a, b`` (longs) to ``node, component``: the least node that each reaches."""
     edges = edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges, mark = materialise(edges, "edges"), None
-    while not edges.isEmpty():
+    if edges.isEmpty():
+        return edges.toDF("node", "component")
+    while True:
         new = materialise(_star(_star(edges, True), False), "edges")
         now = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         release(edges)
