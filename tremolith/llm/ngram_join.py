@@ -55,7 +55,7 @@ from . import duck
 from .bitmaps import bitmap_of, hits, unpacked
 from .components import connected_components
 from .signature_tree import Tree, bitmap, bits_for, dual_join, join_sets, near
-from .storage import materialise, release, table
+from .storage import materialise, release, table, tidy
 from .words import list_column, row_slices, shingle_sets
 
 #: Prefixes that a shingle may be in before it is put last, and turns of that.
@@ -440,15 +440,21 @@ def _tree_links(mixed: DataFrame, comps: DataFrame, found: _Classes) -> DataFram
 def _named(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``rows`` has id, th and text.  ``id, th, n, component`` of each row (a null
     component: the empty set), and each component's least id."""
+    spark = rows.sparkSession
+    tidy(spark)
     found = _Classes(rows)
     blocks = _blocks(found)
+    tidy(spark)
     comps = materialise(blocks.select("cid").distinct().select("cid", F.col("cid").alias("comp")), "components")
     ties = blocks.filter("cid != leader").groupBy("cid", "leader").agg(F.sum("weight").alias("weight"))
     ties = ties.groupBy("cid").agg(F.max(F.struct("weight", (-F.col("leader")).alias("l"))).alias("best")).select(F.col("cid").alias("a"), (-F.col("best.l")).alias("b"))
     comps = _merged(comps, found.verified(ties))
+    tidy(spark)
     mixed = _mixed(blocks, comps, found)
     comps = _merged(comps, _tree_links(_mixed(_one_block_each(mixed), comps, found), comps, found))
+    tidy(spark)
     comps = _merged(comps, _tree_links(_mixed(mixed, comps, found), comps, found))
+    tidy(spark)
     named = found.names.join(comps.toDF("c", "comp"), F.col("cid") == F.col("c"), "left").select("digest", "least", F.coalesce("comp", "cid").alias("component"))
     named = materialise(named, "named")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))

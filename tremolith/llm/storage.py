@@ -8,6 +8,7 @@ Spark application; on a cluster a missing folder is an error.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -52,6 +53,14 @@ def release(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files and broadcasts of steps that are over: it
+    does so once the driver's garbage is collected, which a loop of many small jobs
+    otherwise puts off until the driver's heap has grown to its limit."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def write_bytes(spark: SparkSession, path: str, data: bytes) -> str:
     """Write one small file through Hadoop's file systems; returns ``path``."""
     jvm = spark.sparkContext._jvm
