@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, fill_in_middle, html_extract, license_scan, ngram_join, quality, sentence_pieces, substring_dedup, toxicity, url_filter
+from . import decontaminate, exact_dedup, fill_in_middle, html_extract, license_scan, line_dedup, ngram_join, quality, sentence_pieces, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_quality": quality.op10_quality,
+    "op11_line_dedup": line_dedup.op11_line_dedup,
     "op12_fill_in_middle": fill_in_middle.op12_fill_in_middle,
 }
 
@@ -23,5 +24,6 @@ ORACLE_SQL = {
     "op5_benchmark_decontamination": decontaminate.ORACLE,
     "op6_url_filter": url_filter.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
+    "op11_line_dedup": line_dedup.ORACLE,
     "op12_fill_in_middle": fill_in_middle.ORACLE,
 }
