@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, fill_in_middle, html_extract, license_scan, line_dedup, ngram_join, quality, sentence_pieces, substring_dedup, toxicity, url_filter
+from . import decontaminate, exact_dedup, fill_in_middle, html_extract, license_scan, line_dedup, merkle_manifest, ngram_join, quality, sentence_pieces, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_quality": quality.op10_quality,
     "op11_line_dedup": line_dedup.op11_line_dedup,
     "op12_fill_in_middle": fill_in_middle.op12_fill_in_middle,
+    "op13_merkle_manifest": merkle_manifest.op13_merkle_manifest,
 }
 
 ORACLE_SQL = {
@@ -26,4 +27,5 @@ ORACLE_SQL = {
     "op7_exact_dedup": exact_dedup.ORACLE,
     "op11_line_dedup": line_dedup.ORACLE,
     "op12_fill_in_middle": fill_in_middle.ORACLE,
+    "op13_merkle_manifest": merkle_manifest.ORACLE,
 }
