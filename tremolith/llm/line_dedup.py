@@ -96,9 +96,10 @@ class LineIndex:
         built = rows.repartition("shard").mapInArrow(shard_rows, SHARD_SCHEMA)
         self.table = materialise(built, "line-index")
         release(common)
-        folder = self.table.inputFiles()[0].rsplit("/", 1)[0]
-        self.name = folder.rsplit("/", 1)[1]
-        spark.sparkContext.addFile(folder, recursive=True)
+        files = self.table.inputFiles()  # one at most for each partition of shards
+        self.names = [f.rsplit("/", 1)[1] for f in files]
+        for f in files:
+            spark.sparkContext.addFile(f)
 
 
 def drop_lines(docs: DataFrame, index: LineIndex, text_col: str = "text", min_documents: int = MIN_DOCUMENTS, carry: list[str] | None = None) -> DataFrame:
@@ -107,10 +108,10 @@ def drop_lines(docs: DataFrame, index: LineIndex, text_col: str = "text", min_do
     documents."""
     if min_documents < index.indexed_from:
         raise ValueError(f"the index has no lines of under {index.indexed_from} documents")
-    name, shards, least_chars = index.name, index.shards, index.least_chars
+    names, shards, least_chars = index.names, index.shards, index.least_chars
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = Index(lay_out(SparkFiles.get(name)), shards)
+        found = Index(lay_out([SparkFiles.get(n) for n in names]), shards)
         for batch in (part for whole in batches for part in row_slices(whole)):
             lines = [_lines(t) for t in batch.column(0).to_pylist()]
             ends = np.concatenate(([0], np.cumsum([len(x) for x in lines])))

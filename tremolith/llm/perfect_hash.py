@@ -8,7 +8,7 @@ a count array as narrow as the shard's largest count allows.  A key that is not
 in the index gets some place or none; its fingerprint then differs.
 
 Shards are built by Spark tasks, each of some SHARD_KEYS keys, and written as rows
-of the shared folder; each executor fetches that folder once and lays it out as
+of the shared folder; each executor fetches their files once and lays them out as
 flat files that its workers map into memory.
 """
 
@@ -18,7 +18,6 @@ import os
 import shutil
 import tempfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -104,10 +103,10 @@ def shard_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def lay_out(source: str) -> str:
-    """Flat files of a fetched folder of shard rows, made once on a machine beside
-    it: whoever comes second uses those of the first."""
-    target = source.rstrip("/") + ".flat"
+def lay_out(parts: list[str]) -> str:
+    """Flat files of fetched files of shard rows, made once on a machine beside
+    them: whoever comes second uses those of the first."""
+    target = min(parts) + ".flat"
     if os.path.isdir(target):
         return target
     made = tempfile.mkdtemp(dir=os.path.dirname(target))
@@ -115,7 +114,7 @@ def lay_out(source: str) -> str:
     known = []  # shard, first word, first place, widths of counts, sizes
     words = places = at = 0
     try:
-        for part in sorted(Path(source).rglob("*.parquet")):
+        for part in sorted(parts):
             for batch in pq.ParquetFile(part).iter_batches(batch_size=1):
                 row = batch.to_pylist()[0]
                 bits = np.frombuffer(row["bits"], np.uint64)
