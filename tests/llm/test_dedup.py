@@ -103,6 +103,53 @@ def test_near_without_stars_and_in_small_blocks(spark, rows, monkeypatch):
     assert got == {i: min(rows[j][0] for j in comp[k]) for k, (i, _) in enumerate(rows)}
 
 
+def stretches(rng, words, least, most, count):
+    """Pairs of a passage's stretches that link: with and without the first word."""
+    out = []
+    for _ in range(count):
+        n = rng.randrange(least, most)
+        a = rng.randrange(len(words) - n)
+        out += [" ".join(words[a : a + n]), " ".join(words[a + 1 : a + n])]
+    return out
+
+
+def test_one_order_when_further_shingles_turn_hot(spark, monkeypatch):
+    """Passages that many documents share: their shingles turn hot one turn after
+    the other, and stretches of them must still meet (many seeds in one table)."""
+    monkeypatch.setattr(ngram_join, "HOT", 6)
+    rows = []
+    for seed in range(40):
+        rng = random.Random(seed)
+        words = [f"p{seed}x{i}" for i in range(rng.randrange(30, 130))]
+        own = lambda n, rng=rng: [f"o{rng.random()}" for _ in range(n)]
+        rows += [" ".join(own(rng.randrange(20, 60)) + words + own(rng.randrange(20, 60))) for _ in range(10)]
+        rows += stretches(rng, words, 9, 25, 6)
+    rows = list(enumerate(rows))
+    found = ngram_join._Classes(spark.createDataFrame([(i, None, t) for i, t in rows], "id long, th binary, text string"))
+    prefixes, _ = ngram_join._prefixes(found)
+    held = {r["least"]: set(r["prefix"]) for r in prefixes.join(found.names, "cid").collect()}
+    sets, comp = components(rows)
+    pairs = 0
+    for a in sets:
+        for b in range(a + 1, min(len(rows), a + 40)):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) and a in held and b in held:
+                pairs += 1
+                assert held[a] & held[b], (a, b)
+    assert pairs > 150
+    got = {r["id"]: r["component_id"] for r in ngram_join.document_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: min(comp[i]) for i, _ in rows}
+
+
+def test_stretches_of_a_passage_of_many_documents(spark):
+    rng = random.Random(1)
+    words = [f"p{i}" for i in range(120)]
+    rows = [(k, " ".join(words + [f"o{rng.random()}" for _ in range(124)])) for k in range(1300)]
+    rows += [(5000, " ".join(words[72:88])), (5001, " ".join(words[73:88])), (5002, " ".join(words[19:29])), (5003, " ".join(words[20:29]))]
+    got = {r["id"]: r["component_id"] for r in ngram_join.document_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(5000, 5004)] == [5000, 5000, 5002, 5002]
+    assert all(got[k] == k for k in range(1300))
+
+
 def test_prefixes_of_linked_sets_meet_in_any_order():
     import numpy as np
 

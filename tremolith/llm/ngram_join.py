@@ -223,14 +223,14 @@ def _prefixes(found: _Classes) -> tuple[DataFrame, list[DataFrame]]:
     if hot.isEmpty():
         return first, [shared]
     hot = materialise(hot, "hot")
-    bits = bitmap_of(hot)
-    # Only prefixes with a hot shingle change.
-    shared_bits = found.spark.sparkContext.broadcast(bits)
-    touched = materialise(_filtered_keys(first, shared_bits).select("cid").distinct(), "touched")
-    shared_bits.destroy()
-    sets = found.hashed(touched)
+    touched = sets = None
     for turn in range(DEMOTIONS):
-        shared_bits = found.spark.sparkContext.broadcast(bits)
+        # One order for all: the hot shingles as they are known now come last.  Only
+        # classes whose first prefix has one of them have another prefix in it.
+        shared_bits = found.spark.sparkContext.broadcast(bitmap_of(hot))
+        now = materialise(_filtered_keys(first, shared_bits).select("cid").distinct(), "touched")
+        new = found.hashed(now if touched is None else now.join(touched, "cid", "left_anti"))
+        touched, sets = now, new if sets is None else sets.unionAll(new)
 
         def again(batches: Iterator[pa.RecordBatch], shared_bits=shared_bits) -> Iterator[pa.RecordBatch]:
             late = unpacked(shared_bits.value)
@@ -245,7 +245,6 @@ def _prefixes(found: _Classes) -> tuple[DataFrame, list[DataFrame]]:
         if more.isEmpty():
             break
         hot = hot.unionAll(more)
-        bits = bitmap_of(hot)
         release(moved)
     release(sets)
     release(shared)
