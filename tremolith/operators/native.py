@@ -37,6 +37,11 @@ def _weighted(weights) -> Column:
     return _sum([F.lit(float(w)) * _at(k - half) for k, w in enumerate(weights)])
 
 
+def _length(df: DataFrame) -> Column:
+    """The samples of the channel: a column ``n``, else counted."""
+    return F.col("n") if "n" in df.columns else F.count(F.lit(1)).over(whole())
+
+
 def moving_average_filter(df: DataFrame, window_size: int = 5) -> DataFrame:
     if window_size < 2:
         return df.select(*OUT)
@@ -60,7 +65,7 @@ def savitzky_golay_filter(df: DataFrame, window_length: int = 11, polyorder: int
     half = w // 2
     basis = np.vander(np.arange(-half, half + 1), polyorder + 1, increasing=True)
     fit = basis @ np.linalg.pinv(basis)
-    n, i = F.count(F.lit(1)).over(whole()), F.col("i")
+    n, i = _length(df), F.col("i")
     near = {k: _at(k) for k in range(-(w - 1), w)}
     value = _sum([F.lit(float(fit[half][j])) * near[j - half] for j in range(w)])
     for k in range(half):  # the k-th place of the first and of the last window
@@ -70,19 +75,25 @@ def savitzky_golay_filter(df: DataFrame, window_length: int = 11, polyorder: int
     return df.withColumn("value", value).select(*OUT)
 
 
+def mirrored(df: DataFrame, r: int) -> DataFrame:
+    """``r`` samples more at either end, half-sample mirrored; needs ``n``."""
+    i, n = F.col("i"), F.col("n")
+    wide = df.withColumn("i", F.explode(F.array(i, -1 - i, 2 * n - 1 - i)))
+    return wide.filter((i >= -r) & (i < n + r))
+
+
 def gaussian_filter(df: DataFrame, sigma: float = 2.0) -> DataFrame:
     """Half-sample mirrored ends; signals of at least the kernel's radius."""
     weights = classic.gaussian_weights(sigma)
-    r = len(weights) // 2
-    n, i = F.count(F.lit(1)).over(whole()), F.col("i")
-    wide = df.withColumn("n", n)
-    wide = wide.withColumn("i", F.explode(F.array(i, -1 - i, 2 * F.col("n") - 1 - i))).filter((i >= -r) & (i < F.col("n") + r))
-    return wide.withColumn("value", _weighted(weights)).filter((i >= 0) & (i < F.col("n"))).select(*OUT)
+    i, n = F.col("i"), F.col("n")
+    if "n" not in df.columns:
+        df = mirrored(df.withColumn("n", _length(df)), len(weights) // 2)
+    return df.withColumn("value", _weighted(weights)).filter((i >= 0) & (i < n)).select(*OUT)
 
 
 def adaptive_median_filter(df: DataFrame, max_window_size: int = 15, initial_window_size: int = 3) -> DataFrame:
     initial_window_size, max_window_size = classic.odd_windows(initial_window_size, max_window_size)
-    n, i, x = F.count(F.lit(1)).over(whole()), F.col("i"), F.col("value")
+    n, i, x = _length(df), F.col("i"), F.col("value")
     chosen = None
     for w in range(initial_window_size, max_window_size + 1, 2):
         frame = along().rowsBetween(-(w // 2), w // 2)
@@ -103,14 +114,22 @@ def morphological_filter(df: DataFrame, window_size: int = 5, operation: str = "
     return df.select(*OUT)
 
 
-def local_wiener(df: DataFrame, size: int) -> DataFrame:
+def wiener_moments(df: DataFrame, size: int) -> DataFrame:
+    """Adds ``m`` and ``v``, the mean and the variance nearby."""
     frame = along().rowsBetween(-(size // 2), (size - 1) // 2)
     x = F.col("value")
     df = df.withColumn("m", F.sum("value").over(frame) / size)
-    df = df.withColumn("v", F.sum(x * x).over(frame) / size - F.col("m") * F.col("m"))
-    df = df.withColumn("noise", F.avg("v").over(whole()))
-    value = F.when(F.col("v") < F.col("noise"), F.col("m")).otherwise(F.col("m") + (x - F.col("m")) * (1 - F.col("noise") / F.when(F.col("v") == 0, 1.0).otherwise(F.col("v"))))
-    return df.withColumn("value", value).select(*OUT)
+    return df.withColumn("v", F.sum(x * x).over(frame) / size - F.col("m") * F.col("m"))
+
+
+def wiener_value() -> Column:
+    x = F.col("value")
+    return F.when(F.col("v") < F.col("noise"), F.col("m")).otherwise(F.col("m") + (x - F.col("m")) * (1 - F.col("noise") / F.when(F.col("v") == 0, 1.0).otherwise(F.col("v"))))
+
+
+def local_wiener(df: DataFrame, size: int) -> DataFrame:
+    df = wiener_moments(df, size).withColumn("noise", F.avg("v").over(whole()))
+    return df.withColumn("value", wiener_value()).select(*OUT)
 
 
 def dncnn_denoise(df: DataFrame) -> DataFrame:

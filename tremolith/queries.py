@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 from .functions import envelope, metrics, preprocess, scoring
 from .kernels import SPECS, classic
 from .model import KEYS, derived, to_array, to_long
-from .operators import NATIVE, denoise
+from .operators import NATIVE, denoise, long
 from .operators.denoise import fan_out
 from .plans import catalog, pipeline
-from .sources import embeddings_as_signals, events_as_samples, events_as_signals, lineitem_as_samples, simulate
+from .sources import embeddings_as_signals, events_as_one, events_as_samples, events_as_signals, lineitem_as_samples, simulate
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -228,6 +228,26 @@ for _id in SPECS:
     query(f"denoise_{_id}", DENOISE_SQL.get(_id))(_denoiser(_id))
 
 
+# All events as one signal, whose windows no task could hold: cut into parts of LONG_PART.
+LONG_PART = 4096
+_ONE = """samples AS (
+  SELECT 'all' AS signal_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS i, value, count(*) OVER () AS n
+  FROM events)"""
+
+
+def _long_denoiser(operator_id: str) -> Query:
+    return lambda spark, sf_dir: _long(long.filtered(long.centred(events_as_one(spark, sf_dir)), operator_id, LONG_PART))
+
+
+for _id in NATIVE:
+    query(f"long_{_id}", DENOISE_SQL[_id].replace(SAMPLES, _ONE))(_long_denoiser(_id))
+
+
+@query("long_normalise", _sql("(value - avg(value) OVER ()) / CASE WHEN stddev_pop(value) OVER () < 1e-12 THEN 1 ELSE stddev_pop(value) OVER () END", _ONE, "samples"))
+def long_normalise(spark, sf_dir):
+    return _long(long.scaled(events_as_one(spark, sf_dir)))
+
+
 @query("morphology_closing", _frames("max min"))
 def morphology_closing(spark, sf_dir):
     return _long(NATIVE["morphological_filter"](_centred(spark, sf_dir), operation="closing"))

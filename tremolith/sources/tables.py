@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..model import signal_columns, to_array
+from ..model import KEYS, signal_columns, to_array
+from ..operators.long import numbered
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +36,13 @@ def events_as_signals(spark: SparkSession, sf_dir: str, sample_rate: float = 1.0
     return rows.groupBy("user_id").agg(held.alias("held")).select(*signal_columns(F.col("user_id"), F.col("held"), sample_rate))
 
 
+def events_as_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long form: all events as one signal ``all``, in order of (ts, event_id).  No
+    task holds it whole; see :mod:`tremolith.operators.long`."""
+    rows = _read(spark, sf_dir, "events").select(F.lit("all").alias("signal_id"), F.lit(0).alias("channel"), "ts", "event_id", "value")
+    return numbered(rows, KEYS, ("ts", "event_id")).select(*KEYS, "i", "value")
+
+
 def embeddings_as_signals(spark: SparkSession, sf_dir: str, sample_rate: float = 1.0) -> DataFrame:
     """Array form: each vector is a signal already; no shuffle."""
     rows = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
@@ -48,4 +56,4 @@ def lineitem_as_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _numbered(rows, "l_shipdate", "l_orderkey", "l_linenumber")
 
 
-__all__ = ["embeddings_as_signals", "events_as_samples", "events_as_signals", "lineitem_as_samples", "to_array"]
+__all__ = ["embeddings_as_signals", "events_as_one", "events_as_samples", "events_as_signals", "lineitem_as_samples", "to_array"]
