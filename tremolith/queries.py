@@ -7,6 +7,7 @@ results are rounded in both engines.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -19,7 +20,8 @@ from .model import KEYS, derived, to_array, to_long
 from .operators import NATIVE, denoise, long
 from .operators.denoise import fan_out
 from .plans import catalog, pipeline
-from .sources import embeddings_as_signals, events_as_one, events_as_samples, events_as_signals, lineitem_as_samples, simulate
+from .shared import shared_dir
+from .sources import embeddings_as_signals, events_as_one, events_as_samples, events_as_signals, lineitem_as_samples, simulate, slices
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -248,6 +250,16 @@ def long_normalise(spark, sf_dir):
     return _long(long.scaled(events_as_one(spark, sf_dir)))
 
 
+@query("source_wav_slices", f"WITH {SAMPLES} SELECT signal_id, i, value FROM samples WHERE i >= 5 AND i < 60")
+def source_wav_slices(spark, sf_dir):
+    """Signals written as WAV files and read back by byte ranges; the sample range
+    reaches the reader."""
+    path = f"{shared_dir(spark)}/wav-{uuid.uuid4().hex[:12]}"
+    signals = events_as_samples(spark, sf_dir).repartition("signal_id").sortWithinPartitions("signal_id", "channel", "i")
+    slices.write_slices(signals, path)
+    return slices.read_slices(spark, path).filter("i >= 5 AND i < 60").select("signal_id", "i", "value")
+
+
 @query("morphology_closing", _frames("max min"))
 def morphology_closing(spark, sf_dir):
     return _long(NATIVE["morphological_filter"](_centred(spark, sf_dir), operation="closing"))

@@ -1,8 +1,9 @@
 """File readers: by extension, each file parsed where Spark reads it.
 
-CSV/TXT, WAV, MAT (level 5), UFF (type 58) and TDMS are parsed here from the
-file's bytes; HDF5 (and MAT 7.3), FLAC and MP3 need libraries and are refused
-with a clear error where these are missing.
+CSV/TXT, WAV, MAT, UFF (type 58), TDMS and HDF5 are parsed from the file's bytes;
+FLAC and MP3 need a library and are refused with a clear error where it is missing.
+A file is one row here, and so one task's work; :mod:`.slices` reads large ones by
+byte ranges.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 
 from ..errors import SignalReadError, UnsupportedFormat
 from ..model import SIGNALS
+from .blocks import Layout, tdms_layout
+from .hdf5 import SIGNATURE, hdf5_layout
 
 #: What a parser returns: channel data [channel, sample], names, rate or None, unit.
 Parsed = tuple[np.ndarray, list[str] | None, float | None, str]
@@ -81,8 +84,8 @@ def _mat_elements(raw: bytes, order: str) -> Iterator[tuple[int, bytes]]:
 
 
 def parse_mat(raw: bytes) -> Parsed:
-    if raw[:8] == b"\x89HDF\r\n\x1a\n" or b"MATLAB 7.3" in raw[:128]:
-        raise UnsupportedFormat("MAT 7.3 is HDF5, for which no library is installed")
+    if raw[:8] == SIGNATURE or raw[512:520] == SIGNATURE:  # MAT 7.3
+        return parse_hdf5(raw)
     order = "<" if raw[126:128] == b"IM" else ">"
     arrays: dict[str, np.ndarray] = {}
     for kind, body in _mat_elements(raw[128:], order):
@@ -123,69 +126,25 @@ def parse_uff(raw: bytes) -> Parsed:
     return np.stack([c[:n] for c in channels]), None, rate, ""
 
 
-_TDMS_TYPES = {1: "i1", 2: "i2", 3: "i4", 4: "i8", 5: "u1", 6: "u2", 7: "u4", 8: "u8", 9: "f4", 10: "f8"}
+def _laid_out(found: Layout, raw: bytes) -> Parsed:
+    """All channels of a file whose layout is known, cut to the shortest."""
+    pieces: dict[int, list] = {}
+    for block in found.blocks:
+        for p in block.read(io.BytesIO(raw), 0, len(raw)):
+            pieces.setdefault(p.channel, []).append(p)
+    if not pieces:
+        raise SignalReadError("no channel data")
+    channels = [np.concatenate([p.values for p in sorted(pieces[c], key=lambda p: p.first)]) for c in sorted(pieces)]
+    n = min(map(len, channels))
+    return np.stack([c[:n] for c in channels]), [pieces[c][0].name for c in sorted(pieces)], found.rate, found.unit
 
 
 def parse_tdms(raw: bytes) -> Parsed:
-    """Contiguous segments of plain numbers; channels cut to the shortest."""
-    at, last, data, rate = 0, {}, {}, None
-    active: list[str] = []
-    while at + 28 <= len(raw) and raw[at : at + 4] == b"TDSm":
-        toc, _, size, meta = struct.unpack("<IIQQ", raw[at + 4 : at + 28])
-        body = io.BytesIO(raw[at + 28 : at + 28 + meta])
-        u32 = lambda b=body: struct.unpack("<I", b.read(4))[0]
-        text = lambda b=body, n=u32: b.read(n()).decode()
-        if toc & 2:
-            if toc & 4:
-                active = []
-            for _ in range(u32()):
-                path, index = text(), u32()
-                if index not in (0xFFFFFFFF, 0):
-                    kind, _, count = struct.unpack("<IIQ", body.read(16))
-                    if kind == 0x20:
-                        body.read(8)
-                    last[path] = (kind, count)
-                if index != 0xFFFFFFFF and path not in active:
-                    active.append(path)
-                for _ in range(u32()):
-                    key, kind = text(), u32()
-                    if kind == 0x20:
-                        text()
-                        continue
-                    width = {0x21: 1, 0x44: 16}.get(kind) or np.dtype(_TDMS_TYPES.get(kind, "u8")).itemsize
-                    value = body.read(width)
-                    if key == "wf_increment" and kind == 10 and struct.unpack("<d", value)[0]:
-                        rate = 1 / struct.unpack("<d", value)[0]
-        if toc & 8:
-            place, end = at + 28 + meta, at + 28 + size
-            chunk = sum(np.dtype(_TDMS_TYPES[last[p][0]]).itemsize * last[p][1] for p in active if last.get(p, (0,))[0] in _TDMS_TYPES)
-            while chunk and place + chunk <= min(end, len(raw)):
-                for p in active:
-                    kind, count = last.get(p, (0, 0))
-                    if kind in _TDMS_TYPES:
-                        x = np.frombuffer(raw, "<" + _TDMS_TYPES[kind], count, place)
-                        data.setdefault(p, []).append(x.astype(float))
-                        place += x.nbytes
-        at += 28 + size
-    if not data:
-        raise SignalReadError("no channel data")
-    channels = {p: np.concatenate(c) for p, c in data.items()}
-    n = min(map(len, channels.values()))
-    return np.stack([c[:n] for c in channels.values()]), [p.rsplit("/", 1)[-1].strip("'") for p in channels], rate, ""
+    return _laid_out(tdms_layout(io.BytesIO(raw), len(raw)), raw)
 
 
 def parse_hdf5(raw: bytes) -> Parsed:
-    try:
-        import h5py
-    except ImportError:
-        raise UnsupportedFormat("HDF5 needs the h5py library") from None
-    with h5py.File(io.BytesIO(raw), "r") as f:
-        found = []
-        f.visititems(lambda _, d: found.append(d) if isinstance(d, h5py.Dataset) and 1 <= d.ndim <= 2 and d.dtype.kind in "iuf" else None)
-        best = max(found, key=lambda d: d.size)
-        rate = next((float(a[k]) for a in (best.attrs, f.attrs) for k in ("sample_rate", "fs", "sr") if k in a), None)
-        x = np.atleast_2d(best[()].astype(float))
-    return (x.T if x.shape[0] > x.shape[1] else x), None, rate, ""
+    return _laid_out(hdf5_layout(io.BytesIO(raw), len(raw)), raw)
 
 
 def parse_compressed_audio(raw: bytes) -> Parsed:
