@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..kernels import dsp
+from . import moments
 from .envelope import KEYS
 
 # Whether more is better.
@@ -166,8 +167,19 @@ def complete(found: DataFrame, keys: DataFrame, enabled: Iterable[str] | None =
     return every.join(found, [*KEYS, "metric"], "left").select(*KEYS, "metric", F.coalesce("value", "without").alias("value"), "higher_is_better")
 
 
-def all_metrics(enveloped: DataFrame, spectra: DataFrame, peaks: DataFrame, matches: DataFrame, targets: DataFrame, enabled: Iterable[str] | None = None) -> DataFrame:
-    """Every enabled metric of every denoised signal."""
+def flattened_metrics(denoised: DataFrame, enabled: Iterable[str] | None = None) -> DataFrame:
+    """The time metrics of each signal's channels taken as one (channel -1), as
+    :func:`complete` gives them.  Channels may differ in length."""
+    samples = denoised.select("signal_id", "algorithm_id", F.explode("denoised").alias("value"))
+    by = ["signal_id", "algorithm_id"]
+    found = moments.time_metrics(samples.groupBy(*by).agg(*moments.aggregates()), by)
+    wanted = [m for m in TIME if m in set(enabled or HIGHER)]
+    return found.filter(F.col("metric").isin(wanted)).select("signal_id", F.lit(moments.WHOLE).alias("channel"), "algorithm_id", "metric", "value", F.lit(True).alias("higher_is_better"))
+
+
+def all_metrics(enveloped: DataFrame, spectra: DataFrame, peaks: DataFrame, matches: DataFrame, targets: DataFrame, enabled: Iterable[str] | None = None, flattened: bool = False) -> DataFrame:
+    """Every enabled metric of every denoised signal; with ``flattened`` also the time
+    metrics of each signal as a whole."""
     wanted = set(enabled or HIGHER)
     samples = enveloped.select(*KEYS, F.posexplode("denoised").alias("i", "value"))
     parts = {
@@ -180,4 +192,5 @@ def all_metrics(enveloped: DataFrame, spectra: DataFrame, peaks: DataFrame, matc
         if names & wanted:
             part = make().select(*KEYS, "metric", "value")
             found = part if found is None else found.unionByName(part)
-    return complete(found, enveloped, enabled)
+    found = complete(found, enveloped, enabled)
+    return found.unionByName(flattened_metrics(enveloped, enabled)) if flattened else found

@@ -15,7 +15,7 @@ DEFAULTS = {
     "preprocess": {"remove_dc": True, "target_rate": None, "segment_seconds": None, "overlap": 0.0, "normalise": False},
     "operators": {"mode": "all", "ids": [], "categories": [], "params": {}},
     "envelope": {"band": None, "n_fft": None, "shaft_rpm": None, "bearing": None, "manual": {}, "tolerance": 0.02},
-    "metrics": {"enabled": sorted(HIGHER)},
+    "metrics": {"enabled": sorted(HIGHER), "flattened": False},
     "scoring": {"method": "weighted_sum", "normaliser": "minmax", "weights": {}},
     "output": {"top_n": 3, "folder": None},
 }

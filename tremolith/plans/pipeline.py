@@ -49,7 +49,7 @@ def analyse(signals: DataFrame, config: dict | None = None, partitions: int | No
     spectra = envelope.spectrum_rows(enveloped)
     manual = e["manual"] or ({} if e["shaft_rpm"] or config["input"]["path"] else {"bpfo": config["simulation"]["fault_freq"]})
     targets = envelope.fault_targets(spark, e["shaft_rpm"] / 60 if e["shaft_rpm"] else None, e["bearing"], manual)
-    found = metrics.all_metrics(enveloped, spectra, envelope.dominant_peaks(spectra), envelope.fault_matches(spectra, targets, e["tolerance"]), targets, config["metrics"]["enabled"])
+    found = metrics.all_metrics(enveloped, spectra, envelope.dominant_peaks(spectra), envelope.fault_matches(spectra, targets, e["tolerance"]), targets, config["metrics"]["enabled"], config["metrics"]["flattened"])
     s = config["scoring"]
     score = scoring.scores(found, s["method"], s["normaliser"], s["weights"] or None)
     ranked = scoring.rankings(found, score, denoised.filter("NOT success"))

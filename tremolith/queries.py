@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import envelope, metrics, preprocess, scoring
+from .functions import envelope, metrics, moments, preprocess, scoring
 from .kernels import SPECS, classic
 from .model import KEYS, derived, to_array, to_long
 from .operators import NATIVE, denoise, long
@@ -439,6 +439,36 @@ def metrics_time(spark, sf_dir):
     return _metric_rows(metrics.time_metrics(samples))
 
 
+# Suppliers as signals, line numbers as channels, prices as samples; -1 is all channels.
+_FLAT = """x AS (SELECT CAST(l_suppkey AS VARCHAR) AS signal_id, l_linenumber AS channel, l_extendedprice AS value FROM lineitem),
+both_ AS (SELECT * FROM x UNION ALL SELECT signal_id, -1, value FROM x),
+c AS (SELECT *, value - avg(value) OVER (PARTITION BY signal_id, channel) AS c FROM both_),
+m AS (SELECT signal_id, channel, count(*) AS n, avg(c * c) AS m2, avg(c * c * c) AS m3, avg(c * c * c * c) AS m4, max(abs(value)) AS peak, avg(abs(value)) AS mean_abs, sqrt(avg(value * value)) AS rms FROM c GROUP BY ALL)"""
+_FLAT_METRICS = """SELECT signal_id, channel, metric, round(value, 5) + 0.0 AS value FROM (
+  SELECT signal_id, channel, CASE WHEN m2 > 1e-24 THEN m4 / (m2 * m2) ELSE 0 END AS kurtosis, CASE WHEN m2 > 1e-24 THEN abs(m3 / pow(m2, 1.5)) ELSE 0 END AS skewness,
+         peak / rms AS cf, peak / mean_abs AS "if" FROM m) UNPIVOT (value FOR metric IN (kurtosis, skewness, cf, "if"))"""
+
+
+def _price_samples(spark, sf_dir, *more) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return rows.select(F.col("l_suppkey").cast("string").alias("signal_id"), F.col("l_linenumber").alias("channel"), F.col("l_extendedprice").alias("value"), *more)
+
+
+@query("metrics_time_flattened", f"WITH {_FLAT} {_FLAT_METRICS}")
+def metrics_time_flattened(spark, sf_dir):
+    """Per channel and, by grouping sets in the same shuffle, per signal."""
+    found = moments.moments(_price_samples(spark, sf_dir), ["signal_id"], flattened=True)
+    return _rounded(moments.time_metrics(found, ["signal_id", "channel"]), "value", digits=5)
+
+
+@query("metrics_time_merged", f"WITH {_FLAT} {_FLAT_METRICS} WHERE channel = -1")
+def metrics_time_merged(spark, sf_dir):
+    """The same of whole signals, merged from moments by channel and month."""
+    parts = moments.moments(_price_samples(spark, sf_dir, F.date_trunc("month", "l_shipdate").alias("month")), ["signal_id", "month"])
+    found = moments.merged(parts, ["signal_id"]).withColumn("channel", F.lit(moments.WHOLE))
+    return _rounded(moments.time_metrics(found, ["signal_id", "channel"]), "value", digits=5)
+
+
 @query("metrics_spectrum", f"""WITH {SPECTRUM_SQL}, p AS (
   SELECT *, row_number() OVER (PARTITION BY signal_id ORDER BY s, k) AS r, count(*) OVER g AS n, sum(s) OVER g AS total, max(s) OVER g AS top, s - avg(s) OVER g AS c,
          abs(s - lag(s) OVER (PARTITION BY signal_id ORDER BY k)) AS step FROM spectrum WHERE k > 0 WINDOW g AS (PARTITION BY signal_id)),
