@@ -19,7 +19,7 @@ from .kernels import SPECS, classic
 from .model import KEYS, derived, to_array, to_long
 from .operators import NATIVE, denoise, long
 from .operators.denoise import fan_out
-from .plans import catalog, pipeline
+from .plans import catalog, pipeline, search
 from .shared import shared_dir
 from .sources import embeddings_as_signals, events_as_one, events_as_samples, events_as_signals, lineitem_as_samples, simulate, slices
 
@@ -454,6 +454,32 @@ def _price_samples(spark, sf_dir, *more) -> DataFrame:
     return rows.select(F.col("l_suppkey").cast("string").alias("signal_id"), F.col("l_linenumber").alias("channel"), F.col("l_extendedprice").alias("value"), *more)
 
 
+def _search_sql(values: dict[int, str]) -> str:
+    """snr of each value of a parameter, with its result as SQL over ``w``."""
+    parts = " UNION ALL ".join(f"SELECT signal_id, {k} AS p, value, {v} AS y FROM x WINDOW w AS ({W})" for k, v in values.items())
+    return f"WITH {CENTRED}, y AS ({parts}), s AS (SELECT signal_id, p, 10 * log10(var_pop(value) / (var_pop(value - y) + 1e-10)) AS snr FROM y GROUP BY ALL)"
+
+
+_AVERAGES = {w: f"sum(value) OVER ({W} ROWS BETWEEN {w // 2} PRECEDING AND {(w - 1) // 2} FOLLOWING) / {w}" for w in range(2, 10)}
+_MEDIANS = {k: f"list_sort([{', '.join(_at(j) for j in range(-(k // 2), k // 2 + 1))}])[{k // 2 + 1}]" for k in range(3, 12)}
+_MEDIANS = {k: _MEDIANS[k // 2 * 2 + 1] if k // 2 * 2 + 1 in _MEDIANS else _MEDIANS[k] for k in _MEDIANS}
+
+
+@query("search_moving_average_scores", f"{_search_sql(_AVERAGES)} SELECT signal_id, p AS window_size, round(snr, {DIGITS}) + 0.0 AS snr FROM s")
+def search_moving_average_scores(spark, sf_dir):
+    """Every candidate's merit, all from one window."""
+    tried = search.candidates(spark, "moving_average_filter", '{"window_size": [2, 9]}')
+    found = search.judged(_centred(spark, sf_dir), "moving_average_filter", tried, LONG_PART)
+    return _rounded(found.select("signal_id", (F.col("candidate") + 2).alias("window_size"), "snr"), "snr")
+
+
+@query("search_median_best", f"{_search_sql(_MEDIANS)} SELECT signal_id, arg_max(p, {{'s': snr, 'p': -p}})::DOUBLE AS kernel_size, round(max(snr), {DIGITS}) + 0.0 AS snr FROM s GROUP BY signal_id")
+def search_median_best(spark, sf_dir):
+    """Each signal's best of nine."""
+    found = search.search(_centred(spark, sf_dir), "median_filter", '{"kernel_size": [3, 11]}', 9, LONG_PART, exhaustive=True)
+    return _rounded(found.select("signal_id", F.col("params")["kernel_size"].alias("kernel_size"), "snr"), "snr")
+
+
 @query("metrics_time_flattened", f"WITH {_FLAT} {_FLAT_METRICS}")
 def metrics_time_flattened(spark, sf_dir):
     """Per channel and, by grouping sets in the same shuffle, per signal."""
