@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import envelope, metrics, moments, preprocess, scoring
+from .functions import design, envelope, long_fft, metrics, moments, preprocess, scoring
 from .kernels import SPECS, classic
 from .model import KEYS, derived, to_array, to_long
 from .operators import NATIVE, denoise, long
@@ -454,6 +454,42 @@ def _price_samples(spark, sf_dir, *more) -> DataFrame:
     return rows.select(F.col("l_suppkey").cast("string").alias("signal_id"), F.col("l_linenumber").alias("channel"), F.col("l_extendedprice").alias("value"), *more)
 
 
+@query("design_lagged_sums", f"WITH {CENTRED} SELECT signal_id, k, round(sum(p), 4) + 0.0 AS r FROM (" + " UNION ALL ".join(
+    f"SELECT signal_id, {k} AS k, value * {_at(k)} AS p FROM x WINDOW w AS ({W})" for k in range(6)) + ") GROUP BY signal_id, k")
+def design_lagged_sums(spark, sf_dir):
+    found = design.lagged_sums(_centred(spark, sf_dir), 5, LONG_PART).select("signal_id", F.posexplode("r").alias("k", "r"))
+    return _rounded(found.withColumn("k", F.col("k").cast("long")), "r", digits=4)
+
+
+def _prediction_sql(tables: str, sums: str) -> str:
+    """Two weights by Cramer's rule from a, b, c (the matrix) and d, e (the right side)."""
+    return f"""WITH {tables}, lag AS (SELECT *, lag(value, 1, 0.0) OVER w AS x1, lag(value, 2, 0.0) OVER w AS x2, lead(value, 1, 0.0) OVER w AS y1, lead(value, 2, 0.0) OVER w AS y2 FROM x WINDOW w AS ({W})),
+g AS (SELECT signal_id, {sums} FROM lag GROUP BY signal_id)
+SELECT signal_id, i, round(CASE WHEN i = 0 THEN value ELSE ((d * c - b * e) * x1 + (a * e - b * d) * x2) / (a * c - b * b) END, {DIGITS}) + 0.0 AS value FROM lag JOIN g USING (signal_id)"""
+
+
+@query("design_wiener", _prediction_sql(CENTRED, "sum(value * value) AS a, sum(value * y1) AS b, sum(value * value) AS c, sum(value * y1) AS d, sum(value * y2) AS e"))
+def design_wiener(spark, sf_dir):
+    return _long(design.wiener(_centred(spark, sf_dir), 2, part=LONG_PART))
+
+
+_CENTRED_ONE = CENTRED.replace(SAMPLES, _ONE)
+
+
+@query("design_least_squares", _prediction_sql(_CENTRED_ONE, "sum(x1 * x1) FILTER (i > 1) AS a, sum(x1 * x2) FILTER (i > 1) AS b, sum(x2 * x2) FILTER (i > 1) AS c, sum(value * x1) FILTER (i > 1) AS d, sum(value * x2) FILTER (i > 1) AS e"))
+def design_least_squares(spark, sf_dir):
+    """All events as one signal."""
+    return _long(design.wiener(long.centred(events_as_one(spark, sf_dir)), 2, "covariance", LONG_PART))
+
+
+@query("preview_spectrum", f"""WITH {_CENTRED_ONE}, bins AS (SELECT unnest(range((SELECT any_value(n) FROM x) // 2 + 1)) AS k)
+SELECT k, round(k / any_value(n), 6) AS f, round(sqrt(pow(sum(value * cos(2 * pi() * ((k * i) % n) / n)), 2) + pow(sum(value * sin(2 * pi() * ((k * i) % n) / n)), 2)), 4) + 0.0 AS s FROM x, bins GROUP BY k""")
+def preview_spectrum(spark, sf_dir):
+    """Of all events as one signal, which no task transforms as a whole."""
+    found = long_fft.spectrum(long.centred(events_as_one(spark, sf_dir)))
+    return _rounded(_rounded(found.select("k", "f", "s"), "f"), "s", digits=4)
+
+
 def _search_sql(values: dict[int, str]) -> str:
     """snr of each value of a parameter, with its result as SQL over ``w``."""
     parts = " UNION ALL ".join(f"SELECT signal_id, {k} AS p, value, {v} AS y FROM x WINDOW w AS ({W})" for k, v in values.items())
