@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .functions import design, envelope, long_fft, metrics, moments, preprocess, scoring
 from .kernels import SPECS, classic
 from .model import KEYS, derived, to_array, to_long
-from .operators import NATIVE, denoise, long
+from .operators import NATIVE, asof, denoise, long
 from .operators.denoise import fan_out
 from .plans import catalog, pipeline, search
 from .shared import shared_dir
@@ -454,6 +454,27 @@ def _price_samples(spark, sf_dir, *more) -> DataFrame:
     return rows.select(F.col("l_suppkey").cast("string").alias("signal_id"), F.col("l_linenumber").alias("channel"), F.col("l_extendedprice").alias("value"), *more)
 
 
+@query("asof_events", """WITH l AS (SELECT * FROM events WHERE event_type <> 'error'), r AS (SELECT * FROM events WHERE event_type = 'error')
+SELECT l.event_id, r.event_id AS error_id, r.value AS error_value FROM l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.ts >= r.ts""")
+def asof_events(spark, sf_dir):
+    """Every event with its user's latest error before it."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "ts", "value", "event_type")
+    errors = events.filter("event_type = 'error'").select("user_id", "ts", F.col("event_id").alias("id"), "value")
+    found = asof.asof_join(events.filter("event_type <> 'error'").select("event_id", "user_id", "ts"), errors, "ts", by=("user_id",), prefix="error_")
+    return found.select("event_id", "error_id", "error_value")
+
+
+@query("asof_shipments", """WITH r AS (SELECT o_orderdate, max(o_orderkey) AS o_orderkey FROM orders WHERE o_orderstatus = 'F' GROUP BY o_orderdate)
+SELECT l_orderkey, l_linenumber, r.o_orderkey AS last_order, r.o_orderdate AS last_date FROM lineitem l ASOF LEFT JOIN r ON l.l_shipdate > r.o_orderdate""")
+def asof_shipments(spark, sf_dir):
+    """Every shipment with the last finished order of an earlier day, whoever's: one
+    order of time for all rows, with many ties."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_shipdate")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("last_order"), F.col("o_orderdate").alias("last_date"))
+    found = asof.asof_join(lines, orders, "l_shipdate", "last_date", bucket=30 * 86_400.0, tie=("last_order",), exact=False)
+    return found.select("l_orderkey", "l_linenumber", "last_order", "last_date")
+
+
 @query("design_lagged_sums", f"WITH {CENTRED} SELECT signal_id, k, round(sum(p), 4) + 0.0 AS r FROM (" + " UNION ALL ".join(
     f"SELECT signal_id, {k} AS k, value * {_at(k)} AS p FROM x WINDOW w AS ({W})" for k in range(6)) + ") GROUP BY signal_id, k")
 def design_lagged_sums(spark, sf_dir):
