@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import numpy as np
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import materialise
+
 #: log2 of the bits, and of those in one row that the driver reads.
 BITS, ROW_BITS = 26, 15
 
@@ -36,3 +38,14 @@ def hits(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Which of some uint64 keys have their bit set."""
     at = (keys & np.uint64((1 << BITS) - 1)).astype(np.int64)
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def marked(df: DataFrame, key: Column, keys: DataFrame, column: str = "key") -> DataFrame:
+    """``df`` with ``near``: whether its key's bit is one of those of ``keys``.  In SQL,
+    by the words of the bitmap: at most 2 ** (BITS - ROW_BITS) rows of 4 KB."""
+    bit = lambda h: h.bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    word = lambda h: F.shiftright(h.bitwiseAND(F.lit((1 << BITS) - 1)), ROW_BITS)
+    words = materialise(keys.groupBy(word(F.col(column)).alias("_word")).agg(F.bitmap_construct_agg(bit(F.col(column))).alias("_bits")), "bitmap")
+    met = df.withColumn("_key", key).join(F.broadcast(words), word(F.col("_key")) == F.col("_word"), "left").withColumn("_bit", bit(F.col("_key")))
+    near = F.expr("coalesce(getbit(cast(conv(hex(substring(_bits, cast(_bit div 8 as int) + 1, 1)), 16, 10) as int), cast(_bit % 8 as int)) = 1, false)")
+    return met.withColumn("near", near).drop("_key", "_bit", "_word", "_bits")

@@ -52,7 +52,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import duck
-from .bitmaps import bitmap_of, hits, unpacked
+from .bitmaps import bitmap_of, hits, marked, unpacked
 from .components import connected_components
 from .signature_tree import Tree, bitmap, bits_for, dual_join, join_sets, near
 from .storage import materialise, release, table, tidy
@@ -146,9 +146,12 @@ class _Classes:
         self.sets = found if self.sets is None else self.sets.unionAll(found)
         return self.sets
 
-    def hashed(self, wanted: DataFrame) -> DataFrame:
-        """``cid, shingles`` of the wanted classes, hashed again where their texts lie."""
-        chosen = materialise(self.names.join(wanted, "cid", "left_semi"), "wanted")
+    def chosen(self, wanted: DataFrame) -> DataFrame:
+        return materialise(self.names.join(wanted, "cid", "left_semi"), "wanted")
+
+    def hashed_rows(self, chosen: DataFrame) -> tuple[DataFrame, Broadcast]:
+        """``i, d, shingles`` of rows that hold the chosen classes, hashed again where
+        their texts lie; and what is to be destroyed when they are written."""
         shared = self.spark.sparkContext.broadcast(bitmap_of(chosen.select(F.xxhash64("least").alias("key"))))
 
         def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,11 +165,18 @@ class _Classes:
                         [some.column(0), pa.array([_digest(s) for s in sets], pa.binary()), list_column(sets, pa.int64())], names=["i", "d", "shingles"]
                     )
 
-        found = self.rows.select("id", F.xxhash64("id").alias("h"), "text").mapInArrow(build, "i bigint, d binary, shingles array<bigint>")
-        found = found.join(chosen, (F.col("d") == F.col("digest")) & F.col("i").eqNullSafe(F.col("least"))).select("cid", "shingles")
-        if self.repeated:  # rows that repeat an id and a set
-            found = found.dropDuplicates(["cid"])
-        found = materialise(found, "shingles")
+        return self.rows.select("id", F.xxhash64("id").alias("h"), "text").mapInArrow(build, "i bigint, d binary, shingles array<bigint>"), shared
+
+    def placed(self, rows: DataFrame, chosen: DataFrame, value: str) -> DataFrame:
+        """``cid`` and ``value`` of rows (i, d, value), one of each chosen class."""
+        found = rows.join(chosen, (F.col("d") == F.col("digest")) & F.col("i").eqNullSafe(F.col("least"))).select("cid", value)
+        return found.dropDuplicates(["cid"]) if self.repeated else found  # rows that repeat an id and a set
+
+    def hashed(self, wanted: DataFrame) -> DataFrame:
+        """``cid, shingles`` of the wanted classes."""
+        chosen = self.chosen(wanted)
+        rows, shared = self.hashed_rows(chosen)
+        found = materialise(self.placed(rows, chosen, "shingles"), "shingles")
         shared.destroy()  # written: no task asks for it again
         release(chosen)
         return found
@@ -223,21 +233,24 @@ def _prefixes(found: _Classes) -> tuple[DataFrame, list[DataFrame]]:
     if hot.isEmpty():
         return first, [shared]
     hot = materialise(hot, "hot")
-    touched = sets = None
+    touched = rows = chosen = None
     for turn in range(DEMOTIONS):
         # One order for all: the hot shingles as they are known now come last.  Only
         # classes whose first prefix has one of them have another prefix in it.
         shared_bits = found.spark.sparkContext.broadcast(bitmap_of(hot))
         now = materialise(_filtered_keys(first, shared_bits).select("cid").distinct(), "touched")
-        new = found.hashed(now if touched is None else now.join(touched, "cid", "left_anti"))
-        touched, sets = now, new if sets is None else sets.unionAll(new)
+        new = found.chosen(now if touched is None else now.join(touched, "cid", "left_anti"))
+        made, shared_names = found.hashed_rows(new)
+        made = materialise(made, "shingles")  # where the texts lie: prefixes are shuffled, whole sets are not
+        shared_names.destroy()
+        touched, rows, chosen = now, made if rows is None else rows.unionAll(made), new if chosen is None else chosen.unionAll(new)
 
         def again(batches: Iterator[pa.RecordBatch], shared_bits=shared_bits) -> Iterator[pa.RecordBatch]:
             late = unpacked(shared_bits.value)
             for batch in (part for whole in batches for part in row_slices(whole)):
-                yield pa.RecordBatch.from_arrays([batch.column(0), list_column([prefix(s, late) for s in _ragged(batch.column(1))], pa.int64())], names=["cid", "prefix"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), list_column([prefix(s, late) for s in _ragged(batch.column(2))], pa.int64())], names=["i", "d", "prefix"])
 
-        moved = materialise(sets.mapInArrow(again, "cid bigint, prefix array<bigint>"), "prefixes")
+        moved = materialise(found.placed(rows.mapInArrow(again, "i bigint, d binary, prefix array<bigint>"), chosen, "prefix"), "prefixes")
         shared_bits.destroy()
         if turn == DEMOTIONS - 1:
             break
@@ -246,8 +259,8 @@ def _prefixes(found: _Classes) -> tuple[DataFrame, list[DataFrame]]:
             break
         hot = hot.unionAll(more)
         release(moved)
-    release(sets)
-    release(shared)
+    for t in (rows, chosen, shared):
+        release(t)
     every = materialise(first.join(touched, "cid", "left_anti").unionAll(moved), "prefixes")
     release(moved)
     return every, [every, materialise(_counted(every, 1), "keys")]
@@ -481,8 +494,10 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     best = F.struct(F.col("id").isNull().alias("without"), F.col("id").alias("i"), F.col("th").alias("t"))
     keepers = materialise(members.groupBy("component").agg(F.min(best).alias("best")).select(F.col("component").alias("c"), "best.i", "best.t"), "keepers")
     same = (F.col("id").eqNullSafe(F.col("i"))) & (F.col("th") == F.col("t"))
-    gone = members.join(keepers, (F.col("component") == F.col("c")) & same, "left_anti").select(F.col("id").alias("i"), F.col("th").alias("t"))
-    out = packed.drop("text").join(gone, same, "left_anti")
+    gone = materialise(members.join(keepers, (F.col("component") == F.col("c")) & same, "left_anti").select(F.col("id").alias("i"), F.col("th").alias("t")), "gone")
+    # Only rows whose id may be one of theirs are shuffled with their texts.
+    near = marked(packed.drop("text"), F.xxhash64("id"), gone.select(F.xxhash64("i").alias("key")))
+    out = near.filter("NOT near").unionAll(near.filter("near").join(gone, same, "left_anti")).drop("near")
     again = members.filter("copies > 1").select(F.col("id").alias("i"), F.col("th").alias("t"))
     if not again.isEmpty():  # rows that repeat id and text
         out = out.join(again, same, "left_anti").unionAll(out.join(again, same, "left_semi").dropDuplicates(["id", "th"]))
