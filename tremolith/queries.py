@@ -22,6 +22,7 @@ from .operators.denoise import fan_out
 from .plans import catalog, pipeline, search
 from .shared import shared_dir
 from .sources import embeddings_as_signals, events_as_one, events_as_samples, events_as_signals, lineitem_as_samples, simulate, slices
+from .streaming import ordered
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -454,6 +455,42 @@ def _price_samples(spark, sf_dir, *more) -> DataFrame:
     return rows.select(F.col("l_suppkey").cast("string").alias("signal_id"), F.col("l_linenumber").alias("channel"), F.col("l_extendedprice").alias("value"), *more)
 
 
+def _event_stream(spark, sf_dir) -> DataFrame:
+    """The stored events as a stream (signal_id, ts, value)."""
+    path = f"{sf_dir}/events.parquet"
+    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path + "*")  # a single file only by a pattern
+    return rows.select(F.col("user_id").cast("string").alias("signal_id"), F.col("ts").cast("timestamp").alias("ts"), "value")
+
+
+def _drained(spark, stream: DataFrame) -> DataFrame:
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex[:12]}"
+    return ordered.drained(stream, f"{path}/out", f"{path}/checkpoint")
+
+
+# What the watermark (a day behind the last event, in whole milliseconds) has passed.
+_PASSED = "passed AS (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 DAY AS w FROM events)"
+_SESSIONS = f"""{_PASSED}, marks AS (SELECT CAST(user_id AS VARCHAR) AS signal_id, ts, value, event_id,
+  coalesce(ts - lag(ts) OVER v >= INTERVAL 12 HOUR, true) AS fresh FROM events WINDOW v AS (PARTITION BY user_id ORDER BY ts, value)),
+s AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY signal_id ORDER BY ts, value, event_id) AS session FROM marks)"""
+
+
+@query("stream_sessions", f"""WITH {_SESSIONS} SELECT signal_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS start, round(sqrt(avg(value * value)), 6) AS rms, round(avg(value), 6) AS mean, count(*) AS n
+FROM s, passed GROUP BY signal_id, session, w HAVING max(ts) + INTERVAL 12 HOUR <= w""")
+def stream_sessions(spark, sf_dir):
+    """Levels of the sessions that are over when the stream has been read."""
+    found = _drained(spark, ordered.session_levels(_event_stream(spark, sf_dir), "1 day", "12 hours"))
+    return _rounded(found.select("signal_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("start"), "rms", "mean", "n"), "rms", "mean")
+
+
+@query("stream_ewma", f"""WITH {_SESSIONS}, k AS (SELECT *, row_number() OVER (PARTITION BY signal_id, session ORDER BY ts, value, event_id) AS k FROM s)
+SELECT a.signal_id, strftime(a.ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, round(sum(b.value * CASE WHEN b.k = 1 THEN 1 ELSE 0.3 END * pow(0.7, a.k - b.k)), {DIGITS}) + 0.0 AS value
+FROM k a JOIN k b USING (signal_id, session), passed WHERE b.k <= a.k AND a.ts <= w GROUP BY a.signal_id, a.ts, a.event_id""")
+def stream_ewma(spark, sf_dir):
+    """Each session smoothed in the order of its events, whatever the batches."""
+    found = _drained(spark, ordered.denoise_ordered(_event_stream(spark, sf_dir), "ewma_base", {}, "1 day", "12 hours"))
+    return _rounded(found.select("signal_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), F.col("denoised").alias("value")), "value")
+
+
 @query("asof_events", """WITH l AS (SELECT * FROM events WHERE event_type <> 'error'), r AS (SELECT * FROM events WHERE event_type = 'error')
 SELECT l.event_id, r.event_id AS error_id, r.value AS error_value FROM l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.ts >= r.ts""")
 def asof_events(spark, sf_dir):
