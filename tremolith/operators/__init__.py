@@ -2,5 +2,6 @@
 
 from .denoise import denoise, fan_out
 from .native import NATIVE
+from .throttle import Throttle
 
-__all__ = ["NATIVE", "denoise", "fan_out"]
+__all__ = ["NATIVE", "Throttle", "denoise", "fan_out"]

@@ -19,14 +19,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..kernels import get, run
+from .throttle import Throttle, map_batches
 
 RESULT = "signal_id string, channel int, sample_rate double, algorithm_id string, params map<string,string>, denoised array<double>, execution_time double, success boolean, error_message string"
 
 
-def fan_out(signals: DataFrame, operators: Iterable[tuple[str, dict]], partitions: int | None = None) -> DataFrame:
+def fan_out(signals: DataFrame, operators: Iterable[tuple[str, dict]], partitions: int | None = None, throttle: Throttle | None = None) -> DataFrame:
     """Every signal through every (operator id, parameters).  The operator list
     is the caller's and small; each signal's rows are copied to it, spread over
-    ``partitions`` where given, since a few signals may make much work."""
+    ``partitions`` where given, since a few signals may make much work, and run under
+    ``throttle``."""
     listed = [(o, {k: json.dumps(v) for k, v in p.items()}) for o, p in operators]
     for o, _ in listed:
         get(o)
@@ -34,7 +36,7 @@ def fan_out(signals: DataFrame, operators: Iterable[tuple[str, dict]], partition
     pairs = signals.select("signal_id", "channel", "sample_rate", "samples").crossJoin(F.broadcast(plan))
     if partitions:
         pairs = pairs.repartition(partitions, "signal_id", "algorithm_id")
-    return pairs.mapInArrow(_work, RESULT)
+    return map_batches(pairs, _work, RESULT, throttle)
 
 
 def denoise(signals: DataFrame, operator_id: str, params: dict | None = None, mix: bool = True) -> DataFrame:

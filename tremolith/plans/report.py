@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -48,7 +49,7 @@ def _first(rankings: DataFrame, top_n: int) -> list:
 def markdown(rankings: DataFrame, top_n: int = 20, title: str = "Denoising report") -> str:
     rows = _first(rankings, top_n)
     head = ["rank", "id", "category", "score", "time (s)"]
-    lines = [f"# {title}", "", "| " + " | ".join(head) + " |", "|" + " --- |" * len(head)]
+    lines = [f"# {title}", "", f"Written {dt.datetime.now():%Y-%m-%d %H:%M:%S}.", "", "| " + " | ".join(head) + " |", "|" + " --- |" * len(head)]
     lines += [f"| {r['overall_rank']} | {r['algorithm_id']} | {r['category']} | {r['score']} | {r['time']} |" for r in rows]
     return "\n".join(lines) + "\n"
 

@@ -19,8 +19,8 @@ from .kernels import SPECS, classic
 from .model import KEYS, derived, to_array, to_long
 from .operators import NATIVE, asof, denoise, long
 from .operators.denoise import fan_out
-from .plans import catalog, pipeline, search
-from .shared import shared_dir
+from .plans import catalog, history, pipeline, runlog, search
+from .shared import shared_dir, written
 from .sources import embeddings_as_signals, events_as_one, events_as_samples, events_as_signals, lineitem_as_samples, simulate, slices
 from .streaming import ordered
 
@@ -706,6 +706,44 @@ def rank_treatments(spark, sf_dir):
     return scoring.rankings(m, score).select("signal_id", "algorithm_id", "overall_score", "overall_rank")
 
 
+def _twice(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Two runs over the signals, kept by date: the second weighs otherwise."""
+    m = written(four_metrics(spark, sf_dir), "metrics")
+    folder = f"{shared_dir(spark)}/history-{uuid.uuid4().hex[:12]}"
+    for day, weights in (("2024-01-01", WEIGHTS), ("2024-01-02", {"if": 1.0}), ("2024-01-02", OTHER_WEIGHTS)):  # a date written again
+        history.save(scoring.rankings(m, _rounded(scoring.scores(m, "weighted_sum", "minmax", weights), "score", digits=5)), folder, day)
+    return history.load(spark, folder, "2024-01-01"), history.load(spark, folder, "2024-01-02")
+
+
+OTHER_WEIGHTS = {"kurtosis": 0.1, "cf": 0.1, "if": 0.8}
+_OTHER = "CASE metric WHEN 'kurtosis' THEN 0.1 WHEN 'cf' THEN 0.1 ELSE 0.8 END"
+_RUNS = f"""{FOUR_SQL}, """ + ", ".join(
+    f"""s{k} AS (SELECT signal_id, algorithm_id, round(sum({w} * minmax) / sum({w}), 5) + 0.0 AS score FROM norms GROUP BY signal_id, algorithm_id),
+r{k} AS (SELECT *, row_number() OVER (PARTITION BY signal_id ORDER BY score DESC, algorithm_id)::INT AS rank FROM s{k})""" for k, w in ((1, _WEIGHT), (2, _OTHER)))
+
+
+@query("history_changes", f"""WITH {_RUNS} SELECT signal_id, algorithm_id, 'changed' AS change, r1.rank AS old_rank, r2.rank AS new_rank, r1.score AS old_score, r2.score AS new_score
+FROM r1 JOIN r2 USING (signal_id, algorithm_id) WHERE (r1.rank, r1.score) <> (r2.rank, r2.score)""")
+def history_changes(spark, sf_dir):
+    return history.changes(*_twice(spark, sf_dir)).drop("channel")
+
+
+@query("history_unchanged", f"""WITH {_RUNS} SELECT signal_id, algorithm_id, rank AS overall_rank, score AS overall_score FROM r1 INTERSECT ALL SELECT signal_id, algorithm_id, rank, score FROM r2""")
+def history_unchanged(spark, sf_dir):
+    return history.unchanged(*_twice(spark, sf_dir)).drop("channel")
+
+
+@query("run_log", """WITH u AS (SELECT count(DISTINCT user_id) AS n, count(*) AS rows FROM events)
+SELECT 'low_pass_butterworth' AS algorithm_id, n AS rows, n AS failures FROM u UNION ALL SELECT 'ewma_base', n, 0 FROM u UNION ALL SELECT 'median_filter', n, 0 FROM u""")
+def run_log(spark, sf_dir):
+    """Rows and failures by operator, observed while the results are written: at rate
+    1 a cut-off of 1 kHz is beyond Nyquist."""
+    plan = ["low_pass_butterworth", "ewma_base", "median_filter"]
+    found, log = runlog.logged(fan_out(events_as_signals(spark, sf_dir), [(o, {}) for o in plan]), plan)
+    written(found, "run")
+    return log.rows(spark).select("algorithm_id", "rows", "failures")
+
+
 @query("metric_pivot", f"WITH {FOUR_SQL} SELECT signal_id, algorithm_id, round(max(value) FILTER (metric = 'cf'), 4) AS cf, round(max(value) FILTER (metric = 'if'), 4) AS \"if\", round(max(value) FILTER (metric = 'kurtosis'), 4) AS kurtosis FROM metrics GROUP BY ALL")
 def metric_pivot(spark, sf_dir):
     wide = four_metrics(spark, sf_dir).groupBy("signal_id", "algorithm_id").pivot("metric", ["cf", "if", "kurtosis"]).agg(F.first("value"))
