@@ -235,12 +235,41 @@ def test_repeats(spark, rows):
     for r in got:
         raw = texts[r["id"]].encode()
         other = [t or "" for i, t in rows if i != r["id"]]
-        _, _, start, end, _, _ = substring_dedup.units(texts[r["id"]])
+        _, _, start, end, *_ = substring_dedup.units(texts[r["id"]])
         inside = [raw[a:b].decode() for a, b in zip(start.tolist(), end.tolist(), strict=True) if r["start"] <= a and b <= r["end"]]
         assert r["n_words"] >= 25 and inside and all(any(u in t for t in other) for u in inside)
         assert r["removed"] == (r["first_id"] != r["id"])
 
 
+def test_short_passages_to_their_true_ends(spark):
+    """Recall at, above and just under the least number of words; clean texts stay."""
+    rng = random.Random(81)
+    sizes = [15, 20, 23, 24, 25, 26, 28, 30, 40]
+    rows, planted = [], {}
+    for n in sizes:
+        for _ in range(60):
+            words = [f"{rng.choice(WORDS)}{rng.randrange(9999)}" for _ in range(n)]
+            for _ in range(2):
+                own = [["".join(rng.choices("abcdefghijklm", k=7)) for _ in range(rng.randrange(20, 60))] for _ in range(2)]
+                planted[len(rows)] = (n, " ".join(words))
+                rows.append((len(rows), " ".join([*own[0], *words, *own[1]])))
+    clean = range(len(rows), len(rows) + 100)
+    rows += [(k, " ".join(f"u{rng.random()}"[:8] for _ in range(90))) for k in clean]
+    got = {r["id"]: r for r in substring_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not set(clean) & got.keys()
+    for n in sizes:
+        share = sum(i in got for i, p in planted.items() if p[0] == n) / 120
+        assert (share >= 0.95 if n >= 25 else share == 0), (n, share)
+    for i, r in got.items():
+        text = rows[i][1].encode()
+        n, passage = planted[i]
+        words = text[r["start"] : r["end"]].decode().split()
+        assert 25 <= r["n_words"] <= n + 1 and set(words[1:-1]) <= set(passage.split())
+        if n == 25:  # taken to its ends
+            assert passage in text[r["start"] : r["end"]].decode() and len(words) <= n + 1
+        assert r["removed"] == (r["first_id"] != i)
+
+
 def test_removing_repeats_keeps_one_holder(spark, rows):
     df = frame(spark, rows)
     out = {r["doc_id"]: r["text"] for r in substring_dedup.remove_repeats(df).select("doc_id", "text").collect()}

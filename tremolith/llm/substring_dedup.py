@@ -10,6 +10,12 @@ repeated passage of at least ``MIN_WORDS`` words is reported in every document
 that has it; a word counts once for every LONG_WORD bytes of it, so that scripts
 without spaces have words too.  The document with the smallest (doc_id, text digest) keeps it.
 
+Units end up to a chunk short of a passage's true ends.  Where that decides (the
+words that units cover are too few, those up to the next cuts are enough), the
+bytes around the run are compared with those around the same unit in its first
+holder, the first holder's with its last, and the run is taken to its true ends, whole
+words only.
+
 Pass one counts in how many rows each half digest occurs and keeps the repeated
 ones as a bitmap of fixed size (8 MB, the only thing that goes by the driver); pass two cuts the texts again and ships only units whose bit is set.
 The bitmap saves shuffling and decides nothing.  Units are counted with partial
@@ -33,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bitmaps import bitmap_of, hits, unpacked
+from .bitmaps import bitmap_of, hits, marked, unpacked
 from .storage import materialise, table
 from .words import list_column, mix, row_slices
 
@@ -42,6 +48,8 @@ UNIT = 3
 #: A cut where CUT_BITS bits of the hash, from SHIFT up, are zero; chunks of at
 #: least LEAST bytes, and cut anyway after MOST.
 CUT_BITS, SHIFT, LEAST, MOST = 4, 12, 4, 256
+#: Bytes that a cut depends on, and some.
+_TESTED = 24
 _GEAR = (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
 
 
@@ -67,22 +75,33 @@ def cuts(codes: np.ndarray) -> np.ndarray:
     return at
 
 
+def _spaces(codes: np.ndarray) -> np.ndarray:
+    return (codes == 32) | ((codes >= 9) & (codes <= 13))
+
+
+def word_starts(codes: np.ndarray) -> np.ndarray:
+    """Where words begin, and every LONG_WORD bytes on in them."""
+    space, place = _spaces(codes), np.arange(len(codes))
+    since = place - np.maximum.accumulate(np.where(space, place, -1))  # from 1 on in a word
+    return ~space & (since % LONG_WORD == 1)
+
+
 def units(text: str | None) -> tuple[np.ndarray, ...]:
     """For each unit of a text the halves of its digest, the bytes it starts and
-    ends at, and the words before either."""
+    ends at, the words before either, and the words before the cut ahead of it and
+    before the one behind it."""
     raw = text.encode("utf-8", "surrogatepass") if text else b""
     if not raw:
-        return tuple(np.zeros(0, k) for k in (np.uint64, np.uint64, np.int64, np.int64, np.int64, np.int64))
+        return tuple(np.zeros(0, k) for k in (np.uint64, np.uint64, *[np.int64] * 6))
     codes = np.frombuffer(raw, np.uint8)
     at = cuts(codes)
     start, end = at[: max(1, len(at) - UNIT)], at[min(UNIT, len(at) - 1) :]
     digests = b"".join([xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)])
     high, low = np.frombuffer(digests, ">u8").astype(np.uint64).reshape(-1, 2).T
-    space = (codes == 32) | ((codes >= 9) & (codes <= 13))
-    place = np.arange(len(codes))
-    since = place - np.maximum.accumulate(np.where(space, place, -1))  # from 1 on in a word
-    seen = np.concatenate(([0], np.cumsum(~space & (since % LONG_WORD == 1))))
-    return low, high, start, end, seen[start], seen[end]
+    seen = np.concatenate(([0], np.cumsum(word_starts(codes))))
+    # The first cuts of a passage may differ: they test bytes ahead of it.
+    ahead, behind = np.maximum(at[np.maximum(np.arange(len(start)) - 1, 0)] - _TESTED, 0), at[np.minimum(np.arange(len(end)) + min(UNIT, len(at) - 1) + 1, len(at) - 1)]
+    return low, high, start, end, seen[start], seen[end], seen[ahead], seen[behind]
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,7 +116,7 @@ def _bitmap(docs: DataFrame) -> bytes:
     return bitmap_of(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
 
 
-_UNITS = "id bigint, th bigint, key bigint, check bigint, start int, end int, before int, after int"
+_UNITS = "id bigint, th bigint, key bigint, check bigint, start int, end int, before int, after int, ahead int, behind int"
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -110,7 +129,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = unpacked(shared.value)
         for batch in (part for whole in batches for part in row_slices(whole)):
-            columns: list[list[np.ndarray]] = [[] for _ in range(7)]
+            columns: list[list[np.ndarray]] = [[] for _ in range(9)]
             ids, counts = [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = units(text)
@@ -129,24 +148,121 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
                 out = [pa.array(ids, pa.int64()).take(at)]
                 out += [pa.array(np.concatenate(c).view(np.int64)) for c in columns[:3]]
                 out += [pa.array(np.concatenate(c).astype(np.int32)) for c in columns[3:]]
-                yield pa.RecordBatch.from_arrays(out, names=["id", "th", "key", "check", "start", "end", "before", "after"])
+                yield pa.RecordBatch.from_arrays(out, names=["id", "th", "key", "check", "start", "end", "before", "after", "ahead", "behind"])
 
     found = materialise(docs.mapInArrow(ship, _UNITS), "units")
     shared.destroy()  # written: no task asks for it again
-    doc = F.struct("id", "th")
-    holders = found.groupBy("key", "check").agg(F.min(doc).alias("first"), F.max(doc).alias("last")).filter("NOT (first <=> last)")
-    met = found.join(holders.select("key", "check", "first"), ["key", "check"]).withColumn("own", F.col("first").eqNullSafe(doc))
+    doc, place = F.struct("id", "th"), F.struct("id", "th", "start")
+    holders = found.groupBy("key", "check").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("NOT (first.id <=> last.id AND first.th = last.th)")
+    met = found.join(holders, ["key", "check"]).withColumn("own", F.struct("first.id", "first.th").eqNullSafe(doc))
+    met = met.withColumn("other", F.when(F.col("own"), F.col("last")).otherwise(F.col("first")))
     along = Window.partitionBy("id", "th").orderBy("start", "end")
     apart = F.coalesce(F.col("start") > F.lag("end").over(along), F.lit(True))
     turned = apart | F.coalesce(F.col("own") != F.lag("own").over(along), F.lit(True))
     met = met.dropDuplicates(["id", "th", "start", "end"]).withColumn("apart", apart.cast("int")).withColumn("turned", turned.cast("int"))
     met = met.withColumn("run", F.sum("apart").over(along)).withColumn("part", F.sum("turned").over(along))
     run = Window.partitionBy("id", "th", "run")
-    met = met.withColumn("n_words", F.max("after").over(run) - F.min("before").over(run)).filter(F.col("n_words") >= min_words)
-    return met.groupBy("id", "th", "run", "part").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.first("n_words").alias("n_words"),
-        F.min("first.id").alias("first_id"), (~F.first("own")).alias("removed"),
-    ).drop("run", "part")
+    met = met.withColumn("n_words", F.max("after").over(run) - F.min("before").over(run)).withColumn("most", F.max("behind").over(run) - F.min("ahead").over(run))
+    shift = F.col("end") - F.col("start")
+    runs = met.filter(F.col("most") >= min_words).groupBy("id", "th", "run", "part").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.first("n_words").alias("n_words"), F.min("first.id").alias("first_id"), (~F.first("own")).alias("removed"),
+        F.min(F.struct("start", "other.id", "other.th", F.col("other.start").alias("at"))).alias("left"),
+        F.max(F.struct("end", "other.id", "other.th", (F.col("other.start") + shift).alias("at"))).alias("right"),
+    )
+    runs = materialise(runs, "runs")
+    done = runs.filter(F.col("n_words") >= min_words)
+    out = ["id", "th", "start", "end", "n_words", "first_id", "removed"]
+    short = runs.filter(F.col("n_words") < min_words)
+    return done.select(out) if short.isEmpty() else done.select(out).unionAll(_extended(docs, short).filter(F.col("n_words") >= min_words).select(out))
+
+
+#: Bytes around a run that may belong to its passage: a chunk is no longer.
+_AROUND = MOST + 4
+
+
+def _texts_digest(text: pd.Series) -> pd.Series:
+    h = [xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) if t else 0 for t in text]
+    return pd.Series(np.array(h, np.uint64).view(np.int64))
+
+
+def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``id, th, at, around`` of places (id, th, at): the bytes ahead and behind."""
+    places = wanted.distinct().groupBy("id", "th").agg(F.collect_list("at").alias("places"))  # a text's own runs
+
+    @F.pandas_udf("array<struct<at: int, ahead: binary, behind: binary>>")
+    def around(text: pd.Series, places: pd.Series) -> pd.Series:
+        out = []
+        for t, own in zip(text, places, strict=True):
+            raw = t.encode("utf-8", "surrogatepass")
+            out.append([{"at": int(p), "ahead": raw[max(0, p - _AROUND) : p], "behind": raw[p : p + _AROUND]} for p in own])
+        return pd.Series(out)
+
+    near = marked(docs, F.xxhash64("id"), places.select(F.xxhash64("id").alias("key"))).filter("near AND text IS NOT NULL")
+    texts = near.select(F.col("id").alias("i"), F.pandas_udf(_texts_digest, "bigint")("text").alias("t"), "text")
+    met = places.join(texts, F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t"))).dropDuplicates(["id", "th"])
+    return met.select("id", "th", F.explode(around("text", "places")).alias("x")).select("id", "th", "x.at", F.struct("x.ahead", "x.behind").alias("around"))
+
+
+def _common(a: bytes, b: bytes, forward: bool, glued: bool = False) -> tuple[int, int]:
+    """The bytes next to a place that a text shares with another, whole words only,
+    and the words that begin in them.  ``a`` and ``b`` lie behind the place, or ahead
+    of it; ``glued``: the byte ahead belongs to a word, which has been counted and goes
+    if it isn't shared to its end."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if not forward:
+        x, y = x[::-1], y[::-1]
+    n = min(len(x), len(y))
+    other = np.flatnonzero(x[:n] != y[:n])
+    n = int(other[0]) if len(other) else n
+    ends = lambda z: n == len(z) or bool(_spaces(z[n : n + 1])[0])
+    if not (ends(x) and ends(y)):
+        gaps = np.flatnonzero(_spaces(x[:n]))
+        if not len(gaps):
+            return 0, -1 if forward and glued else 0
+        n = int(gaps[-1]) + 1
+    part = x[:n] if forward else x[:n][::-1]
+    if forward and glued:
+        return n, int(word_starts(np.concatenate(([65], part)).astype(np.uint8)).sum()) - 1
+    return n, int(word_starts(part).sum())
+
+
+def _extended(docs: DataFrame, short: DataFrame) -> DataFrame:
+    """Runs taken to their passage's true ends, with its words."""
+    edge = short.groupBy("id", "th", "run").agg(F.min("left").alias("left"), F.max("right").alias("right"))
+    edge = materialise(edge, "edges")
+    sides = {"left": "start", "right": "end"}
+    asked = None
+    for side, at in sides.items():
+        for part in (edge.select("id", "th", F.col(f"{side}.{at}").alias("at")), edge.select(F.col(f"{side}.id").alias("id"), F.col(f"{side}.th").alias("th"), F.col(f"{side}.at").alias("at"))):
+            asked = part if asked is None else asked.unionAll(part)
+    around = materialise(_contexts(docs, asked), "around")
+
+    @F.pandas_udf("struct<bytes: int, words: int>")
+    def common(mine: pd.DataFrame, theirs: pd.DataFrame, forward: pd.Series) -> pd.DataFrame:
+        rows = []
+        for before, behind, b0, b1, f in zip(mine["ahead"], mine["behind"], theirs["ahead"], theirs["behind"], forward, strict=True):
+            glued = bool(before) and not _spaces(np.frombuffer(before[-1:], np.uint8))[0]
+            rows.append(_common(behind, b1, True, glued) if f else _common(before, b0, False))
+        return pd.DataFrame(rows, columns=["bytes", "words"]).astype("int32")
+
+    for side, at in sides.items():
+        forward = side == "right"
+        for name, i, t, p in (("mine", "id", "th", f"{side}.{at}"), ("theirs", f"{side}.id", f"{side}.th", f"{side}.at")):
+            other = around.select(F.col("id").alias("_i"), F.col("th").alias("_t"), F.col("at").alias("_p"), F.col("around").alias(name))
+            edge = edge.join(other, F.col(i).eqNullSafe(F.col("_i")) & (F.col(t) == F.col("_t")) & (F.col(p) == F.col("_p"))).drop("_i", "_t", "_p")
+        edge = edge.withColumn(f"{side}_more", common("mine", "theirs", F.lit(forward))).drop("mine", "theirs")
+    edge = edge.select(
+        "id", "th", "run", (F.col("left.start") - F.col("left_more.bytes")).alias("true_start"), (F.col("right.end") + F.col("right_more.bytes")).alias("true_end"),
+        F.col("left.start").alias("run_start"), F.col("right.end").alias("run_end"), (F.col("left_more.words") + F.col("right_more.words")).alias("more"),
+    )
+    edge = edge.select(*[F.col(c).alias(f"_{c}") for c in edge.columns])
+    met = short.join(edge, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")) & (F.col("run") == F.col("_run")))
+    return met.withColumns(
+        {
+            "start": F.when(F.col("start") == F.col("_run_start"), F.col("_true_start")).otherwise(F.col("start")).cast("int"),
+            "end": F.when(F.col("end") == F.col("_run_end"), F.col("_true_end")).otherwise(F.col("end")).cast("int"), "n_words": F.col("n_words") + F.col("_more"),
+        }
+    )
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -154,10 +270,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     holder's."""
     found = repeats(docs, id_col, text_col, min_words).filter("removed").groupBy("id", "th").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
-    @F.pandas_udf("bigint")
-    def digest(text: pd.Series) -> pd.Series:
-        h = [xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) if t else 0 for t in text]
-        return pd.Series(np.array(h, np.uint64).view(np.int64))
+    digest = F.pandas_udf(_texts_digest, "bigint")
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
