@@ -316,7 +316,11 @@ def preprocess_segment(spark, sf_dir):
     return _rounded(cut.select("signal_id", F.col("segment_id").cast("long"), mean.alias("mean"), F.size("samples").cast("long").alias("n")), "mean")
 
 
-@query("preprocess_resample")
+@query("preprocess_resample", f"""WITH {SAMPLES}, z AS (
+  SELECT signal_id, q, any_value(n) AS n, n // 2 AS m, sum(value * cos(2 * pi() * ((q * i) % n) / n)) AS re, -sum(value * sin(2 * pi() * ((q * i) % n) / n)) AS im
+  FROM (SELECT *, unnest(range(n // 2 // 2 + 1)) AS q FROM samples) GROUP BY signal_id, q, n),
+t AS (SELECT *, unnest(range(m)) AS i FROM z)
+SELECT signal_id, i, round(sum(CASE WHEN q = 0 THEN re ELSE 2 * (re * cos(2 * pi() * ((q * i) % m) / m) - im * sin(2 * pi() * ((q * i) % m) / m)) END) / any_value(n), {DIGITS}) + 0.0 AS value FROM t GROUP BY signal_id, i""")
 def preprocess_resample(spark, sf_dir):
     return _long(to_long(preprocess.resample(events_as_signals(spark, sf_dir), 0.5)))
 
@@ -629,14 +633,33 @@ def metrics_peak(spark, sf_dir):
     return _metric_rows(metrics.peak_metrics(spectra, envelope.dominant_peaks(spectra)))
 
 
-@query("metrics_hsi")
+#: Bins of a padded spectrum, fine enough that a peak has neighbours within five percent.
+HSI_FFT = 256
+_PADDED = SPECTRUM_SQL[: SPECTRUM_SQL.rindex("spectrum AS (")] + f"""spectrum AS (SELECT signal_id, k, k / {HSI_FFT} AS f,
+             sqrt(pow(sum(e * cos(2 * pi() * ((k * i) % {HSI_FFT}) / {HSI_FFT})), 2) + pow(sum(e * sin(2 * pi() * ((k * i) % {HSI_FFT}) / {HSI_FFT})), 2)) AS s
+             FROM (SELECT *, unnest(range({HSI_FFT} // 2 + 1)) AS k FROM c) GROUP BY signal_id, k)"""
+
+
+@query("metrics_hsi", f"""WITH {PEAKS_SQL.replace(SPECTRUM_SQL, _PADDED)}, {MATCH_SQL},
+peak_at AS (SELECT m.signal_id, m.name, arg_min(p.f, p.rank) AS f0, any_value(m.amplitude) AS amplitude FROM matches m JOIN peaks p ON p.signal_id = m.signal_id AND abs(p.a - m.amplitude) <= 0.1 * m.amplitude GROUP BY m.signal_id, m.name),
+beside AS (SELECT t.signal_id, t.name, avg(s.s) AS mean, any_value(t.amplitude) AS amplitude FROM peak_at t JOIN spectrum s ON s.signal_id = t.signal_id AND abs(s.f - t.f0) <= 0.05 * t.f0 AND s.f <> t.f0 GROUP BY t.signal_id, t.name)
+SELECT signal_id, 'hsi' AS metric, round(avg(CASE WHEN abs(mean) > 0 THEN (amplitude - mean) / mean ELSE 0 END), 4) + 0.0 AS value FROM beside GROUP BY signal_id""")
 def metrics_hsi(spark, sf_dir):
-    spectra = _spectra(spark, sf_dir)
+    spectra = envelope.spectrum_rows(envelope.envelopes(_raw(spark, sf_dir), n_fft=HSI_FFT)).persist()
     found = metrics.peak_metrics(spectra, envelope.dominant_peaks(spectra), envelope.fault_matches(spectra, _targets(spark)))
     return _metric_rows(found.filter("metric = 'hsi'"))
 
 
-@query("metrics_sk")
+@query("metrics_sk", f"""WITH {CENTRED}, w AS (SELECT *, least(256, n // 4) AS s, least(256, n // 4) - least(256, n // 4) // 2 AS hop FROM x),
+sizes AS (SELECT signal_id, any_value(n) AS n, any_value(s) AS s, any_value(hop) AS hop, any_value(n + 2 * (s // 2)) AS padded FROM w GROUP BY signal_id),
+frames AS (SELECT *, unnest(range((padded + ((hop - (padded - s) % hop) % hop) - s) // hop + 1)) AS frame FROM sizes),
+held AS (SELECT f.signal_id, f.s, f.frame, x.i - (f.frame * f.hop - f.s // 2) AS j, x.value FROM frames f JOIN x ON x.signal_id = f.signal_id AND x.i >= f.frame * f.hop - f.s // 2 AND x.i < f.frame * f.hop - f.s // 2 + f.s),
+h AS (SELECT *, value * (0.5 - 0.5 * cos(2 * pi() * j / s)) AS v FROM held),
+z AS (SELECT signal_id, s, frame, k, sqrt(pow(sum(v * cos(2 * pi() * ((k * j) % s) / s)), 2) + pow(sum(v * sin(2 * pi() * ((k * j) % s) / s)), 2)) / (s / 2) AS a
+      FROM (SELECT *, unnest(range(s // 2 + 1)) AS k FROM h) GROUP BY signal_id, s, frame, k),
+c AS (SELECT signal_id, k, a - avg(a) OVER (PARTITION BY signal_id, k) AS c FROM z),
+m AS (SELECT signal_id, k, avg(c * c) AS v, avg(c * c * c * c) AS q FROM c GROUP BY signal_id, k)
+SELECT signal_id, 'sk' AS metric, round(avg(CASE WHEN v > 1e-24 THEN q / (v * v) ELSE 0 END), 4) AS value FROM m GROUP BY signal_id""")
 def metrics_sk(spark, sf_dir):
     return _metric_rows(metrics.spectral_kurtosis(_raw(spark, sf_dir)))
 
