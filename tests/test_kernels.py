@@ -195,3 +195,28 @@ def test_adaptive_median_takes_even_windows_as_the_next_odd_ones():
     from tremolith.kernels import classic
 
     assert classic.odd_windows(2, 14) == (3, 15) and classic.odd_windows(1, 15) == (3, 15) and classic.odd_windows(4, 8) == (5, 9)
+
+
+@pytest.mark.parametrize("kind", ["normal", "ties", "flat"])
+def test_graph_of_nearest_values_equals_the_dense_one(kind):
+    rng = np.random.default_rng(4)
+    x = {"normal": rng.normal(size=130), "ties": rng.integers(0, 5, 130).astype(float), "flat": np.zeros(40)}[kind]
+    n = len(x)
+    d = np.abs(x[:, None] - x[None, :])
+    np.fill_diagonal(d, np.inf)
+    near = np.argsort(d, axis=1, kind="stable")[:, :10]
+    a = np.zeros((n, n))
+    np.put_along_axis(a, near, np.exp(-(np.take_along_axis(d, near, 1) ** 2) / 2), 1)
+    a = (a + a.T) / 2
+    assert run("graph_signal_denoise", x, 1.0) == pytest.approx(np.linalg.solve(np.eye(n) + 0.5 * (np.diag(a.sum(axis=1)) - a), x))
+
+
+def test_bounds_are_parameters_and_off():
+    x = np.random.default_rng(5).normal(size=700)
+    for name, params in (("ksvd_denoise", {"max_codings": 20, "n_iter": 2, "dict_size": 8}), ("non_local_means_denoise", {"full_length": 200}), ("graph_signal_denoise", {"full_length": 100})):
+        bounded, whole = run(name, x, 1.0, params), run(name, x, 1.0, {k: v for k, v in params.items() if k not in ("max_codings", "full_length")})
+        assert len(bounded) == len(whole) == len(x)
+    assert len(run("non_local_means_denoise", np.tile(x, 9), 1.0)) == 9 * len(x)
+    short = x[:60]
+    few, many = (run("eemd_denoise", short, 1.0, {"n_ensemble": n}) for n in (200, 210))
+    assert not np.array_equal(few, many)  # trials beyond 200 count

@@ -332,11 +332,12 @@ def total_variation_denoise(x, fs, lambda_, n_iter, corrected=False):
     return y
 
 
-@operator(ADVANCED, "HIGH", "non-local-means", max_length=50000, patch_size=7, search_radius=15, h=0.1)
-def non_local_means_denoise(x, fs, patch_size, search_radius, h):
+@operator(ADVANCED, "HIGH", "non-local-means", max_length=50000, patch_size=7, search_radius=15, h=0.1, full_length=0)
+def non_local_means_denoise(x, fs, patch_size, search_radius, h, full_length):
+    """``full_length`` above 0: of longer signals patches and search shrink."""
     n, p, r = len(x), int(patch_size), int(search_radius)
-    if n > 5000:
-        scale = min(n / 5000, 4.0)
+    if full_length and n > full_length:
+        scale = min(n / full_length, 4.0)
         p, r = max(2, int(p / scale)), max(3, int(r / scale))
     patches = np.lib.stride_tricks.sliding_window_view(np.pad(x, p, mode="reflect"), 2 * p + 1)
     total, weight = x.copy(), np.ones(n)
@@ -349,20 +350,62 @@ def non_local_means_denoise(x, fs, patch_size, search_radius, h):
     return total / weight
 
 
-@operator(ADVANCED, "HIGH", "graph", "laplacian", max_length=200000, n_neighbors=10, sigma=1.0, alpha=0.5)
-def graph_signal_denoise(x, fs, n_neighbors, sigma, alpha):
-    if len(x) > 5000:  # every step-th sample, then between them
+def nearest_values(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k samples nearest in value to each, of equals those that come first: indices
+    and distances [sample, k].  In order of values they lie within 2 k places, but for
+    equal values, of which each run's first k + 1 are looked at as well."""
+    n = len(x)
+    order = np.argsort(x, kind="stable")
+    v, at = x[order], np.arange(n)
+    run = np.concatenate(([0], 1 + np.flatnonzero(np.diff(v))))  # starts of runs of equal values
+    first = run[np.searchsorted(run, at, "right") - 1]
+    far = np.concatenate((at[:, None] + np.arange(-k, k + 1), first[:, None] + np.arange(k + 1)), axis=1)
+    for side in (-1, 1):  # the runs where the window begins and ends, from their starts
+        edge = np.clip(at + side * k, 0, n - 1)
+        far = np.concatenate((far, run[np.searchsorted(run, edge, "right") - 1][:, None] + np.arange(k + 1)), axis=1)
+    inside = (far >= 0) & (far < n)
+    far = np.clip(far, 0, n - 1)
+    index = order[far]
+    d = np.where(inside & (far != at[:, None]), np.abs(v[:, None] - v[far]), np.inf)
+    best = np.lexsort((index, d), axis=1)
+    index, d = np.take_along_axis(index, best, 1), np.take_along_axis(d, best, 1)
+    d[:, 1:][index[:, 1:] == index[:, :-1]] = np.inf  # met twice
+    best = np.argsort(d, axis=1, kind="stable")[:, :k]
+    out, size = np.empty((n, k), np.int64), np.empty((n, k))
+    out[order], size[order] = np.take_along_axis(index, best, 1), np.take_along_axis(d, best, 1)
+    return out, size
+
+
+@operator(ADVANCED, "HIGH", "graph", "laplacian", max_length=200000, n_neighbors=10, sigma=1.0, alpha=0.5, full_length=0)
+def graph_signal_denoise(x, fs, n_neighbors, sigma, alpha, full_length):
+    """(I + alpha L) y = x over the graph of nearest values, by conjugate gradients on
+    its few edges.  ``full_length`` above 0: of longer signals every step-th sample
+    is taken, and what lies between is interpolated."""
+    if full_length and len(x) > full_length:
         step = max(1, len(x) // 2000)
-        few = graph_signal_denoise(x[::step], fs, n_neighbors, sigma, alpha)
+        few = graph_signal_denoise(x[::step], fs, n_neighbors, sigma, alpha, 0)
         return np.interp(np.arange(len(x)) / step, np.arange(len(few)), few)
     n, k = len(x), min(int(n_neighbors), len(x) - 1)
-    d = np.abs(x[:, None] - x[None, :])
-    np.fill_diagonal(d, np.inf)
-    near = np.argsort(d, axis=1, kind="stable")[:, :k]
-    a = np.zeros((n, n))
-    np.put_along_axis(a, near, np.exp(-(np.take_along_axis(d, near, 1) ** 2) / (2 * sigma**2)), 1)
-    a = (a + a.T) / 2
-    return np.linalg.solve(np.eye(n) + alpha * (np.diag(a.sum(axis=1)) - a), x)
+    if k < 1:
+        return x.copy()
+    near, d = nearest_values(x, k)
+    i, j, w = np.repeat(np.arange(n), k), near.ravel(), np.exp(-(d.ravel() ** 2) / (2 * sigma**2)) / 2
+    degree = np.bincount(i, w, n) + np.bincount(j, w, n)
+
+    def apply(y):
+        return y + alpha * (degree * y - np.bincount(i, w * y[j], n) - np.bincount(j, w * y[i], n))
+
+    y, r = x.copy(), x - apply(x)
+    p, size, goal = r.copy(), r @ r, 1e-24 * max(x @ x, 1e-300)
+    for _ in range(10 * n):
+        if size <= goal:
+            break
+        q = apply(p)
+        step = size / (p @ q)
+        y, r = y + step * p, r - step * q
+        new = r @ r
+        p, size = r + new / size * p, new
+    return y
 
 
 def hurst(x) -> float:
