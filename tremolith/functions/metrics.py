@@ -47,20 +47,11 @@ def _melt(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.unpivot(list(KEYS), list(names), "metric", "value")
 
 
-def time_metrics(samples: DataFrame, centre: bool = True) -> DataFrame:
-    """kurtosis, skewness, cf and if of ``keys, i, value``.  Values are centred
-    first, so that sums of powers keep their digits."""
-    if centre:
-        samples = samples.withColumn("c", F.col("value") - F.avg("value").over(Window.partitionBy(*KEYS)))
-    else:
-        samples = samples.withColumn("c", F.col("value"))
-    a = F.abs("value")
-    found = _central(samples.groupBy(*KEYS).agg(*[e.alias(k) for k, e in _moments("c").items()], F.max(a).alias("peak"), F.avg(a).alias("mean_abs"), F.sqrt(F.avg(F.col("value") * F.col("value"))).alias("rms")))
-    found = found.select(
-        *KEYS, _kurtosis().alias("kurtosis"), F.when(F.col("var") > 1e-24, F.abs(F.col("c3") / F.pow("var", F.lit(1.5)))).otherwise(0.0).alias("skewness"),
-        _over(F.col("peak"), F.col("rms"), 1.0).alias("cf"), _over(F.col("peak"), F.col("mean_abs")).alias("if"),
-    )
-    return _melt(found, TIME)
+def time_metrics(samples: DataFrame) -> DataFrame:
+    """kurtosis, skewness, cf and if of ``keys, i, value``: one aggregate of central
+    moments, merged pairwise, in one shuffle."""
+    found = moments.moments(samples, [k for k in KEYS if k != "channel"])
+    return moments.time_metrics(found, list(KEYS))
 
 
 def spectrum_metrics(spectra: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Iterable, Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -24,11 +25,12 @@ from .throttle import Throttle, map_batches
 RESULT = "signal_id string, channel int, sample_rate double, algorithm_id string, params map<string,string>, denoised array<double>, execution_time double, success boolean, error_message string"
 
 
-def fan_out(signals: DataFrame, operators: Iterable[tuple[str, dict]], partitions: int | None = None, throttle: Throttle | None = None) -> DataFrame:
+def fan_out(signals: DataFrame, operators: Iterable[tuple[str, dict]], partitions: int | None = None, throttle: Throttle | None = None, pad: bool = False) -> DataFrame:
     """Every signal through every (operator id, parameters).  The operator list
     is the caller's and small; each signal's rows are copied to it, spread over
     ``partitions`` where given, since a few signals may make much work, and run under
-    ``throttle``."""
+    ``throttle``.  With ``pad`` results shorter than their input (deconvolution) are
+    filled with zeros."""
     listed = [(o, {k: json.dumps(v) for k, v in p.items()}) for o, p in operators]
     for o, _ in listed:
         get(o)
@@ -36,7 +38,7 @@ def fan_out(signals: DataFrame, operators: Iterable[tuple[str, dict]], partition
     pairs = signals.select("signal_id", "channel", "sample_rate", "samples").crossJoin(F.broadcast(plan))
     if partitions:
         pairs = pairs.repartition(partitions, "signal_id", "algorithm_id")
-    return map_batches(pairs, _work, RESULT, throttle)
+    return map_batches(pairs, partial(_work, pad=pad), RESULT, throttle)
 
 
 def denoise(signals: DataFrame, operator_id: str, params: dict | None = None, mix: bool = True) -> DataFrame:
@@ -67,7 +69,7 @@ def denoise(signals: DataFrame, operator_id: str, params: dict | None = None, mi
     return signals.select("signal_id", "channel", "sample_rate", "samples").groupBy("signal_id").applyInPandas(together, RESULT)
 
 
-def _work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _work(batches: Iterator[pa.RecordBatch], pad: bool = False) -> Iterator[pa.RecordBatch]:
     schema = None
     for whole in batches:
         for batch in (whole.slice(a, 256) for a in range(0, whole.num_rows, 256)):
@@ -82,6 +84,8 @@ def _work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         y = run(r["algorithm_id"], x, r["sample_rate"], given)
                 except Exception as e:  # noqa: BLE001  a failure is a result here
                     y, error = x, f"{type(e).__name__}: {e}"
+                if pad and len(y) != len(x):
+                    y = np.concatenate((y, np.zeros(max(0, len(x) - len(y)))))[: len(x)]
                 out.append(y)
                 took.append(time.perf_counter() - began)
                 errors.append(error)
@@ -95,10 +99,3 @@ def _work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ],
                 names=schema,
             )
-
-
-def padded(denoised: DataFrame, signals: DataFrame) -> DataFrame:
-    """Results of the input's length: shorter ones (deconvolution) get zeros."""
-    n = signals.select("signal_id", "channel", F.size("samples").alias("n"))
-    full = F.slice(F.concat("denoised", F.array_repeat(F.lit(0.0), F.greatest(F.col("n") - F.size("denoised"), F.lit(0)))), 1, F.col("n"))
-    return denoised.join(n, ["signal_id", "channel"]).withColumn("denoised", F.when(F.col("n") > 0, full).otherwise(F.col("denoised"))).drop("n")

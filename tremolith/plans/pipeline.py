@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import envelope, metrics, preprocess, scoring
-from ..operators.denoise import fan_out, padded
+from ..operators.denoise import fan_out
 from ..sources import read_signals, simulate
 from . import catalog, config as settings
 
@@ -20,6 +20,12 @@ class Report:
     metrics: DataFrame
     rankings: DataFrame
     top_n: int
+    held: tuple[DataFrame, ...] = ()
+
+    def release(self) -> None:
+        """Give back what was persisted; the frames are then computed anew."""
+        for df in self.held:
+            df.unpersist()
 
     def top(self) -> DataFrame:
         return self.rankings.filter(F.col("overall_rank") <= self.top_n)
@@ -37,24 +43,26 @@ def load(spark: SparkSession, config: dict) -> DataFrame:
 
 
 def analyse(signals: DataFrame, config: dict | None = None, partitions: int | None = None) -> Report:
-    """Everything after loading.  The denoised samples feed the spectra and the
-    time metrics, so they are persisted (spilling to disk) until the caller
-    unpersists ``report.denoised``."""
+    """Everything after loading.  Denoised samples, spectra and peaks feed several
+    metrics, so they are persisted (spilling to disk) until the caller ends with
+    ``report.release()``."""
     config = config or settings.DEFAULTS
     spark, p, e, o = signals.sparkSession, config["preprocess"], config["envelope"], config["operators"]
     signals = preprocess.preprocess(signals, p["remove_dc"], p["target_rate"], p["segment_seconds"], p["overlap"], p["normalise"])
     plan = [(i, o["params"].get(i, {})) for i in catalog.select_ids(o["mode"], o["ids"], o["categories"])]
-    denoised = padded(fan_out(signals, plan, partitions), signals)
+    denoised = fan_out(signals, plan, partitions, pad=True)
     enveloped = envelope.envelopes(denoised, e["band"], e["n_fft"]).persist()
-    spectra = envelope.spectrum_rows(enveloped)
+    # All windows and groups of spectra are by these keys: dealt once, read by all.
+    spectra = envelope.spectrum_rows(enveloped).repartition(*metrics.KEYS).persist()
+    peaks = envelope.dominant_peaks(spectra).persist()
     manual = e["manual"] or ({} if e["shaft_rpm"] or config["input"]["path"] else {"bpfo": config["simulation"]["fault_freq"]})
     targets = envelope.fault_targets(spark, e["shaft_rpm"] / 60 if e["shaft_rpm"] else None, e["bearing"], manual)
-    found = metrics.all_metrics(enveloped, spectra, envelope.dominant_peaks(spectra), envelope.fault_matches(spectra, targets, e["tolerance"]), targets, config["metrics"]["enabled"], config["metrics"]["flattened"])
+    found = metrics.all_metrics(enveloped, spectra, peaks, envelope.fault_matches(spectra, targets, e["tolerance"]), targets, config["metrics"]["enabled"], config["metrics"]["flattened"])
     s = config["scoring"]
     score = scoring.scores(found, s["method"], s["normaliser"], s["weights"] or None)
     ranked = scoring.rankings(found, score, denoised.filter("NOT success"))
     times = enveloped.select("signal_id", "channel", "algorithm_id", "execution_time")
-    return Report(signals, enveloped, found, ranked.join(times, ["signal_id", "channel", "algorithm_id"]), config["output"]["top_n"])
+    return Report(signals, enveloped, found, ranked.join(times, ["signal_id", "channel", "algorithm_id"]), config["output"]["top_n"], (enveloped, spectra, peaks))
 
 
 def run(spark: SparkSession, config: dict | None = None) -> Report:
