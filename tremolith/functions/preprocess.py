@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..kernels import dsp
@@ -48,26 +46,37 @@ def resample(signals: DataFrame, target_rate: float) -> DataFrame:
     return signals.withColumn("samples", change("samples", "sample_rate")).withColumn("sample_rate", F.lit(float(target_rate)))
 
 
-def preprocess(signals: DataFrame, dc: bool = True, target_rate: float | None = None, seconds: float | None = None, overlap: float = 0.0, unit: bool = False) -> DataFrame:
-    """All steps on the array form; of several segments the first."""
+def _sum(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
 
-    @F.pandas_udf("array<double>")
-    def centred(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield s.map(lambda x: x - x.mean() if len(x) else x)
 
-    @F.pandas_udf("array<double>")
-    def scaled(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield s.map(lambda x: (x - x.mean()) / (x.std() if len(x) and x.std() >= 1e-12 else 1.0) if len(x) else x)
+def _each(x: Column, known: Column, step) -> Column:
+    """``step(known, v)`` of each value; ``known`` is worked out once an array."""
+    return F.flatten(F.transform(F.array(known), lambda k: F.transform(x, lambda v: step(k, v))))
+
+
+def centred(x: Column) -> Column:
+    """An array less its mean."""
+    return _each(x, _sum(x) / F.nullif(F.size(x), F.lit(0)), lambda m, v: v - m)
+
+
+def scaled(x: Column) -> Column:
+    """An array of zero mean and unit population deviation (1 where it vanishes)."""
+    zero = centred(x)
+    spread = F.sqrt(_sum(F.transform(zero, lambda v: v * v)) / F.nullif(F.size(x), F.lit(0)))
+    return _each(zero, F.when(spread >= 1e-12, spread).otherwise(1.0), lambda d, v: v / d)
+
+
+def preprocess(signals: DataFrame, dc: bool = True, target_rate: float | None = None, seconds: float | None = None, overlap: float = 0.0, unit: bool = False) -> DataFrame:
+    """All steps on the array form; of several segments the first."""
 
     if dc:
-        signals = signals.withColumn("samples", centred("samples"))
+        signals = signals.withColumn("samples", centred(F.col("samples")))
     if target_rate:
         signals = resample(signals, target_rate)
     if seconds:
         signals = segments(signals, seconds, overlap, first_only=True).drop("segment_id")
-    return signals.withColumn("samples", scaled("samples")) if unit else signals
+    return signals.withColumn("samples", scaled(F.col("samples"))) if unit else signals
 
 
 __all__ = ["KEYS", "normalise", "preprocess", "remove_dc", "resample", "segments"]

@@ -809,4 +809,23 @@ def pipeline_ranking(spark, sf_dir):
     return found.rankings.select(*KEYS, "algorithm_id", F.round("overall_score", 4).alias("overall_score"), "overall_rank")
 
 
+_TIME_IDS = sorted(catalog.select_ids("category", categories=["time"]))
+_EACH = " UNION ALL ".join(f"SELECT '{i}' AS algorithm_id, signal_id, value FROM ({DENOISE_SQL[i].replace(f', {DIGITS})', ', 12)')})" for i in _TIME_IDS)
+
+
+@query("pipeline_ranking_time", f"""WITH d AS ({_EACH}), c AS (SELECT *, value - avg(value) OVER (PARTITION BY signal_id, algorithm_id) AS c FROM d),
+m AS (SELECT signal_id, algorithm_id, avg(c * c) AS m2, avg(c * c * c * c) AS m4, max(abs(value)) AS peak, avg(abs(value)) AS mean_abs, sqrt(avg(value * value)) AS rms FROM c GROUP BY ALL),
+v AS (SELECT signal_id, algorithm_id, metric, value FROM (SELECT signal_id, algorithm_id, m4 / (m2 * m2) AS kurtosis, peak / rms AS cf, peak / mean_abs AS "if" FROM m) UNPIVOT (value FOR metric IN (kurtosis, cf, "if"))),
+n AS (SELECT *, CASE WHEN max(value) OVER g - min(value) OVER g < 1e-12 THEN 0.5 ELSE (value - min(value) OVER g) / (max(value) OVER g - min(value) OVER g) END AS norm FROM v WINDOW g AS (PARTITION BY signal_id, metric)),
+s AS (SELECT signal_id, algorithm_id, sum({_WEIGHT} * norm) / sum({_WEIGHT}) AS score FROM n GROUP BY ALL)
+SELECT signal_id, algorithm_id, round(score, 4) AS overall_score, row_number() OVER (PARTITION BY signal_id ORDER BY score DESC, algorithm_id)::INT AS overall_rank FROM s""")
+def pipeline_ranking_time(spark, sf_dir):
+    """The pipeline's stages with the time-domain operators and metrics."""
+    from .plans import config
+
+    chosen = config.merge(config.DEFAULTS, {"operators": {"mode": "category", "categories": ["time"]}, "envelope": {"manual": TARGETS}, "metrics": {"enabled": list(WEIGHTS)}, "scoring": {"weights": WEIGHTS}})
+    found = pipeline.analyse(events_as_signals(spark, sf_dir), chosen)
+    return _rounded(found.rankings.select("signal_id", "algorithm_id", "overall_score", "overall_rank"), "overall_score", digits=4)
+
+
 __all__ = ["ORACLE_SQL", "QUERIES", "to_array"]
