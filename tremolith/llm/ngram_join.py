@@ -128,6 +128,7 @@ class _Classes:
 
     def __init__(self, rows: DataFrame):
         self.rows, self.spark = rows, rows.sparkSession
+        self.scratch: list[DataFrame] = []  # tables that the next links are made of
         heavy = materialise(rows.select("id", "th", "text").mapInArrow(_classed, _CLASSED), "sets")
         self.slim = materialise(heavy.select("id", "th", "digest", "n"), "rows")
         classes = heavy.filter("n > 0").groupBy("digest").agg(F.min("id").alias("least"), *[F.first(c).alias(c) for c in ("n", "prefix", "map")])
@@ -138,6 +139,14 @@ class _Classes:
         same = self.slim.filter("n > 0").groupBy("id", "digest").count().filter("count > 1")
         self.repeated = not same.isEmpty()
 
+    def clear(self) -> None:
+        """Delete what the links that are known now were made of, and let Spark drop
+        the shuffle files of steps that are over."""
+        for t in self.scratch:
+            release(t)
+        self.scratch = []
+        tidy(self.spark)
+
     def sets_of(self, wanted: DataFrame) -> DataFrame:
         """``cid, shingles`` of at least the wanted classes (``cid``)."""
         if self.sets is not None:
@@ -270,6 +279,7 @@ def _blocks(found: _Classes) -> DataFrame:
     """``key, cid, leader, weight``: the classes of each block, its least class and
     how many blocks are alike."""
     prefixes, done = _prefixes(found)
+    found.clear()
     shared_bits = found.spark.sparkContext.broadcast(bitmap_of(done[-1]))
     rows = _filtered_keys(prefixes, shared_bits)
     signature = [F.bit_xor(F.xxhash64("cid", F.lit(k))).alias(f"x{k}") for k in (0, 1)]
@@ -359,7 +369,9 @@ def _searched(mixed: DataFrame, found: _Classes) -> DataFrame:
     """``xs, ys, comp`` as of :func:`_search`, of all blocks."""
     rows = mixed.withColumn("main", F.col("comp") == F.col("head.comp"))
     outside = rows.groupBy("key").agg(F.count(F.when(~F.col("main"), 1)).alias("out"))
-    rows = rows.join(materialise(outside, "outside"), "key")
+    outside = materialise(outside, "outside")
+    found.scratch.append(outside)
+    rows = rows.join(outside, "key")
 
     def parts(of):
         return F.greatest(F.ceil(F.col(of) / BLOCK), F.ceil(F.col(of) / F.col("held") * F.col("tokens") / PART_TOKENS), F.lit(1)).cast("int")
@@ -373,7 +385,9 @@ def _searched(mixed: DataFrame, found: _Classes) -> DataFrame:
     jobs = mine.select(names).unionByName(theirs.select(names))
     jobs = jobs.join(found.classes.select("cid", "n", "map"), "cid")
     dealt = jobs.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").select(*names, "n", "map")
-    return materialise(dealt.mapInArrow(_search, _LEAVES).distinct().withColumn("pair", F.monotonically_increasing_id()), "leaves")
+    leaves = materialise(dealt.mapInArrow(_search, _LEAVES).distinct().withColumn("pair", F.monotonically_increasing_id()), "leaves")
+    found.clear()
+    return leaves
 
 
 def _linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -442,6 +456,7 @@ def _tree_links(mixed: DataFrame, comps: DataFrame, found: _Classes) -> DataFram
     mine = members.select("comp", "cid").join(chunks, "comp").withColumn("chunk", F.pmod(h, "chunks").cast("int")).withColumn("share", every("shares")).withColumn("probe", F.lit(False))
     theirs = probes.join(chunks, "comp").withColumn("share", F.pmod(h, "shares").cast("int")).withColumn("chunk", every("chunks")).withColumn("probe", F.lit(True))
     jobs = materialise(mine.unionByName(theirs).select("comp", "chunk", "share", "cid", "probe"), "jobs")
+    found.scratch += [searched, leaves, jobs, chunks]
     sets = found.sets_of(leaves.select("cid").union(jobs.select("cid")).distinct())
     met = leaves.join(comps, "cid").join(sets, "cid").select("pair", "cid", "side", "comp", "shingles")
     links = met.repartition("pair").sortWithinPartitions("pair").mapInArrow(_verify_leaves, _LINKS)
@@ -455,18 +470,20 @@ def _named(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = rows.sparkSession
     tidy(spark)
     found = _Classes(rows)
+    found.clear()
     blocks = _blocks(found)
-    tidy(spark)
+    found.clear()
     comps = materialise(blocks.select("cid").distinct().select("cid", F.col("cid").alias("comp")), "components")
     ties = blocks.filter("cid != leader").groupBy("cid", "leader").agg(F.sum("weight").alias("weight"))
     ties = ties.groupBy("cid").agg(F.max(F.struct("weight", (-F.col("leader")).alias("l"))).alias("best")).select(F.col("cid").alias("a"), (-F.col("best.l")).alias("b"))
     comps = _merged(comps, found.verified(ties))
-    tidy(spark)
+    found.clear()
     mixed = _mixed(blocks, comps, found)
     comps = _merged(comps, _tree_links(_mixed(_one_block_each(mixed), comps, found), comps, found))
-    tidy(spark)
+    found.clear()
     comps = _merged(comps, _tree_links(_mixed(mixed, comps, found), comps, found))
-    tidy(spark)
+    found.scratch += [found.sets] if found.sets is not None else []
+    found.clear()
     named = found.names.join(comps.toDF("c", "comp"), F.col("cid") == F.col("c"), "left").select("digest", "least", F.coalesce("comp", "cid").alias("component"))
     named = materialise(named, "named")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
