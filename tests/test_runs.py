@@ -118,3 +118,16 @@ def test_changes_between_runs(spark, tmp_path):
 def test_reports_are_dated(spark):
     rows = spark.createDataFrame([("s", 0, "ewma_base", 1, 0.9, 0.1)], RANKS + ", execution_time double")
     assert "Written 2" in report.markdown(rows)
+
+
+def test_inventory_of_stored_rows(spark):
+    from tremolith.plans import catalog
+
+    rows = [("a", 1, "s", 1.0), ("a", 1, "s", None), ("a", 2, "t", 3.0), (None, 1, "s", 5.0), ("b", 1, None, 2.0), ("b", 1, None, 2.0)]
+    df = spark.createDataFrame(rows, "kind string, day int, signal_id string, value double")
+    got = {(r["kind"], r["day"], r["level"]): tuple(r)[3:] for r in catalog.inventory(df, ["kind", "day"]).collect()}
+    assert got == {
+        ("a", 1, 2): (2, 1, 1, 1.0, 1.0), ("a", 2, 2): (1, 1, 0, 3.0, 3.0), (None, 1, 2): (1, 1, 0, 5.0, 5.0), ("b", 1, 2): (2, 0, 0, 2.0, 2.0),
+        ("a", None, 1): (3, 2, 1, 1.0, 3.0), (None, None, 1): (1, 1, 0, 5.0, 5.0), ("b", None, 1): (2, 0, 0, 2.0, 2.0), (None, None, 0): (6, 2, 1, 1.0, 5.0),
+    }
+    assert all(r["samples"] == 0 for r in catalog.inventory(df.limit(0), ["kind"]).collect())

@@ -78,3 +78,16 @@ def select_ids(mode: str = "all", ids=None, categories=None) -> list[str]:
         wanted = {category_name(c) for c in categories or []}
         return [s.id for s in SPECS.values() if s.category in wanted]
     return list(SPECS)
+
+
+def inventory(rows: DataFrame, levels: list[str], signal: str = "signal_id", value: str = "value") -> DataFrame:
+    """What is stored: samples, distinct signals, missing values and the range of
+    values, for every combination of ``levels`` and, by rollup, their totals (a null
+    level; ``level`` says how many are given).  One shuffle of partial counts; signals
+    are counted exactly."""
+    given = sum((1 - F.grouping(c).cast("int") for c in levels), F.lit(0))
+    found = rows.rollup(*levels).agg(
+        given.alias("level"), F.count(F.lit(1)).alias("samples"), F.count_distinct(signal).alias("signals"), F.count_if(F.col(value).isNull()).alias("missing"),
+        F.min(value).alias("low"), F.max(value).alias("high"),
+    )
+    return found.select(*levels, "level", "samples", "signals", "missing", "low", "high")

@@ -781,6 +781,14 @@ def catalog_operators(spark, sf_dir):
     return catalog.catalog(spark).select("algorithm_id", "category", "complexity", "max_signal_length")
 
 
+@query("inventory_rollup", """SELECT event_type, strftime(date_trunc('week', ts), '%Y-%m-%d') AS week, (2 - grouping(event_type) - grouping(date_trunc('week', ts)))::INT AS level, count(*) AS samples,
+  count(DISTINCT user_id) AS signals, count(*) FILTER (value IS NULL) AS missing, min(value) AS low, max(value) AS high FROM events GROUP BY ROLLUP (event_type, date_trunc('week', ts))""")
+def inventory_rollup(spark, sf_dir):
+    """The stored events by type and week, with totals."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", F.date_format(F.date_trunc("week", "ts"), "yyyy-MM-dd").alias("week"), F.col("user_id").alias("signal_id"), "value")
+    return catalog.inventory(rows, ["event_type", "week"])
+
+
 @query("catalog_search")
 def catalog_search(spark, sf_dir):
     return catalog.tree(catalog.search(catalog.filtered(catalog.catalog(spark), ["wavelet", "emd"]), "threshold")).select("algorithm_id", "category")
