@@ -38,6 +38,8 @@ from .hdf5 import hdf5_layout
 SCHEMA = "signal_id string, channel int, channel_name string, sample_rate double, unit string, source_path string, i bigint, value double"
 LAYOUTS = {".wav": wav_layout, ".tdms": tdms_layout, ".h5": hdf5_layout, ".hdf5": hdf5_layout, ".mat": hdf5_layout}
 SLICE_BYTES = 64 << 20
+#: Files that one task opens, at most.
+OPENING = 64
 
 
 def _system(path: str) -> tuple[pfs.FileSystem, str]:
@@ -78,13 +80,20 @@ def layout(path: str, f, size: int) -> Layout:
 
 
 @dataclass
-class Slice(InputPartition):
+class Slice:
     path: str
     size: int
     low: int
     high: int
 
 
+@dataclass
+class Slices(InputPartition):
+    """A task's work: one slice of a large file, or many small files."""
+
+    slices: list[Slice]
+
+
 class SignalReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.step = options["path"], int(options.get("slicebytes", SLICE_BYTES))
@@ -115,12 +124,25 @@ class SignalReader(DataSourceReader):
         self.stop = stop if self.stop is None else min(self.stop, stop)
 
     def partitions(self) -> list[InputPartition]:
-        found = [Slice(p, n, a, min(a + self.step, n)) for p, n in listed(self.path) for a in range(0, n, self.step)]
-        return found or [Slice("", 0, 0, 0)]
-
-    def read(self, part: Slice) -> Iterator[pa.RecordBatch]:
-        if not part.path:
-            return
+        """Small files go together, each counting OPENING of a slice at least."""
+        groups: list[list[Slice]] = []
+        room = 0
+        for path, size in listed(self.path):
+            for a in range(0, size, self.step):
+                part = Slice(path, size, a, min(a + self.step, size))
+                cost = max(part.high - part.low, self.step // OPENING)
+                if cost > room or not groups:
+                    groups.append([])
+                    room = self.step
+                groups[-1].append(part)
+                room -= cost
+        return [Slices(g) for g in groups] or [Slices([])]
+
+    def read(self, task: Slices) -> Iterator[pa.RecordBatch]:
+        for part in task.slices:
+            yield from self._read(part)
+
+    def _read(self, part: Slice) -> Iterator[pa.RecordBatch]:
         base = part.path.rsplit("/", 1)[-1]
         signal, channel, first = written_name(base) or (base, 0, 0)
         wanted = None if self.channels is None else {c - channel for c in self.channels}
