@@ -139,6 +139,12 @@ class _Classes:
         same = self.slim.filter("n > 0").groupBy("id", "digest").count().filter("count > 1")
         self.repeated = not same.isEmpty()
 
+    def without_prefixes(self) -> None:
+        """Keep of the classes what is needed once blocks are known."""
+        whole, self.classes = self.classes, materialise(self.classes.drop("prefix"), "classes")
+        self.names = self.classes.select("cid", "digest", "least")
+        release(whole)
+
     def clear(self) -> None:
         """Delete what the links that are known now were made of, and let Spark drop
         the shuffle files of steps that are over."""
@@ -472,6 +478,7 @@ def _named(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = _Classes(rows)
     found.clear()
     blocks = _blocks(found)
+    found.without_prefixes()
     found.clear()
     comps = materialise(blocks.select("cid").distinct().select("cid", F.col("cid").alias("comp")), "components")
     ties = blocks.filter("cid != leader").groupBy("cid", "leader").agg(F.sum("weight").alias("weight"))
