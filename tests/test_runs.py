@@ -4,7 +4,6 @@ import os
 
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
 from tremolith.errors import InvalidConfig
 from tremolith.model import SIGNALS
