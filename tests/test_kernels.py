@@ -220,3 +220,65 @@ def test_bounds_are_parameters_and_off():
     short = x[:60]
     few, many = (run("eemd_denoise", short, 1.0, {"n_ensemble": n}) for n in (200, 210))
     assert not np.array_equal(few, many)  # trials beyond 200 count
+
+
+def _plain_modes(x, most):
+    """One signal at a time, with a dense solution of each spline."""
+
+    def envelope(y, at):
+        t = np.concatenate([-at[:2][::-1], at, 2 * (len(y) - 1) - at[-2:][::-1]]).astype(float)
+        v = np.concatenate([y[at[:2][::-1]], y[at], y[at[-2:][::-1]]])
+        h, a = np.diff(t), np.eye(len(t))
+        right = np.zeros(len(t))
+        for i in range(1, len(t) - 1):
+            a[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
+            right[i] = 6 * ((v[i + 1] - v[i]) / h[i] - (v[i] - v[i - 1]) / h[i - 1])
+        m, s = np.linalg.solve(a, right), np.arange(len(y))
+        k = np.clip(np.searchsorted(t, s) - 1, 0, len(t) - 2)
+        p, q = (t[k + 1] - s) / h[k], (s - t[k]) / h[k]
+        return p * v[k] + q * v[k + 1] + ((p**3 - p) * m[k] + (q**3 - q) * m[k + 1]) * h[k] ** 2 / 6
+
+    out, rest = [], x.copy()
+    while len(out) < most:
+        turns = [i for i in range(1, len(x) - 1) if (rest[i] - rest[i - 1]) * (rest[i + 1] - rest[i]) < 0]
+        high = np.array([i for i in turns if rest[i] > rest[i - 1]])
+        if len(turns) < 4 or not 0 < len(high) < len(turns):
+            break
+        mode = rest.copy()
+        for _ in range(10):
+            turns = [i for i in range(1, len(x) - 1) if (mode[i] - mode[i - 1]) * (mode[i + 1] - mode[i]) < 0]
+            high, low = (np.array([i for i in turns if (mode[i] > mode[i - 1]) == up], int) for up in (True, False))
+            if min(len(high), len(low)) < 2:
+                break
+            mean = (envelope(mode, high) + envelope(mode, low)) / 2
+            mode = mode - mean
+            if np.sum(mean**2) < 1e-3 * np.sum(mode**2):
+                break
+        out.append(mode)
+        rest = rest - mode
+    return [*out, rest]
+
+
+def test_modes_of_many_signals_equal_each_alone():
+    from tremolith.kernels.decomposition import imfs_of
+
+    x = np.array([NOISY[:90], np.zeros(90), np.arange(90.0), NOISY[90:180], np.cumsum(NOISY[:90])])
+    for most in (0, 1, 12):
+        found = imfs_of(x, most)
+        for r, row in enumerate(x):
+            for k, m in enumerate(found):
+                plain = _plain_modes(row, most)
+                assert m[r] == pytest.approx(plain[k] if k < len(plain) else np.zeros(90), abs=1e-9)
+
+
+@pytest.mark.parametrize("first", [0, 1, 3])
+def test_ensembles_take_apart_only_what_is_removed(first, monkeypatch):
+    from tremolith.kernels import decomposition
+
+    x, rng, asked = NOISY[:80], np.random.default_rng(7), []
+    noisy = [x + 0.2 * np.std(x) * rng.normal(size=80) for _ in range(6)]
+    whole = sum((m for y in noisy for m in _plain_modes(y, 12)[first:]), np.zeros(80)) / 6
+    of = decomposition.imfs_of
+    monkeypatch.setattr(decomposition, "imfs_of", lambda x, most: asked.append((len(x), most)) or of(x, most))
+    assert run("eemd_denoise", x, 1.0, {"n_ensemble": 6, "remove_first_n": first, "seed": 7}) == pytest.approx(whole, abs=1e-9)
+    assert asked == [(6, first)]
