@@ -80,3 +80,20 @@ def test_nulls_ties_and_nothing(samples):
     assert search.search(some, *how, exhaustive=True).count() == 2
     with pytest.raises(InvalidConfig):
         search.search(samples, "emd_standard", '{"max_imfs": [1, 2]}')
+
+
+def test_equal_windows_tie_however_sums_are_cut(spark):
+    """An even kernel is the next odd one; a spilling aggregation adds up in other orders."""
+    rows = [(str(s), 0, i, math.sin(i * (s + 1)) * 100 + math.cos(i * i)) for s in range(40) for i in range(60)]
+    samples = spark.createDataFrame(rows, "signal_id string, channel int, i long, value double")
+    name = "spark.sql.TungstenAggregate.testFallbackStartsAt"
+    spark.conf.set(name, "37, 53")
+    try:
+        tried = search.candidates(spark, "median_filter", '{"kernel_size": [3, 11]}', 9)
+        found = {(r["signal_id"], r["candidate"]): r["snr"] for r in search.judged(samples, "median_filter", tried).collect()}
+        best = search.search(samples, "median_filter", '{"kernel_size": [3, 11]}', 9, exhaustive=True).collect()
+    finally:
+        spark.conf.unset(name)
+    assert len(found) == 40 * 9
+    assert all(found[str(s), k] == found[str(s), k + 1] for s in range(40) for k in (1, 3, 5, 7))
+    assert {r["params"]["kernel_size"] for r in best} <= {3.0, 4.0, 6.0, 8.0, 10.0}

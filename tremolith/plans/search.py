@@ -67,6 +67,14 @@ def _weights(operator_id: str, params: dict) -> tuple[list[float], int]:
     return weights, len(weights) // 2
 
 
+def _window(operator_id: str, params: dict):
+    """What a candidate's value depends on."""
+    if operator_id in MIDDLE:
+        return int((get(operator_id).defaults | params)["kernel_size"]) // 2
+    weights, before = _weights(operator_id, params)
+    return tuple(weights), before
+
+
 def _value(near: Column, r: int, operator_id: str, params: dict) -> Column:
     if operator_id in MIDDLE:
         half = int((get(operator_id).defaults | params)["kernel_size"]) // 2
@@ -97,13 +105,22 @@ def judged(samples: DataFrame, operator_id: str, tried: list[dict], part: int =
     near = F.concat(F.array_repeat(F.lit(0.0), (first - (F.col("i") - r)).cast("int")), near)
     near = F.concat(near, F.array_repeat(F.lit(0.0), F.lit(2 * r + 1) - F.size(near)))
     found = own_rows(parts.withColumn("held", held), part).withColumn("near", near)
-    values = F.array(*[F.struct(F.lit(k).alias("candidate"), _value(F.col("near"), r, operator_id, p).alias("y")) for k, p in enumerate(tried)])
+    # Candidates of one window are judged once: sums in two orders would differ in their
+    # last digits, and the first of equals would not stay.
+    same: dict[object, list[int]] = {}
+    for k, p in enumerate(tried):
+        same.setdefault(_window(operator_id, p), []).append(k)
+    values = [(F.array(*map(F.lit, ks)), _value(F.col("near"), r, operator_id, tried[ks[0]])) for ks in same.values()]
+    if alive is not None:
+        values = [(F.array_intersect(ks, "alive"), y) for ks, y in values]
+    values = F.array(*[F.struct(ks.alias("candidates"), y.alias("y")) for ks, y in values])
     if alive is not None:
-        values = F.filter(values, lambda v: F.array_contains("alive", v["candidate"]))
-    each = found.select(*KEYS, "value", F.explode(values).alias("v")).select(*KEYS, "value", "v.candidate", "v.y")
+        values = F.filter(values, lambda v: F.size(v["candidates"]) > 0)
+    each = found.select(*KEYS, "value", F.explode(values).alias("v")).select(*KEYS, "value", "v.candidates", "v.y")
     var = F.var_pop("value")
     snr = F.when(var == 0, -math.inf).otherwise(10 * F.log10(var / (F.var_pop(F.col("value") - F.col("y")) + 1e-10)))
-    return each.groupBy(*KEYS, "candidate").agg(snr.alias("snr"))
+    judged = each.groupBy(*KEYS, "candidates").agg(snr.alias("snr"))
+    return judged.select(*KEYS, F.explode("candidates").alias("candidate"), "snr")
 
 
 def _ordered() -> Column:
