@@ -282,3 +282,28 @@ def test_ensembles_take_apart_only_what_is_removed(first, monkeypatch):
     monkeypatch.setattr(decomposition, "imfs_of", lambda x, most: asked.append((len(x), most)) or of(x, most))
     assert run("eemd_denoise", x, 1.0, {"n_ensemble": 6, "remove_first_n": first, "seed": 7}) == pytest.approx(whole, abs=1e-9)
     assert asked == [(6, first)]
+
+
+def test_genetic_search_takes_one_pursuit(monkeypatch):
+    from tremolith.kernels import specialised
+
+    asked, of = [], specialised.omp_path
+    monkeypatch.setattr(specialised, "omp_path", lambda *a: asked.append(a[2]) or of(*a))
+    found = run("ga_optimized_omp", NOISY[:70], 1.0)
+    assert asked == [30]
+    d = specialised.gabor(70, 70, 1.0)
+    merit = [specialised._snr(NOISY[:70], of(NOISY[:70], d, s)[-1]) - 0.05 * s for s in range(1, 31)]
+    assert found == pytest.approx(of(NOISY[:70], d, 1 + int(np.argmax(merit)))[-1], abs=1e-9)
+
+
+def test_pursuit_is_least_squares_also_over_dependent_atoms():
+    from tremolith.kernels.decomposition import omp_path
+
+    d = RNG.normal(size=(40, 12))
+    d = np.hstack([d, d + 1e-9 * RNG.normal(size=(40, 12))])
+    d /= np.linalg.norm(d, axis=0)
+    chosen, rest, x = [], NOISY[:40], NOISY[:40]
+    for fit in omp_path(x, d, 10):
+        chosen.append(int(np.argmax(np.abs(d.T @ rest))))
+        rest = x - d[:, chosen] @ np.linalg.lstsq(d[:, chosen], x, rcond=None)[0]
+        assert fit == pytest.approx(x - rest, abs=1e-7)
