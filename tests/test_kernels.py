@@ -307,3 +307,21 @@ def test_pursuit_is_least_squares_also_over_dependent_atoms():
         chosen.append(int(np.argmax(np.abs(d.T @ rest))))
         rest = x - d[:, chosen] @ np.linalg.lstsq(d[:, chosen], x, rcond=None)[0]
         assert fit == pytest.approx(x - rest, abs=1e-7)
+
+
+def test_shared_draws_change_no_search():
+    from tremolith.kernels.optim import _DRAWN, _NEAR, _SPREAD
+
+    def best(k, candidates=200):
+        return optim.gp_ucb_optimize(lambda p: -((p[0] - k) ** 2) - (p[1] + k / 2) ** 2, [(-3, 3)] * 2, 4, 12, random_state=9, candidates=candidates)
+
+    fresh = []
+    for k in range(6):
+        for store in (_DRAWN, _NEAR, _SPREAD):
+            store.clear()
+        fresh.append(best(k))
+    again = [best(k) for k in range(6)]
+    assert all(np.array_equal(a[0], b[0]) and a[1] == b[1] for a, b in zip(fresh, again, strict=True))
+    assert len(_NEAR) <= 128 and len(_SPREAD) <= 1024 and len(_DRAWN) == 1
+    best(1, candidates=5000)
+    assert len(_DRAWN) == 1  # too much to be kept

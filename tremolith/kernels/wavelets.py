@@ -34,6 +34,7 @@ def scaling_taps(name: str) -> np.ndarray:
     return best[1]
 
 
+@cache
 def filters(name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Decomposition low and high, reconstruction low and high."""
     low = scaling_taps(name)
