@@ -325,3 +325,20 @@ def test_shared_draws_change_no_search():
     assert len(_NEAR) <= 128 and len(_SPREAD) <= 1024 and len(_DRAWN) == 1
     best(1, candidates=5000)
     assert len(_DRAWN) == 1  # too much to be kept
+
+
+@pytest.mark.parametrize("name", ["pso_optimized_lms", "pso_optimized_rls"])
+def test_swarms_move_together_as_each_alone(name, monkeypatch):
+    together, of = [], optim.particle_swarm_optimization
+
+    def alone(f, *a, together, **k):
+        return of(lambda p: float(f(np.array([p]))[0]), *a, **k)
+
+    def counted(f, *a, **k):
+        return of(lambda p: together.append(len(p)) or f(p), *a, **k)
+
+    monkeypatch.setattr(optim, "particle_swarm_optimization", counted)
+    found = run(name, NOISY[:80], 1.0)
+    assert together == [15] * 21
+    monkeypatch.setattr(optim, "particle_swarm_optimization", alone)
+    assert run(name, NOISY[:80], 1.0) == pytest.approx(found, abs=1e-9)
