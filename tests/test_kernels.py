@@ -342,3 +342,25 @@ def test_swarms_move_together_as_each_alone(name, monkeypatch):
     assert together == [15] * 21
     monkeypatch.setattr(optim, "particle_swarm_optimization", alone)
     assert run(name, NOISY[:80], 1.0) == pytest.approx(found, abs=1e-9)
+
+
+def test_jade_leaves_out_the_first_source():
+    """Every source of the customary deflation, of which the first one goes."""
+    x = np.stack([NOISY[:200], SINE[:200] + RNG.normal(size=200) / 5, RNG.uniform(size=200), NOISY[300:500]])
+    u, s, v = np.linalg.svd(x - x.mean(axis=1, keepdims=True), full_matrices=False)
+    white, rng, w = v * np.sqrt(200), np.random.default_rng(42), np.zeros((4, 4))
+    for i in range(4):
+        b = rng.normal(size=4)
+        for _ in range(200):
+            b = b - w[:i].T @ (w[:i] @ b)
+            b /= np.linalg.norm(b)
+            y = np.tanh(b @ white)
+            new = (white * y).mean(axis=1) - (1 - y * y).mean() * b
+            new -= w[:i].T @ (w[:i] @ new)
+            new /= np.linalg.norm(new)
+            done, b = abs(abs(new @ b) - 1) < 1e-4, new
+            if done:
+                break
+        w[i] = b
+    whole = (u * s) @ w.T / np.sqrt(200)
+    assert run("jade_denoise", x, 1.0) == pytest.approx(whole[:, 1:] @ (w @ white)[1:], abs=1e-9)
