@@ -364,3 +364,24 @@ def test_jade_leaves_out_the_first_source():
         w[i] = b
     whole = (u * s) @ w.T / np.sqrt(200)
     assert run("jade_denoise", x, 1.0) == pytest.approx(whole[:, 1:] @ (w @ white)[1:], abs=1e-9)
+
+
+def test_variational_modes_over_half_a_spectrum_equal_the_whole():
+    from tremolith.kernels.decomposition import vmd
+
+    for x in (NOISY[:70], NOISY[:71]):
+        n, k, alpha, tau = len(x), 3, 500.0, 0.1
+        half = n // 2
+        z = np.fft.fft(np.concatenate([x[:half][::-1], x, x[n - half :][::-1]]))
+        f = np.fft.fftfreq(len(z))
+        up, w, u, dual = np.where(f >= 0, z, 0), 0.5 * np.arange(k) / k, np.zeros((k, len(z)), complex), np.zeros(len(z), complex)
+        for _ in range(40):
+            last = u.copy()
+            for i in range(k):
+                u[i] = np.where(f >= 0, (up - (u.sum(axis=0) - u[i]) - dual / 2) / (1 + alpha * (f - w[i]) ** 2), 0)
+                w[i] = (f * np.abs(u[i]) ** 2).sum() / (np.abs(u[i]) ** 2).sum()
+            dual = dual + tau * (u.sum(axis=0) - up)
+            if np.sum(np.abs(u - last) ** 2) / len(z) <= 1e-9:
+                break
+        u[:, 1 : (len(z) + 1) // 2] *= 2
+        assert vmd(x, alpha, tau, k, False, 1, 1e-9, most=40) == pytest.approx(np.fft.ifft(u, axis=1).real[:, half : half + n], abs=1e-8)
