@@ -210,3 +210,44 @@ def test_mat_level_5():
     raw = b" " * 124 + b"\0\x01IM" + matrix("fs", np.array([[100.0]])) + matrix("x", x)
     data, _, rate, _ = readers.parse_mat(raw)
     assert np.array_equal(data, x.T) and rate == 100.0
+
+
+def test_kernel_queries_hold_one_python_worker_a_task(spark, tmp_path):
+    """Centring runs where the kernel runs, not in a worker of its own."""
+    from tremolith.kernels import run
+    from tremolith.queries import QUERIES
+
+    rows = [(e, e * 7 % 4, e * 1_000, float(e * e % 17)) for e in range(160)]
+    spark.createDataFrame(rows, "event_id long, user_id long, us long, value double").selectExpr("event_id", "user_id", "timestamp_micros(us) AS ts", "value").write.parquet(f"{tmp_path}/events.parquet")
+    for name in ("vmd_denoise", "jade_denoise"):
+        found = QUERIES[f"denoise_{name}"](spark, str(tmp_path))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "ArrowEvalPython" not in plan
+        got = {}
+        for r in sorted(found.collect(), key=lambda r: r["i"]):
+            got.setdefault(r["signal_id"], []).append(r["value"])
+        for user in range(4):
+            x = np.array([v for e, u, _, v in rows if u == user])
+            assert got[str(user)] == pytest.approx(run(name, x - x.mean(), 1.0), abs=2e-6)
+
+
+def test_envelopes_take_few_rows_at_once(monkeypatch):
+    import pyarrow as pa
+
+    from tremolith.functions import envelope
+
+    class Frame:
+        columns = ["sample_rate", "denoised"]
+
+        def select(self, *_):
+            return self
+
+        schema = None
+
+        def mapInArrow(self, work, schema):
+            return work
+
+    monkeypatch.setattr(envelope.F, "lit", lambda v: type("C", (), {"cast": lambda self, t: self, "alias": lambda self, n: self})())
+    batch = pa.RecordBatch.from_arrays([pa.array([1.0] * 1000), pa.array([[float(i % 7), 1.0, 2.0, -1.0] for i in range(1000)])], names=["sample_rate", "denoised"])
+    sizes = [b.num_rows for b in envelope.envelopes(Frame())(iter([batch]))]
+    assert sum(sizes) == 1000 and max(sizes) <= 256
