@@ -46,11 +46,15 @@ class Ordered(StatefulProcessor):
         self.held = handle.getValueState("held", "last bigint, session bigint, state string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        # While rows wait, the one timer is at the earliest of them, and need not be sought.
+        first, begun = None, not self.waiting.exists()
         for frame in rows:
             new = list(zip(frame["us"].tolist(), frame["value"].tolist(), strict=True))
             if new:
                 self.waiting.appendList(new)
-        self._wake()
+                first = min(r[0] for r in new) if first is None else min(first, min(r[0] for r in new))
+        if first is not None:
+            self._wake(first, begun)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -73,24 +77,31 @@ class Ordered(StatefulProcessor):
             self.held.clear()  # whatever comes next begins a session
         elif last is not None:
             self.held.update((last, session, json.dumps(kept)))
-        self._wake()
+        if rest:
+            self._wake(rest[0][0])
+        elif last is not None and last + self.gap >= passed:
+            self._wake(last + self.gap + 1000)  # the session's end
+        else:
+            self._sleep()
         if out:
             frame = pd.DataFrame(out, columns=["signal_id", "session", "ts", "value", "denoised"])
             for c in ("session", "ts"):
                 frame[c] = pd.to_datetime(frame[c], unit="us", utc=True)
             yield frame
 
-    def _wake(self) -> None:
-        """One timer: at the earliest row that waits, else at the session's end."""
-        due = None
-        if self.waiting.exists():
-            due = min(r[0] for r in self.waiting.get())
-        elif self.held.exists():
-            due = self.held.get()[0] + self.gap + 1000
+    def _wake(self, due: int, later: bool = True) -> None:
+        """One timer: at the earliest row that waits, else at the session's end.  Where
+        there is one already, a ``due`` not ``later`` only makes it earlier."""
+        due, timers = -(-due // 1000), list(self.handle.listTimers())
+        if not later and any(t <= due for t in timers):
+            return
+        for t in timers:
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(due)
+
+    def _sleep(self) -> None:
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
-        if due is not None:
-            self.handle.registerTimer(-(-due // 1000))
 
 
 def denoise_ordered(samples: DataFrame, operator_id: str, params: dict | None = None, late: str = "10 minutes", gap: str = "1 hour") -> DataFrame:
