@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import random
 
 import pytest
@@ -297,6 +298,27 @@ def test_passages_without_spaces_and_clashing_names(spark):
     assert all(got[k]["th"] == k and got[k]["spans"] == "s" for k in range(3))
 
 
+def test_repeats_in_turns_drop_their_tables(spark, rows, monkeypatch):
+    """The same rows in one turn and in many, and nothing of the units is left behind."""
+    rng = random.Random(7)
+    make = lambda n: [f"w{rng.randrange(10**6)}x" for _ in range(n)]
+    shared = make(26)
+    some = [*rows[:60], *[(7000, " ".join([*make(40), *shared, *make(40)])) for _ in range(3)], (None, " ".join([*make(20), *shared, *make(30)]))]
+    df = frame(spark, some)
+    kept = []
+    real = substring_dedup.materialise
+    monkeypatch.setattr(substring_dedup, "materialise", lambda df, tag: kept.append((tag, real(df, tag))) or kept[-1][1])
+    names = ["id", "th", "start", "end", "n_words", "first_id", "removed"]
+    one = collections.Counter(tuple(r) for r in substring_dedup.repeats(df).select(names).collect())
+    assert sum(t == "met" for t, _ in kept) == 1
+    monkeypatch.setattr(substring_dedup, "TURN_ROWS", 50)
+    kept.clear()
+    assert collections.Counter(tuple(r) for r in substring_dedup.repeats(df).select(names).collect()) == one
+    met = [t for tag, t in kept if tag == "met"]
+    assert len(met) == substring_dedup.TURNS and not any(os.path.exists(f.removeprefix("file:")) for t in met for f in t.inputFiles())
+    assert sum(k[0] == 7000 for k in one.elements()) == 3 and None in {k[0] for k in one}
+
+
 def test_cuts_fall_into_step_after_insertions():
     import numpy as np
 

@@ -18,9 +18,11 @@ words only.
 
 Pass one counts in how many rows each half digest occurs and keeps the repeated
 ones as a bitmap of fixed size (8 MB, the only thing that goes by the driver); pass two cuts the texts again and ships only units whose bit is set.
-The bitmap saves shuffling and decides nothing.  Units are counted with partial
-aggregation and met by a join that adaptive execution may split, so a passage in
-a third of all documents burdens no single task.
+The bitmap saves shuffling and decides nothing.  The shipped units are written by
+TURNS ranges of their digests and worked on one range after the other, each one's
+shuffle files dropped before the next, so that disk holds a share of them at once.
+Units are counted with partial aggregation and met by a join that adaptive execution may
+split, so a passage in a third of all documents burdens no single task.
 
 Defined results: null and empty texts have no units; rows that repeat both
 doc_id and text are one document; a passage repeated only within one document
@@ -31,6 +33,7 @@ by :func:`repeats` and kept, whatever their names, by :func:`remove_repeats`.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -40,11 +43,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bitmaps import bitmap_of, hits, marked, unpacked
-from .storage import materialise, table
+from .storage import materialise, materialise_parts, release, table, tidy
 from .words import list_column, mix, row_slices
 
 MIN_WORDS, LONG_WORD = 25, 30
 UNIT = 3
+#: Ranges of digests, a power of two, and units of a turn while that takes fewer turns.
+TURNS, TURN_ROWS = 8, 1_000_000
 #: A cut where CUT_BITS bits of the hash, from SHIFT up, are zero; chunks of at
 #: least LEAST bytes, and cut anyway after MOST.
 CUT_BITS, SHIFT, LEAST, MOST = 4, 12, 4, 256
@@ -86,6 +91,20 @@ def word_starts(codes: np.ndarray) -> np.ndarray:
     return ~space & (since % LONG_WORD == 1)
 
 
+def _digests(raw: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    found = b"".join([xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+    return np.frombuffer(found, ">u8").astype(np.uint64).reshape(-1, 2).T
+
+
+def unit_keys(text: str | None) -> np.ndarray:
+    """The distinct low halves of the digests of a text's units."""
+    raw = text.encode("utf-8", "surrogatepass") if text else b""
+    if not raw:
+        return np.zeros(0, np.uint64)
+    at = cuts(np.frombuffer(raw, np.uint8))
+    return np.unique(_digests(raw, at[: max(1, len(at) - UNIT)], at[min(UNIT, len(at) - 1) :])[1])
+
+
 def units(text: str | None) -> tuple[np.ndarray, ...]:
     """For each unit of a text the halves of its digest, the bytes it starts and
     ends at, the words before either, and the words before the cut ahead of it and
@@ -96,8 +115,7 @@ def units(text: str | None) -> tuple[np.ndarray, ...]:
     codes = np.frombuffer(raw, np.uint8)
     at = cuts(codes)
     start, end = at[: max(1, len(at) - UNIT)], at[min(UNIT, len(at) - 1) :]
-    digests = b"".join([xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)])
-    high, low = np.frombuffer(digests, ">u8").astype(np.uint64).reshape(-1, 2).T
+    high, low = _digests(raw, start, end)
     seen = np.concatenate(([0], np.cumsum(word_starts(codes))))
     # The first cuts of a passage may differ: they test bytes ahead of it.
     ahead, behind = np.maximum(at[np.maximum(np.arange(len(start)) - 1, 0)] - _TESTED, 0), at[np.minimum(np.arange(len(end)) + min(UNIT, len(at) - 1) + 1, len(at) - 1)]
@@ -106,14 +124,16 @@ def units(text: str | None) -> tuple[np.ndarray, ...]:
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in (part for whole in batches for part in row_slices(whole)):
-        found = [np.unique(units(t)[0]) for t in batch.column(0).to_pylist()]
+        found = [unit_keys(t) for t in batch.column(0).to_pylist()]
         yield pa.RecordBatch.from_arrays([list_column(found, pa.int64())], names=["keys"])
 
 
 def _bitmap(docs: DataFrame) -> bytes:
     """Bits of the digests that more than one row has."""
     keys = docs.select("text").mapInArrow(_keys, "keys array<bigint>").select(F.explode("keys").alias("key"))
-    return bitmap_of(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    bits = bitmap_of(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    tidy(docs.sparkSession)
+    return bits
 
 
 _UNITS = "id bigint, th bigint, key bigint, check bigint, start int, end int, before int, after int, ahead int, behind int"
@@ -150,30 +170,54 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
                 out += [pa.array(np.concatenate(c).astype(np.int32)) for c in columns[3:]]
                 yield pa.RecordBatch.from_arrays(out, names=["id", "th", "key", "check", "start", "end", "before", "after", "ahead", "behind"])
 
-    found = materialise(docs.mapInArrow(ship, _UNITS), "units")
+    turn = F.col("key").bitwiseAND(F.lit(TURNS - 1)).cast("int")
+    parts = materialise_parts(docs.mapInArrow(ship, _UNITS).withColumn("turn", turn), "units", "turn", TURN_ROWS)
     shared.destroy()  # written: no task asks for it again
-    doc, place = F.struct("id", "th"), F.struct("id", "th", "start")
+    again = not docs.groupBy("id").count().filter("count > 1").isEmpty()
+    tables = []
+    for part in parts:
+        tables.append(materialise(_met(part.distinct() if again else part), "met"))
+        release(part)
+        tidy(docs.sparkSession)
+    runs = _runs(reduce(DataFrame.unionAll, tables), min_words)
+    runs = materialise(runs, "runs")
+    for part in tables:
+        release(part)
+    tidy(docs.sparkSession)
+    done = runs.filter(F.col("n_words") >= min_words)
+    out = ["id", "th", "start", "end", "n_words", "first_id", "removed"]
+    short = runs.filter(F.col("n_words") < min_words)
+    return done.select(out) if short.isEmpty() else done.select(out).unionAll(_extended(docs, short, again).filter(F.col("n_words") >= min_words).select(out))
+
+
+def _met(found: DataFrame) -> DataFrame:
+    """The units that several documents have; ``own``: in their first holder; with
+    another holder's place, the first one's or, in the first, the last one's."""
+    place = F.struct("id", "th", "start")
     holders = found.groupBy("key", "check").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("NOT (first.id <=> last.id AND first.th = last.th)")
-    met = found.join(holders, ["key", "check"]).withColumn("own", F.struct("first.id", "first.th").eqNullSafe(doc))
-    met = met.withColumn("other", F.when(F.col("own"), F.col("last")).otherwise(F.col("first")))
+    met = found.join(holders, ["key", "check"]).withColumn("own", F.struct("first.id", "first.th").eqNullSafe(F.struct("id", "th")))
+    other = F.when(F.col("own"), F.col("last")).otherwise(F.col("first"))
+    names = ["id", "th", "start", "end", "before", "after", "ahead", "behind", "own"]
+    return met.select(*names, other["id"].alias("other_id"), other["th"].alias("other_th"), other["start"].alias("other_start"))
+
+
+def _runs(met: DataFrame, min_words: int) -> DataFrame:
+    """Units that touch as runs, in parts by whether the document is the first holder;
+    those that may reach ``min_words`` between the cuts around them."""
     along = Window.partitionBy("id", "th").orderBy("start", "end")
     apart = F.coalesce(F.col("start") > F.lag("end").over(along), F.lit(True))
     turned = apart | F.coalesce(F.col("own") != F.lag("own").over(along), F.lit(True))
-    met = met.dropDuplicates(["id", "th", "start", "end"]).withColumn("apart", apart.cast("int")).withColumn("turned", turned.cast("int"))
+    met = met.withColumn("apart", apart.cast("int")).withColumn("turned", turned.cast("int"))
     met = met.withColumn("run", F.sum("apart").over(along)).withColumn("part", F.sum("turned").over(along))
-    run = Window.partitionBy("id", "th", "run")
-    met = met.withColumn("n_words", F.max("after").over(run) - F.min("before").over(run)).withColumn("most", F.max("behind").over(run) - F.min("ahead").over(run))
-    shift = F.col("end") - F.col("start")
-    runs = met.filter(F.col("most") >= min_words).groupBy("id", "th", "run", "part").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.first("n_words").alias("n_words"), F.min("first.id").alias("first_id"), (~F.first("own")).alias("removed"),
-        F.min(F.struct("start", "other.id", "other.th", F.col("other.start").alias("at"))).alias("left"),
-        F.max(F.struct("end", "other.id", "other.th", (F.col("other.start") + shift).alias("at"))).alias("right"),
+    other = lambda at: [F.col("other_id").alias("id"), F.col("other_th").alias("th"), at.alias("at")]
+    runs = met.groupBy("id", "th", "run", "part").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.min(F.when(F.col("own"), F.col("id")).otherwise(F.col("other_id"))).alias("first_id"), (~F.first("own")).alias("removed"),
+        F.min(F.struct("start", *other(F.col("other_start")))).alias("left"), F.max(F.struct("end", *other(F.col("other_start") + F.col("end") - F.col("start")))).alias("right"),
+        F.min("before").alias("before"), F.max("after").alias("after"), F.min("ahead").alias("ahead"), F.max("behind").alias("behind"),
     )
-    runs = materialise(runs, "runs")
-    done = runs.filter(F.col("n_words") >= min_words)
-    out = ["id", "th", "start", "end", "n_words", "first_id", "removed"]
-    short = runs.filter(F.col("n_words") < min_words)
-    return done.select(out) if short.isEmpty() else done.select(out).unionAll(_extended(docs, short).filter(F.col("n_words") >= min_words).select(out))
+    run = Window.partitionBy("id", "th", "run")
+    runs = runs.withColumn("n_words", F.max("after").over(run) - F.min("before").over(run)).withColumn("most", F.max("behind").over(run) - F.min("ahead").over(run))
+    return runs.filter(F.col("most") >= min_words).drop("before", "after", "ahead", "behind", "most")
 
 
 #: Bytes around a run that may belong to its passage: a chunk is no longer.
@@ -185,22 +229,20 @@ def _texts_digest(text: pd.Series) -> pd.Series:
     return pd.Series(np.array(h, np.uint64).view(np.int64))
 
 
-def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``id, th, at, around`` of places (id, th, at): the bytes ahead and behind."""
+def _contexts(docs: DataFrame, wanted: DataFrame, again: bool) -> DataFrame:
+    """``id, th, at, around`` of places (id, th, at): the bytes ahead and behind.  Texts
+    stay out of Python unless ids occur ``again``, with which a digest tells them apart."""
     places = wanted.distinct().groupBy("id", "th").agg(F.collect_list("at").alias("places"))  # a text's own runs
-
-    @F.pandas_udf("array<struct<at: int, ahead: binary, behind: binary>>")
-    def around(text: pd.Series, places: pd.Series) -> pd.Series:
-        out = []
-        for t, own in zip(text, places, strict=True):
-            raw = t.encode("utf-8", "surrogatepass")
-            out.append([{"at": int(p), "ahead": raw[max(0, p - _AROUND) : p], "behind": raw[p : p + _AROUND]} for p in own])
-        return pd.Series(out)
-
     near = marked(docs, F.xxhash64("id"), places.select(F.xxhash64("id").alias("key"))).filter("near AND text IS NOT NULL")
-    texts = near.select(F.col("id").alias("i"), F.pandas_udf(_texts_digest, "bigint")("text").alias("t"), "text")
-    met = places.join(texts, F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t"))).dropDuplicates(["id", "th"])
-    return met.select("id", "th", F.explode(around("text", "places")).alias("x")).select("id", "th", "x.at", F.struct("x.ahead", "x.behind").alias("around"))
+    same = F.col("id").eqNullSafe(F.col("i"))
+    if again:
+        texts = near.select(F.col("id").alias("i"), F.pandas_udf(_texts_digest, "bigint")("text").alias("t"), "text")
+        met = places.join(texts, same & (F.col("th") == F.col("t"))).dropDuplicates(["id", "th"])
+    else:
+        met = places.join(near.select(F.col("id").alias("i"), "text"), same)
+    part = lambda a, n: F.substring(F.col("text").cast("binary"), a, n)
+    around = lambda p: F.struct(p.alias("at"), part(F.greatest(p - _AROUND, F.lit(0)) + 1, F.least(p, F.lit(_AROUND))).alias("ahead"), part(p + 1, F.lit(_AROUND)).alias("behind"))
+    return met.select("id", "th", F.explode(F.transform("places", around)).alias("x")).select("id", "th", "x.at", F.struct("x.ahead", "x.behind").alias("around"))
 
 
 def _common(a: bytes, b: bytes, forward: bool, glued: bool = False) -> tuple[int, int]:
@@ -226,7 +268,7 @@ def _common(a: bytes, b: bytes, forward: bool, glued: bool = False) -> tuple[int
     return n, int(word_starts(part).sum())
 
 
-def _extended(docs: DataFrame, short: DataFrame) -> DataFrame:
+def _extended(docs: DataFrame, short: DataFrame, again: bool) -> DataFrame:
     """Runs taken to their passage's true ends, with its words."""
     edge = short.groupBy("id", "th", "run").agg(F.min("left").alias("left"), F.max("right").alias("right"))
     edge = materialise(edge, "edges")
@@ -235,7 +277,7 @@ def _extended(docs: DataFrame, short: DataFrame) -> DataFrame:
     for side, at in sides.items():
         for part in (edge.select("id", "th", F.col(f"{side}.{at}").alias("at")), edge.select(F.col(f"{side}.id").alias("id"), F.col(f"{side}.th").alias("th"), F.col(f"{side}.at").alias("at"))):
             asked = part if asked is None else asked.unionAll(part)
-    around = materialise(_contexts(docs, asked), "around")
+    around = materialise(_contexts(docs, asked, again), "around")
 
     @F.pandas_udf("struct<bytes: int, words: int>")
     def common(mine: pd.DataFrame, theirs: pd.DataFrame, forward: pd.Series) -> pd.DataFrame:
