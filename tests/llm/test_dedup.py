@@ -298,6 +298,19 @@ def test_passages_without_spaces_and_clashing_names(spark):
     assert all(got[k]["th"] == k and got[k]["spans"] == "s" for k in range(3))
 
 
+def test_classes_and_search_in_turns_without_whole_sets(spark, rows, monkeypatch):
+    """Hot shingles, several turns: the same components, no whole set written for prefixes."""
+    df = frame(spark, rows)
+    want = collections.Counter(tuple(r) for r in ngram_join.document_components(df).collect())
+    tags = []
+    real = ngram_join.materialise
+    monkeypatch.setattr(ngram_join, "materialise", lambda df, tag: tags.append(tag) or real(df, tag))
+    for name, value in (("HOT", 5), ("TURN_ROWS", 20), ("JOB_ROWS", 20)):
+        monkeypatch.setattr(ngram_join, name, value)
+    assert collections.Counter(tuple(r) for r in ngram_join.document_components(df).collect()) == want
+    assert "touched" in tags and tags.count("classes") > 2 and "shingles" not in tags[: tags.index("alike")]
+
+
 def test_repeats_in_turns_drop_their_tables(spark, rows, monkeypatch):
     """The same rows in one turn and in many, and nothing of the units is left behind."""
     rng = random.Random(7)
