@@ -340,3 +340,53 @@ def test_cuts_fall_into_step_after_insertions():
     moved = b"some words more " + t
     b = {c - 16 for c in substring_dedup.cuts(np.frombuffer(moved, np.uint8)).tolist()}
     assert len(a & b) > 0.9 * len(a)
+
+
+def test_many_pairs_of_leaves_are_met_at_once():
+    """Small blocks together give what each gives by its own trees, and no link is lost."""
+    import numpy as np
+
+    from tremolith.llm import signature_tree as st
+
+    rng = np.random.default_rng(4)
+    sets, group, side = [], [], []
+    for g in range(40):
+        base = rng.integers(0, 2**64, int(rng.integers(1, 400)), dtype=np.uint64)
+        for _ in range(int(rng.integers(2, 9))):
+            own = base.copy()
+            own[rng.random(len(base)) < rng.choice([0.05, 0.12, 0.5])] = rng.integers(0, 2**64, dtype=np.uint64)
+            sets.append(np.unique(own[: max(1, int(len(own) * rng.choice([0.5, 0.8, 1])))]))
+            group.append(g)
+            side.append(bool(rng.integers(0, 2)))
+    group, side, labels = np.array(group), np.array(side), np.arange(len(sets)) % 5
+    sizes, maps = np.array([len(s) for s in sets]), [st.bitmap(s, st.bits_for(len(s))) for s in sets]
+    pairs = lambda found: sorted((i, j) for x, y in found for i, j in zip(x.tolist(), y.tolist(), strict=True))
+    got = pairs(st.join_leaves(sizes, maps, labels, np.flatnonzero(side), np.flatnonzero(~side), group))
+    want = []
+    for g in range(40):
+        left, right = np.flatnonzero(side & (group == g)), np.flatnonzero(~side & (group == g))
+        if len(left) and len(right):
+            want += pairs(st.join_sets(sizes, maps, labels, left, right))
+    linked = {(i, j) for i in np.flatnonzero(side) for j in np.flatnonzero(~side) if group[i] == group[j] and labels[i] != labels[j] and ngram_join._linked(sets[i], sets[j])}
+    assert len(linked) > 20 and linked <= set(got) and set(want) <= set(got) and len(got) == len(set(got))
+    assert all(st.near((sizes[i], sizes[j]), (maps[i], maps[j])) for i, j in got)
+
+
+def test_shingles_are_counted_packed(spark, monkeypatch):
+    """Counts of prefixes' shingles over tasks: the bitmap of shared ones and the hot ones."""
+    import numpy as np
+
+    from tremolith.llm.bitmaps import assembled, hits, unpacked
+
+    monkeypatch.setattr(ngram_join, "HOT", 4)
+    rng = np.random.default_rng(2)
+    common = rng.integers(0, 2**64, 60, dtype=np.uint64)
+    held = [np.unique(np.concatenate([rng.integers(0, 2**64, 20, dtype=np.uint64), common[rng.random(60) < k / 200]])) for k in range(30)] + [common[:0]]
+    df = spark.createDataFrame([(k, bytearray(s.tobytes())) for k, s in enumerate(held)], "cid long, prefix binary").repartition(4)
+    found = ngram_join._counted(df)
+    counts = collections.Counter((np.concatenate(held) & np.uint64(0x7FFFFFFF)).tolist())
+    assert max(counts.values()) > 4 and min(counts.values()) == 1
+    assert sorted(r["key"] for r in found.selectExpr("explode(hot) AS key").collect()) == sorted(k for k, n in counts.items() if n > 4)
+    bits = unpacked(assembled(found))
+    want = {k & (2**26 - 1) for k, n in counts.items() if n > 1}
+    assert int(np.unpackbits(bits).sum()) == len(want) and hits(bits, np.array(list(want), np.uint64)).all()
