@@ -390,3 +390,23 @@ def test_shingles_are_counted_packed(spark, monkeypatch):
     bits = unpacked(assembled(found))
     want = {k & (2**26 - 1) for k, n in counts.items() if n > 1}
     assert int(np.unpackbits(bits).sum()) == len(want) and hits(bits, np.array(list(want), np.uint64)).all()
+
+
+def test_packed_prefixes_of_linked_sets_share_a_shingle(spark, monkeypatch):
+    """One order for all, read out of the packed prefixes shingle by shingle."""
+    import numpy as np
+
+    monkeypatch.setattr(ngram_join, "HOT", 6)
+    rows = []
+    for seed in range(3):
+        rng = random.Random(seed)
+        words = [f"p{seed}x{i}" for i in range(rng.randrange(30, 130))]
+        rows += [" ".join([f"o{rng.random()}" for _ in range(30)] + words) for _ in range(10)] + stretches(rng, words, 9, 25, 6)
+    rows = list(enumerate(rows))
+    found = ngram_join._Classes(spark.createDataFrame([(i, None, t) for i, t in rows], "id long, th binary, text string"))
+    prefixes, _ = ngram_join._prefixes(found)
+    held = {r["least"]: set(np.frombuffer(bytes(r["prefix"]), np.uint64).tolist()) for r in prefixes.join(found.names, "cid").collect()}
+    sets, _ = components(rows)
+    linked = [(a, b) for a in held for b in held if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    assert len(linked) > 6 and all(held[a] & held[b] for a, b in linked)
+    assert all(len(held[a]) == len(sets[a]) // 4 + 1 for a in held)
