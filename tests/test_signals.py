@@ -251,3 +251,59 @@ def test_envelopes_take_few_rows_at_once(monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array([1.0] * 1000), pa.array([[float(i % 7), 1.0, 2.0, -1.0] for i in range(1000)])], names=["sample_rate", "denoised"])
     sizes = [b.num_rows for b in envelope.envelopes(Frame())(iter([batch]))]
     assert sum(sizes) == 1000 and max(sizes) <= 256
+
+
+FAILING = "alif basis_pursuit ceemd ceemdan eemd fractal iceemdan jade ksvd lmd vmd".split()
+
+
+@pytest.mark.parametrize("name", [*(f"{n}_denoise" for n in FAILING), "cyclostationary_analysis"])
+def test_failures_are_no_results(name, monkeypatch):
+    """A signal on which a kernel fails has no samples that could pass for denoised ones."""
+    import importlib
+
+    import pyarrow as pa
+
+    module = importlib.import_module("tremolith.operators.denoise")
+    kernel = module.run
+    monkeypatch.setattr(module, "run", lambda i, x, *a: (_ for _ in ()).throw(MemoryError("no room")) if x[0] > 5 else kernel(i, x, *a))
+    good, bad = np.sin(np.arange(40.0)).tolist(), [9.0, 1.0, 2.0]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(["g", "b"]), pa.array([0, 0], pa.int32()), pa.array([1.0, 1.0]), pa.array([good, bad]), pa.array([name] * 2), pa.array([[], []], pa.map_(pa.string(), pa.string()))],
+        names=["signal_id", "channel", "sample_rate", "samples", "algorithm_id", "params"],
+    )
+    rows = [r for b in module._work(iter([batch])) for r in b.to_pylist()]
+    assert [r["success"] for r in rows] == [True, False] and rows[1]["error_message"] == "MemoryError: no room"
+    assert rows[1]["denoised"] == [None] * 3
+    assert rows[0]["denoised"] == pytest.approx(run(name, np.array(good), 1.0))
+
+
+def test_failed_signals_are_null_in_queries(spark, tmp_path):
+    """One sample, or a missing value: no operator that fails there returns its input."""
+    from tremolith.queries import QUERIES
+
+    rows = [(e, 0, e * 1_000, float(e * e % 17)) for e in range(40)] + [(100, 1, 0, 7.5)] + [(200 + e, 2, e * 1_000, float(e % 5) if e != 3 else None) for e in range(40)]
+    spark.createDataFrame(rows, "event_id long, user_id long, us long, value double").selectExpr("event_id", "user_id", "timestamp_micros(us) AS ts", "value").write.parquet(f"{tmp_path}/events.parquet")
+    for name, failing in (("jade_denoise", ("1", "2")), ("cyclostationary_analysis", ("1",)), ("ksvd_denoise", ("2",))):
+        got = {}
+        for r in QUERIES[f"denoise_{name}"](spark, str(tmp_path)).collect():
+            got.setdefault(r["signal_id"], []).append(r["value"])
+        assert {k: len(v) for k, v in got.items()} == {"0": 40, "1": 1, "2": 40}
+        assert all(v is not None for v in got["0"])
+        for user in failing:
+            assert set(got[user]) == {None}, (name, user)
+
+
+def test_failed_operators_rank_last_without_a_score(signals):
+    """A failure has no metrics: those of the others are normalised without it."""
+
+    def ranked(*ids):
+        chosen = config.merge(config.DEFAULTS, {"operators": {"mode": "selected", "ids": list(ids)}, "envelope": {"manual": {"bpfo": 0.1}}, "metrics": {"enabled": ["kurtosis", "cf", "esk"]}})
+        found = pipeline.analyse(signals, chosen)
+        rows = {(r["signal_id"], r["channel"], r["algorithm_id"]): (r["overall_score"], r["overall_rank"]) for r in found.rankings.collect()}
+        found.release()
+        return rows
+
+    two = ranked("ewma_base", "median_filter")
+    three = ranked("ewma_base", "median_filter", "low_pass_butterworth")
+    assert len(three) == 18 and {k: three[k] for k in two} == two
+    assert {v for k, v in three.items() if k not in two} == {(None, 3)}

@@ -52,15 +52,16 @@ def analyse(signals: DataFrame, config: dict | None = None, partitions: int | No
     plan = [(i, o["params"].get(i, {})) for i in catalog.select_ids(o["mode"], o["ids"], o["categories"])]
     denoised = fan_out(signals, plan, partitions, pad=True)
     enveloped = envelope.envelopes(denoised, e["band"], e["n_fft"]).persist()
+    good = enveloped.filter("success")
     # All windows and groups of spectra are by these keys: dealt once, read by all.
-    spectra = envelope.spectrum_rows(enveloped).repartition(*metrics.KEYS).persist()
+    spectra = envelope.spectrum_rows(good).repartition(*metrics.KEYS).persist()
     peaks = envelope.dominant_peaks(spectra).persist()
     manual = e["manual"] or ({} if e["shaft_rpm"] or config["input"]["path"] else {"bpfo": config["simulation"]["fault_freq"]})
     targets = envelope.fault_targets(spark, e["shaft_rpm"] / 60 if e["shaft_rpm"] else None, e["bearing"], manual)
-    found = metrics.all_metrics(enveloped, spectra, peaks, envelope.fault_matches(spectra, targets, e["tolerance"]), targets, config["metrics"]["enabled"], config["metrics"]["flattened"])
+    found = metrics.all_metrics(good, spectra, peaks, envelope.fault_matches(spectra, targets, e["tolerance"]), targets, config["metrics"]["enabled"], config["metrics"]["flattened"])
     s = config["scoring"]
     score = scoring.scores(found, s["method"], s["normaliser"], s["weights"] or None)
-    ranked = scoring.rankings(found, score, denoised.filter("NOT success"))
+    ranked = scoring.rankings(found, score, enveloped.filter("NOT success"))
     times = enveloped.select("signal_id", "channel", "algorithm_id", "execution_time")
     return Report(signals, enveloped, found, ranked.join(times, ["signal_id", "channel", "algorithm_id"]), config["output"]["top_n"], (enveloped, spectra, peaks))
 
