@@ -344,6 +344,16 @@ def test_swarms_move_together_as_each_alone(name, monkeypatch):
     assert run(name, NOISY[:80], 1.0) == pytest.approx(found, abs=1e-9)
 
 
+def test_rls_swarm_judges_every_sample(monkeypatch):
+    """The cost of a forgetting factor is the whole prediction's mean squared error."""
+    x, asked, of = NOISY[:200], [], optim.particle_swarm_optimization
+    monkeypatch.setattr(optim, "particle_swarm_optimization", lambda f, *a, **k: asked.append(f) or of(f, *a, **k))
+    run("pso_optimized_rls", x, 1.0)
+    for factor in (0.8, 0.93, 1.0):
+        y = run("rls_adaptive_filter", x, 1.0, {"filter_order": 16, "lambda_": factor})
+        assert asked[0](np.array([[factor]]))[0] == pytest.approx(np.mean((x[16:] - y[16:]) ** 2), rel=1e-6)
+
+
 def test_jade_leaves_out_the_first_source():
     """Every source of the customary deflation, of which the first one goes."""
     x = np.stack([NOISY[:200], SINE[:200] + RNG.normal(size=200) / 5, RNG.uniform(size=200), NOISY[300:500]])
