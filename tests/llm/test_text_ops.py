@@ -273,3 +273,55 @@ def test_pieces_on_spark(spark):
     assert sentence_pieces.decode(sentence_pieces.encode(df, decoded=True)).columns == ["doc_id", "ids", "n_pieces", "lossless", "text"]
     assert all(r["lossless"] for r in got) and sorted(r["text"] for r in got) == sorted([*(t or "" for t in ODD), "x"])
     assert sentence_pieces.encode(df.limit(0)).count() == 0
+
+
+def _article(blocks):
+    return "<nav><a>home</a></nav><article>" + "".join(f"<p>{b}</p>" for b in blocks) + "</article>"
+
+
+def test_repeats_of_half_a_host_leave_articles(spark):
+    """Markup alone would keep what nothing marks; passages of fewer pages and copies stay."""
+    own = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
+    plea = "please support our work by giving what you can to this site today"
+    said = "a sentence of the king that three of these eight pages quote in full"
+    bodies = {k: [f"Title {k}", own(k, 30), plea, own(k + 100, 20)] for k in range(8)}
+    for k in range(3):
+        bodies[k].insert(1, said)
+    rows = [(k, f"http://h.org/{k}", _article(b)) for k, b in bodies.items()]
+    rows += [(20 + k, "http://two.org/", _article([own(k, 20), plea])) for k in range(2)]  # on two pages only
+    family = [own("f", 200), own("g", 100)]
+    copies = {30 + k: [*family, f"version {k}"] for k in range(6)} | {40 + k: [own(k + 200, 30)] for k in range(4)}
+    rows += [(k, "http://c.org/", _article(b)) for k, b in copies.items()]  # most pages are near copies of one
+    seen = [*[own(k + 300, 30) for k in range(3)], own(303, 12)]
+    rows += [(50, "http://d.org/", _article([seen[0], seen[3]]))] * 9 + [(51 + k, "http://d.org/", _article([seen[k], seen[3]])) for k in (1, 2)]
+    rows += [(60 + k, "http://d.org/", _article([own(k + 400, 30)])) for k in range(4)]  # on three of seven, equal pages count once
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {k: "\n\n".join(x for x in b if x != plea) for k, b in bodies.items()} | {k: "\n\n".join(b) for k, b in copies.items()}
+    want |= {20 + k: f"{own(k, 20)}\n\n{plea}" for k in range(2)} | {50: f"{seen[0]}\n\n{seen[3]}"} | {51 + k: f"{seen[k]}\n\n{seen[3]}" for k in (1, 2)} | {60 + k: own(k + 400, 30) for k in range(4)}
+    got = html_extract.extract(df).collect()
+    assert len(got) == len(rows) and {r["page_id"]: r["text"] for r in got} == want
+
+
+@pytest.mark.parametrize("at_once", [1, 60, 1 << 21])
+def test_wide_repeats_against_brute_force(spark, monkeypatch, at_once):
+    """Whatever parts of a host's pages tasks compare, equal pages in many of them."""
+    monkeypatch.setattr(html_extract, "AT_ONCE", at_once)
+    rng = random.Random(5)
+    words = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    rows = []
+    for k in range(60):
+        parts = [words(f"p{k}", 12)] + [words(f"b{j}", 10) for j in range(6) if rng.random() < j / 7]
+        rows += [(k, f"http://h{k % 4}.org/", _article(parts))] * rng.choice((1, 1, 1, 7))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    read = html_extract.materialise(df.mapInArrow(html_extract._read, html_extract._READ), "read")
+    on, pages = collections.defaultdict(set), collections.defaultdict(set)
+    for _, url, page in rows:
+        main, loose, out, _ = html_extract.blocks(page)
+        pages[url[7:-1]].add(page)
+        for part in (main, loose, out):
+            for key in html_extract.prefixes(html_extract._tokens(part)).tolist():
+                on[url[7:-1], key].add(page)
+    want = {key for key, held in on.items() if len(held) >= 3 and 2 * len(held) >= len(pages[key[0]])}
+    _, wide = html_extract.wide_repeats(read)
+    assert len(want) > 10 and {(r["host"], r["s"] & (2**64 - 1)) for r in wide.collect()} == want
